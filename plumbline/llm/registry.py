@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from plumbline.llm import warc
+from plumbline.llm import ngram_join, warc
 
 QUERIES = {
     "op1_warc_roundtrip": warc.op1_warc_roundtrip,
+    "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
 }
 ORACLES = {
     "op1_warc_roundtrip": warc.OP1_SQL,
