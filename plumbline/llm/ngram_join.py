@@ -294,7 +294,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without all but one document of each component: that with the least doc_id stays, once.
 
-    Documents with an empty set or a null doc_id stay.
+    Documents with an empty set or a null doc_id stay, and so do rows that repeat a doc_id with another text.
     """
     found = near_duplicates(docs).select("doc_id", "n_shingles", "component_id")
     gone = written(
@@ -303,7 +303,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         "ngram-gone",
     )
     marked = docs.join(small(gone), F.col("doc_id") == F.col("seen"), "left")
-    repeated = marked.where("NOT other").select(docs.columns).dropDuplicates(["doc_id"])
+    repeated = marked.where("NOT other").select(docs.columns).dropDuplicates(["doc_id", "text"])
     return marked.where("seen IS NULL").select(docs.columns).union(repeated)
 
 
