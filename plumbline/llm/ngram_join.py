@@ -35,12 +35,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbline.llm.components import Forest, components
-from plumbline.llm.store import drop, small, written
+from plumbline.llm.store import drop, settle, small, written
 from plumbline.llm.textkit import mix, word_hashes
 
 WORDS = 5
 #: Percent of the required overlap that the prefixes of the first and of the second filter must share.
-FIRST, SECOND = 5, 20
+FIRST, SECOND = 10, 20
 #: Sets in a block, pivots of a split group, and classes in a list from which it counts as long.
 BLOCK, PIVOTS, LONG_LIST = 64, 8, 64
 QUERIES = 256
@@ -198,35 +198,27 @@ def _survivors(rows: DataFrame) -> DataFrame:
     return found
 
 
-def _blocks(whole: DataFrame, total: int) -> DataFrame:
-    """(block, sid, shingles): each set in its block, and the pivots of split groups in every block of theirs."""
-    least = F.element_at("shingles", 1)
-    keyed = whole.select("sid", "n", "shingles", least.alias("least"))
+def _blocks(whole: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """(sid, block): each set's own block, and the blocks that the pivots of split groups visit besides."""
+    keyed = whole.select("sid", F.element_at("shingles", 1).alias("least"))
     agg = [F.min_by("sid", F.xxhash64("sid", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)]
     large = written(keyed.groupBy("least").agg(F.count("*").alias("k"), *agg).where(F.col("k") > BLOCK), "ngram-large").withColumn("parts", F.ceil(F.col("k") / BLOCK))
-    rows = large.count()
     n = max(1, math.ceil(total / BLOCK))
-    place = keyed.join(small(large.select("least", "parts"), rows), "least", "left").select(
-        F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("least"), F.lit(n))).otherwise(F.xxhash64(F.lit("part"), "least", F.pmod(F.xxhash64("sid", F.lit("part")), "parts"))).alias("block"),
-        "sid", "n", "shingles",
-    )
-    if not rows:
-        return place
-    pivots = large.select("least", "parts", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("sid"))
-    visits = pivots.join(whole.select("sid", "n", "shingles"), "sid").select(
-        F.explode(F.transform(F.sequence(F.lit(0), F.col("parts").cast("int") - 1), lambda i: F.xxhash64(F.lit("part"), F.col("least"), i.cast("long")))).alias("block"), "sid", "n", "shingles"
+    part = lambda least, i: F.xxhash64(F.lit("part"), least, i)
+    place = keyed.join(small(large.select("least", "parts")), "least", "left").select(
+        "sid", F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("least"), F.lit(n))).otherwise(part(F.col("least"), F.pmod(F.xxhash64("sid", F.lit("part")), "parts"))).alias("block")
     )
-    return place.union(visits)
+    place = written(place, "ngram-place")
+    pivots = large.select("least", "parts", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("sid"))
+    visits = pivots.select("sid", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda i: part(F.col("least"), i))).alias("block"))
+    return place, written(visits.join(place, ["sid", "block"], "left_anti"), "ngram-pivots")
 
 
-def _across(whole: DataFrame, place: DataFrame, labels: DataFrame) -> DataFrame | None:
-    """Edges between components that step 3 left apart, or None if no pair is open."""
+def _across(whole: DataFrame, light: DataFrame, total: int) -> DataFrame | None:
+    """Edges between components that step 3 left apart, or None if no pair is open. light: (sid, block, label)."""
     size, o = F.col("n"), F.floor((4 * F.col("n") + 4) / 5)
     length = (size - o + 1 + F.floor(SECOND * o / 100)).cast("int")
-    named = written(
-        place.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("block", "sid", "n", F.coalesce("component", "sid").alias("label"), "shingles"), "ngram-named"
-    )
-    each = named.select("sid", "n", "label", "block", F.explode(F.slice("shingles", F.lit(1), length)).alias("h"))
+    each = whole.join(small(light, total), "sid").select("sid", "n", "label", "block", F.explode(F.slice("shingles", F.lit(1), length)).alias("h"))
     mixed = written(
         each.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k")).where("lo <> hi").select("h", (F.col("k") > LONG_LIST).alias("long")), "ngram-mixed"
     )
@@ -248,37 +240,29 @@ def _across(whole: DataFrame, place: DataFrame, labels: DataFrame) -> DataFrame
     if visits.isEmpty():
         return None
     parts = written(visits.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).alias("parts")), "ngram-parts")
-    asked = visits.join(parts, "block").select(F.col("q").alias("sid"), "block", F.pmod(F.xxhash64("q"), "parts").alias("part")).join(named.drop("block"), "sid").select("block", "part", "sid", "label", "shingles", F.lit(True).alias("query"))
-    own = named.join(parts, "block").select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "sid", "label", "shingles", F.lit(False).alias("query"))
-    return asked.union(own).groupBy("block", "part").applyInArrow(_link_queries, "a long, b long")
+    asked = visits.join(parts, "block").select(F.col("q").alias("sid"), "block", F.pmod(F.xxhash64("q"), "parts").alias("part"), F.lit(True).alias("query")).join(light.drop("block"), "sid")
+    own = light.join(parts, "block").select("sid", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(False).alias("query"), "label")
+    both = written(asked.unionByName(own), "ngram-both")
+    return whole.join(small(both), "sid").select("block", "part", "sid", "label", "shingles", "query").groupBy("block", "part").applyInArrow(_link_queries, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(row_id, doc_id, n_shingles, set_id, component_id) for each row of docs (doc_id long, text string)."""
+    spark = docs.sparkSession
     table = written(sets(docs).withColumn("row_id", F.monotonically_increasing_id()), "ngram-sets")
+    rows = written(table.drop("shingles"), "ngram-rows")
     classes = written(
-        table.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("row_id").alias("sid"), F.min("doc_id").alias("first_doc"), F.count("*").alias("copies")), "ngram-classes"
+        rows.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("row_id").alias("sid"), F.min("doc_id").alias("first_doc"), F.count("*").alias("copies")), "ngram-classes"
     )
-    copies = written(table.select("row_id", "set_id").join(classes.where("copies > 1"), "set_id").where("row_id <> sid").select("row_id"), "ngram-copies")
-    single = table.where("set_id IS NOT NULL").join(small(copies), "row_id", "left_anti")
-    open_rows = _survivors(single)
-    picked = written(table.select("row_id", "doc_id", "set_id").join(small(open_rows), "row_id"), "ngram-picked")
+    copies = written(rows.select("row_id", "set_id").join(classes.where("copies > 1"), "set_id").where("row_id <> sid").select("row_id"), "ngram-copies")
+    open_rows = _survivors(table.where("set_id IS NOT NULL").join(small(copies), "row_id", "left_anti"))
+    drop(table)
+    settle(spark)
+    picked = written(rows.select("row_id", "doc_id", "set_id").join(small(open_rows), "row_id"), "ngram-picked")
     total = picked.count()
     named = classes.select("set_id", "sid", "first_doc")
     if total:
-        ids = small(picked.select(F.col("doc_id").alias("wanted")).distinct(), total)
-        texts = docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("wanted")), "left_semi")
-        whole = sets(texts, whole=True).join(small(picked.select(F.col("row_id").alias("sid"), "set_id"), total), "set_id").select("sid", "n", "shingles").dropDuplicates(["sid"])
-        whole = written(whole, "ngram-whole")
-        blocks = written(_blocks(whole, total), "ngram-blocks")
-        edges = written(blocks.select("block", "sid", "shingles").groupBy("block").applyInArrow(_link_block, "a long, b long"), "ngram-edges")
-        labels = components(edges)
-        place = blocks.dropDuplicates(["sid"])
-        more = _across(whole, place, labels)
-        if more is not None:
-            more = written(more, "ngram-more")
-            if not more.isEmpty():
-                labels = components(edges.union(more))
+        labels = _labels(docs, picked, total)
         named = named.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("set_id", F.coalesce("component", "sid").alias("label"), "first_doc")
         named = written(named, "ngram-named")
         firsts = written(named.groupBy("label").agg(F.min("first_doc").alias("least")), "ngram-firsts")
@@ -286,9 +270,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     else:
         named = named.select("set_id", F.col("first_doc").alias("least"))
     named = written(named, "ngram-result")
-    return table.select("row_id", "doc_id", "n", "set_id").join(named, "set_id", "left").select(
-        "row_id", "doc_id", F.col("n").alias("n_shingles"), "set_id", F.coalesce("least", "doc_id").alias("component_id")
-    )
+    settle(spark)
+    return rows.join(named, "set_id", "left").select("row_id", "doc_id", F.col("n").alias("n_shingles"), "set_id", F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def _labels(docs: DataFrame, picked: DataFrame, total: int) -> DataFrame:
+    """(node, component) over the picked classes (row_id, doc_id, set_id): steps 3 and 4."""
+    ids = small(picked.select(F.col("doc_id").alias("wanted")).distinct(), total)
+    texts = docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("wanted")), "left_semi")
+    whole = written(sets(texts, whole=True).join(small(picked.select(F.col("row_id").alias("sid"), "set_id"), total), "set_id").select("sid", "n", "shingles"), "ngram-whole")
+    if whole.count() > total:  # rows that repeat both doc_id and text
+        whole = written(whole.dropDuplicates(["sid"]), "ngram-whole")
+    place, pivots = _blocks(whole, total)
+    at = place.union(pivots)
+    edges = written(whole.join(small(at), "sid").select("block", "sid", "shingles").groupBy("block").applyInArrow(_link_block, "a long, b long"), "ngram-edges")
+    labels = components(edges)
+    settle(docs.sparkSession)
+    light = written(place.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "block", F.coalesce("component", "sid").alias("label")), "ngram-light")
+    more = _across(whole, light, total)
+    if more is None or (more := written(more, "ngram-more")).isEmpty():
+        return labels
+    return components(edges.union(more))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

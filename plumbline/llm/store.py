@@ -6,6 +6,7 @@ reads what was committed rather than computing it anew.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -50,3 +51,9 @@ def drop(df: DataFrame) -> None:
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df, marked for broadcast if it is a counted table of few rows; otherwise left to a shuffle join."""
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+
+
+def settle(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished jobs now, not when the driver next collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
