@@ -13,7 +13,8 @@ collisions. Steps, each linear in its input but for pairs that do link:
    short inverted lists are merged by a heap, long ones probed by binary search for the candidates
    only, and documents that reach the overlap are joined, unless they are in one component already.
 4. What is still open are pairs across components. A list whose classes are all in one component is
-   dropped; the rest is merged by shuffle (short lists) with the threshold lowered by a class's long
+   dropped, then each class that the remaining lists can't lift to the overlap it needs, and so on.
+   What is left is merged by shuffle (short lists) with the threshold lowered by a class's long
    lists, and each class visits just those blocks that can reach it, where DivideSkip decides.
 
 Defined cases: null, empty or white-space texts have an empty set and link with nothing, as do
@@ -43,7 +44,8 @@ WORDS = 5
 FIRST, SECOND = 10, 20
 #: Sets in a block, pivots of a split group, and classes in a list from which it counts as long.
 BLOCK, PIVOTS, LONG_LIST = 64, 8, 64
-QUERIES = 256
+#: Queries in a task of step 4, and rounds in which whole sets thin out what it has to look at.
+QUERIES, PEELS = 256, 2
 
 _ODD = mix(np.arange(11, 11 + WORDS, dtype=np.uint64)) | np.uint64(1)
 
@@ -216,26 +218,30 @@ def _blocks(whole: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
 
 def _across(whole: DataFrame, light: DataFrame, total: int) -> DataFrame | None:
     """Edges between components that step 3 left apart, or None if no pair is open. light: (sid, block, label)."""
-    size, o = F.col("n"), F.floor((4 * F.col("n") + 4) / 5)
-    length = (size - o + 1 + F.floor(SECOND * o / 100)).cast("int")
-    each = whole.join(small(light, total), "sid").select("sid", "n", "label", "block", F.explode(F.slice("shingles", F.lit(1), length)).alias("h"))
-    mixed = written(
-        each.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k")).where("lo <> hi").select("h", (F.col("k") > LONG_LIST).alias("long")), "ngram-mixed"
-    )
-    if mixed.isEmpty():
-        return None
-    rows = written(each.join(mixed, "h"), "ngram-rows")
-    need = _needed(F.col("n"), SECOND)
-    asks = written(
-        rows.groupBy("sid", "n", "label").agg(F.count("*").alias("k"), F.sum(F.col("long").cast("long")).alias("n_long")).where(F.col("k") >= need)
-        .select(F.col("sid").alias("q"), F.col("label").alias("q_label"), "n_long", need.alias("need")),
-        "ngram-asks",
-    )
+    n, o = F.col("n"), F.floor((4 * F.col("n") + 4) / 5).cast("long")
+    length = (n - o + 1 + F.floor(SECOND * o / 100)).cast("int")
+    asks, rows = light, None
+    for peel in range(1 + PEELS):  # first by prefixes, then by whole sets, among ever fewer classes
+        taken = F.slice("shingles", F.lit(1), length) if not peel else F.col("shingles")
+        each = whole.join(small(asks.select("sid", "block", "label")), "sid").select("sid", "n", "label", "block", F.explode(taken).alias("h"))
+        mixed = written(
+            each.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k")).where("lo <> hi").select("h", (F.col("k") > LONG_LIST).alias("long")), "ngram-mixed"
+        )
+        if mixed.isEmpty():
+            return None
+        rows = written(each.join(mixed, "h"), "ngram-rows")
+        need = o if peel else _needed(n, SECOND)
+        asks = written(
+            rows.groupBy("sid", "n", "label", "block").agg(F.count("*").alias("k"), F.sum(F.col("long").cast("long")).alias("n_long"))
+            .where(F.col("k") >= need).select("sid", "block", "label", "n_long", need.alias("need")),
+            "ngram-asks",
+        )
+    asks = asks.select(F.col("sid").alias("q"), F.col("label").alias("q_label"), "n_long", "need")
     lists = written(rows.join(small(asks.select(F.col("q").alias("sid"))), "sid", "left_semi").groupBy("h", "long", "block").agg(F.min("label").alias("lo")), "ngram-lists")
     mine = rows.select(F.col("sid").alias("q"), "h").join(small(asks), "q")
     met = mine.join(lists, "h").where("lo < q_label")
     few = met.where("NOT long AND n_long < need").groupBy("q", "block", "need", "n_long").agg(F.count("*").alias("k")).where("k >= need - n_long").select("q", "block")
-    many = met.where("n_long >= need").select("q", "block").distinct()
+    many = met.where("n_long >= need").groupBy("q", "block", "need").agg(F.count("*").alias("k")).where("k >= need").select("q", "block")
     visits = written(few.union(many), "ngram-visits")
     if visits.isEmpty():
         return None
