@@ -46,6 +46,8 @@ FIRST, SECOND = 10, 20
 BLOCK, PIVOTS, LONG_LIST = 64, 8, 64
 #: Queries in a task of step 4, and rounds in which whole sets thin out what it has to look at.
 QUERIES, PEELS = 256, 2
+#: Blocks in a part of an inverted list of blocks.
+CHUNK = 256
 
 _ODD = mix(np.arange(11, 11 + WORDS, dtype=np.uint64)) | np.uint64(1)
 
@@ -178,6 +180,20 @@ def _link_block(t: pa.Table) -> pa.Table:
     return _edges(pairs)
 
 
+def _reached(t: pa.Table) -> pa.Table:
+    """(q, block) for the blocks in at least ``bar`` of the lists of a query."""
+    t = t.take(pa.compute.sort_indices(t, [("q", "ascending")]))
+    asked, bars, lists = t.column("q").to_numpy(), t.column("bar").to_numpy(), t.column("blocks").combine_chunks()
+    out_q, out_b = [], []
+    starts = np.flatnonzero(np.r_[True, asked[1:] != asked[:-1]])
+    for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(asked)], strict=True):
+        blocks, counts = np.unique(lists.slice(a, z - a).flatten().to_numpy(), return_counts=True)
+        blocks = blocks[counts >= bars[a]]
+        out_q.append(np.full(len(blocks), asked[a]))
+        out_b.append(blocks)
+    return pa.table({"q": np.concatenate(out_q), "block": np.concatenate(out_b)})
+
+
 def _link_queries(t: pa.Table) -> pa.Table:
     """Links query rows with a block's own rows of other components."""
     own, asked = t.filter(pa.compute.invert(t.column("query"))), t.filter(t.column("query"))
@@ -217,13 +233,13 @@ def _blocks(whole: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _across(whole: DataFrame, light: DataFrame, total: int) -> DataFrame | None:
-    """Edges between components that step 3 left apart, or None if no pair is open. light: (sid, block, label)."""
+    """Edges between components that step 3 left apart, or None if no pair is open. light: (sid, block, label, rank)."""
     n, o = F.col("n"), F.floor((4 * F.col("n") + 4) / 5).cast("long")
     length = (n - o + 1 + F.floor(SECOND * o / 100)).cast("int")
     asks, rows = light, None
     for peel in range(1 + PEELS):  # first by prefixes, then by whole sets, among ever fewer classes
         taken = F.slice("shingles", F.lit(1), length) if not peel else F.col("shingles")
-        each = whole.join(small(asks.select("sid", "block", "label")), "sid").select("sid", "n", "label", "block", F.explode(taken).alias("h"))
+        each = whole.join(small(asks.select("sid", "block", "label", "rank")), "sid").select("sid", "n", "label", "rank", "block", F.explode(taken).alias("h"))
         mixed = written(
             each.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k")).where("lo <> hi").select("h", (F.col("k") > LONG_LIST).alias("long")), "ngram-mixed"
         )
@@ -232,21 +248,28 @@ def _across(whole: DataFrame, light: DataFrame, total: int) -> DataFrame | None:
         rows = written(each.join(mixed, "h"), "ngram-rows")
         need = o if peel else _needed(n, SECOND)
         asks = written(
-            rows.groupBy("sid", "n", "label", "block").agg(F.count("*").alias("k"), F.sum(F.col("long").cast("long")).alias("n_long"))
-            .where(F.col("k") >= need).select("sid", "block", "label", "n_long", need.alias("need")),
+            rows.groupBy("sid", "n", "label", "rank", "block").agg(F.count("*").alias("k"), F.sum(F.col("long").cast("long")).alias("n_long"))
+            .where(F.col("k") >= need).select("sid", "block", "label", "rank", "n_long", need.alias("need")),
             "ngram-asks",
         )
-    asks = asks.select(F.col("sid").alias("q"), F.col("label").alias("q_label"), "n_long", "need")
-    lists = written(rows.join(small(asks.select(F.col("q").alias("sid"))), "sid", "left_semi").groupBy("h", "long", "block").agg(F.min("label").alias("lo")), "ngram-lists")
+    # Of two components the smaller one asks: a few strays visit a large group's blocks, not the group theirs.
+    asks = asks.select(F.col("sid").alias("q"), F.col("rank").alias("q_rank"), "n_long", "need")
+    lists = written(rows.join(small(asks.select(F.col("q").alias("sid"))), "sid", "left_semi").groupBy("h", "long", "block").agg(F.max("rank").alias("top")), "ngram-lists")
+    # A list is an array of blocks, in chunks of bounded length; a block is in the same chunk of each list.
+    chunks = max(1, math.ceil(light.select("block").distinct().count() / CHUNK))
+    packed = lists.groupBy("h", "long", F.pmod(F.xxhash64("block"), F.lit(chunks)).alias("chunk")).agg(F.collect_list(F.struct("top", "block")).alias("at"))
+    packed = written(packed, "ngram-packed")
     mine = rows.select(F.col("sid").alias("q"), "h").join(small(asks), "q")
-    met = mine.join(lists, "h").where("lo < q_label")
-    few = met.where("NOT long AND n_long < need").groupBy("q", "block", "need", "n_long").agg(F.count("*").alias("k")).where("k >= need - n_long").select("q", "block")
-    many = met.where("n_long >= need").groupBy("q", "block", "need").agg(F.count("*").alias("k")).where("k >= need").select("q", "block")
-    visits = written(few.union(many), "ngram-visits")
+    met = mine.join(packed, "h").where("NOT long OR n_long >= need").select(
+        "q", "chunk", F.when(F.col("n_long") < F.col("need"), F.col("need") - F.col("n_long")).otherwise(F.col("need")).alias("bar"),
+        F.transform(F.filter("at", lambda x: x["top"] > F.col("q_rank")), lambda x: x["block"]).alias("blocks"),
+    ).where(F.size("blocks") > 0)
+    batches = max(1, math.ceil(asks.count() / 32))
+    visits = written(met.groupBy(F.pmod(F.xxhash64("q"), F.lit(batches)), "chunk").applyInArrow(_reached, "q long, block long"), "ngram-visits")
     if visits.isEmpty():
         return None
     parts = written(visits.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).alias("parts")), "ngram-parts")
-    asked = visits.join(parts, "block").select(F.col("q").alias("sid"), "block", F.pmod(F.xxhash64("q"), "parts").alias("part"), F.lit(True).alias("query")).join(light.drop("block"), "sid")
+    asked = visits.join(parts, "block").select(F.col("q").alias("sid"), "block", F.pmod(F.xxhash64("q"), "parts").alias("part"), F.lit(True).alias("query")).join(light.select("sid", "label"), "sid")
     own = light.join(parts, "block").select("sid", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(False).alias("query"), "label")
     both = written(asked.unionByName(own), "ngram-both")
     return whole.join(small(both), "sid").select("block", "part", "sid", "label", "shingles", "query").groupBy("block", "part").applyInArrow(_link_queries, "a long, b long")
@@ -293,6 +316,8 @@ def _labels(docs: DataFrame, picked: DataFrame, total: int) -> DataFrame:
     labels = components(edges)
     settle(docs.sparkSession)
     light = written(place.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "block", F.coalesce("component", "sid").alias("label")), "ngram-light")
+    sizes = written(light.groupBy("label").agg(F.count("*").alias("size")), "ngram-sizes")
+    light = written(light.join(sizes, "label").select("sid", "block", "label", F.struct("size", "label").alias("rank")), "ngram-light")
     more = _across(whole, light, total)
     if more is None or (more := written(more, "ngram-more")).isEmpty():
         return labels
