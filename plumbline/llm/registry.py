@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from plumbline.llm import ngram_join, warc
+from plumbline.llm import chat, mixing, ngram_join, packing, warc
 
 QUERIES = {
     "op1_warc_roundtrip": warc.op1_warc_roundtrip,
     "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
+    "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op6_chat_format": chat.op6_chat_format,
+    "op8_mix_sources": mixing.op8_mix_sources,
 }
 ORACLES = {
     "op1_warc_roundtrip": warc.OP1_SQL,
+    "op6_chat_format": chat.OP6_SQL,
+    "op8_mix_sources": mixing.OP8_SQL,
 }
