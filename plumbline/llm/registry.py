@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from plumbline.llm import chat, mixing, ngram_join, packing, warc
+from plumbline.llm import chat, lattice, mixing, ngram_join, packing, token_files, toxicity, warc
 
 QUERIES = {
     "op1_warc_roundtrip": warc.op1_warc_roundtrip,
     "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op5_token_files": token_files.op5_token_files,
     "op6_chat_format": chat.op6_chat_format,
+    "op7_toxic_segments": toxicity.op7_toxic_segments,
     "op8_mix_sources": mixing.op8_mix_sources,
+    "op10_lattice_dedup": lattice.op10_lattice_dedup,
 }
 ORACLES = {
     "op1_warc_roundtrip": warc.OP1_SQL,
