@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbline.llm.components import Forest, components
@@ -168,7 +169,7 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.Table:
 
 def _link_block(t: pa.Table) -> pa.Table:
     """Links a block's sets among each other: a spanning forest of its links."""
-    t = t.take(pa.compute.sort_indices(t, [("sid", "ascending")]))
+    t = t.take(pc.sort_indices(t, [("sid", "ascending")]))
     ids = t.column("sid").to_pylist()
     keep = [i for i in range(len(ids)) if not i or ids[i] != ids[i - 1]]  # a pivot is in its own block already
     arrays, ids = _arrays(t.take(keep)), [ids[i] for i in keep]
@@ -182,7 +183,7 @@ def _link_block(t: pa.Table) -> pa.Table:
 
 def _reached(t: pa.Table) -> pa.Table:
     """(q, block) for the blocks in at least ``bar`` of the lists of a query."""
-    t = t.take(pa.compute.sort_indices(t, [("q", "ascending")]))
+    t = t.take(pc.sort_indices(t, [("q", "ascending")]))
     asked, bars, lists = t.column("q").to_numpy(), t.column("bar").to_numpy(), t.column("blocks").combine_chunks()
     out_q, out_b = [], []
     starts = np.flatnonzero(np.r_[True, asked[1:] != asked[:-1]])
@@ -196,7 +197,7 @@ def _reached(t: pa.Table) -> pa.Table:
 
 def _link_queries(t: pa.Table) -> pa.Table:
     """Links query rows with a block's own rows of other components."""
-    own, asked = t.filter(pa.compute.invert(t.column("query"))), t.filter(t.column("query"))
+    own, asked = t.filter(pc.invert(t.column("query"))), t.filter(t.column("query"))
     index, ids, labels = BlockIndex(_arrays(own)), own.column("sid").to_pylist(), own.column("label").to_pylist()
     forest, pairs = Forest(), []
     for sid, label, a in zip(asked.column("sid").to_pylist(), asked.column("label").to_pylist(), _arrays(asked), strict=True):

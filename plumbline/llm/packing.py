@@ -17,6 +17,7 @@ from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.llm.mixing import word_count
@@ -69,7 +70,7 @@ def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS) -> list[tuple[int
 
 def _packed(lengths: tuple[int, ...]):
     def run(t: pa.Table) -> pa.Table:
-        t = t.take(pa.compute.sort_indices(t, [("row_id", "ascending"), ("piece", "ascending")]))
+        t = t.take(pc.sort_indices(t, [("row_id", "ascending"), ("piece", "ascending")]))
         got = np.array(pack(t.column("length").to_pylist(), lengths), dtype=np.int64).reshape(-1, 3)
         block = t.column("block").to_numpy()
         return pa.table({"doc_id": t.column("doc_id"), "piece": t.column("piece"), "start": t.column("start"), "length": t.column("length"), "bin_id": block * (1 << 24) + got[:, 0], "bin_offset": got[:, 1], "capacity": got[:, 2]})

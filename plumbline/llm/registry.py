@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from plumbline.llm import chat, lattice, mixing, ngram_join, packing, token_files, toxicity, warc
+from plumbline.llm import chat, lattice, mixing, ngram_join, packing, ppm, token_files, toxicity, warc
 
 QUERIES = {
     "op1_warc_roundtrip": warc.op1_warc_roundtrip,
     "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
+    "op3_ppm_scores": ppm.op3_ppm_scores,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_token_files": token_files.op5_token_files,
     "op6_chat_format": chat.op6_chat_format,

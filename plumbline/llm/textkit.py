@@ -94,18 +94,25 @@ def segments(text: bytes) -> Iterator[bytes]:
     yield text[at:]
 
 
-def _of_segment(piece: bytes) -> tuple[np.ndarray, list[bytes] | None]:
-    buf = LOWER[np.frombuffer(piece, np.uint8)]
-    s, e = spans(buf, np.zeros(0, np.int64))
-    if len(s) and int((e - s).max()) > LONG_WORD:
-        out = np.empty(len(s), np.uint64)
-        for i, (a, b) in enumerate(zip(s, e, strict=True)):
-            if b - a > LONG_WORD:
-                out[i] = int.from_bytes(hashlib.blake2b(buf[a:b].tobytes(), digest_size=8).digest(), "little")
-            else:
-                out[i] = span_hashes(buf[a:b], np.zeros(1, np.int64), np.array([b - a]))[0]
-        return out, None
-    return span_hashes(buf, s, e), None
+def _of_text(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes, word starts, ends and hashes of a long text, by segments."""
+    found, at = [], 0
+    for piece in segments(text):
+        buf = LOWER[np.frombuffer(piece, np.uint8)]
+        s, e = spans(buf, np.zeros(0, np.int64))
+        long = np.flatnonzero(e - s > LONG_WORD)
+        if len(long):
+            rest = np.flatnonzero(e - s <= LONG_WORD)
+            h = np.empty(len(s), np.uint64)
+            for i in long.tolist():
+                h[i] = int.from_bytes(hashlib.blake2b(buf[s[i] : e[i]].tobytes(), digest_size=8).digest(), "little")
+            for i in rest.tolist():
+                h[i] = span_hashes(buf[s[i] : e[i]], np.zeros(1, np.int64), np.array([e[i] - s[i]]))[0]
+        else:
+            h = span_hashes(buf, s, e)
+        found.append((buf, s + at, e + at, h))
+        at += len(piece)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -118,20 +125,28 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, data
 
 
-def word_hashes(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, rows, offsets, hashes) for runs of rows: row first+i has hashes[offsets[i]:offsets[i+1]]."""
+def word_spans(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, rows, offsets, hashes, bytes, starts, ends) for runs of rows.
+
+    Row first + i has the words offsets[i] to offsets[i + 1]; word k is bytes[starts[k] : ends[k]].
+    """
     offsets, data = column_bytes(column)
     row, n = 0, len(column)
     while row < n:
         if offsets[row + 1] - offsets[row] > SEGMENT:
-            text = data[offsets[row] : offsets[row + 1]].tobytes()
-            hashes = np.concatenate([_of_segment(p)[0] for p in segments(text)])
-            yield row, 1, np.array([0, len(hashes)]), hashes
+            buf, s, e, hashes = _of_text(data[offsets[row] : offsets[row + 1]].tobytes())
+            yield row, 1, np.array([0, len(hashes)]), hashes, buf, s, e
             row += 1
             continue
         last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SEGMENT, "right")) - 1)
         base = offsets[row]
         buf = LOWER[data[base : offsets[last]]]
         s, e = spans(buf, offsets[row:last] - base)
-        yield row, last - row, np.searchsorted(s, offsets[row : last + 1] - base), span_hashes(buf, s, e)
+        yield row, last - row, np.searchsorted(s, offsets[row : last + 1] - base), span_hashes(buf, s, e), buf, s, e
         row = last
+
+
+def word_hashes(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, rows, offsets, hashes) for runs of rows: row first+i has hashes[offsets[i]:offsets[i+1]]."""
+    for found in word_spans(column):
+        yield found[:4]
