@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from plumbline.llm import chat, lattice, mixing, ngram_join, packing, ppm, token_files, toxicity, warc
+import corpus_pipeline
+from plumbline.llm import chat, imatch, lattice, mixing, ngram_join, packing, ppm, token_files, toxicity, warc
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_warc_roundtrip": warc.op1_warc_roundtrip,
     "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
     "op3_ppm_scores": ppm.op3_ppm_scores,
@@ -13,6 +15,7 @@ QUERIES = {
     "op6_chat_format": chat.op6_chat_format,
     "op7_toxic_segments": toxicity.op7_toxic_segments,
     "op8_mix_sources": mixing.op8_mix_sources,
+    "op9_imatch": imatch.op9_imatch,
     "op10_lattice_dedup": lattice.op10_lattice_dedup,
 }
 ORACLES = {
