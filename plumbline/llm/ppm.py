@@ -47,7 +47,7 @@ KINDS = 7
 CHUNK = 24 << 20
 SPACE, STOP, SYMBOLS = 0x20, 0x0A, 257
 
-CODED = "chunk string, words array<binary>, doc_id array<long>, held_out array<boolean>, n_tokens array<long>, stops array<int>, word array<int>, times array<int>"
+CODED = "chunk long, words array<binary>, doc_id array<long>, held_out array<boolean>, n_tokens array<long>, stops array<int>, word array<int>, times array<int>"
 
 
 def _coder(k: int):
@@ -83,7 +83,7 @@ def _coded(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
         train = [np.bincount(word, times * (trains == j), len(words) + 1).astype(np.int64) for j in range(k)]
         lists = lambda x, t: pa.array([x], pa.list_(t))
         return pa.RecordBatch.from_arrays(
-            [pa.array([uuid.uuid4().hex]), lists([*words, b""], pa.binary()), lists(ids, pa.int64()), lists(held, pa.bool_()), lists(counts + 1, pa.int64()),
+            [pa.array([uuid.uuid4().int >> 65], pa.int64()), lists([*words, b""], pa.binary()), lists(ids, pa.int64()), lists(held, pa.bool_()), lists(counts + 1, pa.int64()),
              lists(np.array(ends, np.int32), pa.int32()), lists(word.astype(np.int32), pa.int32()), lists(times.astype(np.int32), pa.int32()), *[lists(t, pa.int64()) for t in train]],
             names=["chunk", "words", "doc_id", "held_out", "n_tokens", "stops", "word", "times", *[f"t{j}" for j in range(k)]],
         )
@@ -220,23 +220,25 @@ class Trie:
         out[left] -= np.log(SYMBOLS)
         return out
 
-    def words(self, words: list[bytes]) -> np.ndarray:
-        """log10 probability of each word with the space after it (of the end mark, for an empty one)."""
-        buf, place, owner = sequences(words)
-        out = np.zeros(len(buf))
-        for order in range(1, ORDER + 1):
-            at = np.flatnonzero((place >= order) if order == ORDER else (place == order))
-            out[at] = self.log_p(keys(buf, order)[at], order, order)
-        return np.bincount(owner, out, len(words)) / np.log(10)
+
+def word_scores(tries: list[Trie], words: list[bytes]) -> list[np.ndarray]:
+    """For each trie, log10 probability of each word with the space after it (of the end mark, for an empty one)."""
+    buf, place, owner = sequences(words)
+    sums = [np.zeros(len(buf)) for _ in tries]
+    for order in range(1, ORDER + 1):
+        at = np.flatnonzero((place >= order) if order == ORDER else (place == order))
+        distinct, back = np.unique(keys(buf, order)[at], return_inverse=True)  # sorted: neighbours in the tables, too
+        for out, trie in zip(sums, tries, strict=True):
+            out[at] = trie.log_p(distinct, order, order)[back]
+    return [np.bincount(owner, out, len(words)) / np.log(10) for out in sums]
 
 
 def _word_scores(tries):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 20_000):
-                part = b.slice(at, 20_000)
-                words = part.column("word").to_pylist()
-                scores = [pa.array(t.words(words).astype(np.float32)) for t in tries.value]
+            for at in range(0, b.num_rows, 50_000):
+                part = b.slice(at, 50_000)
+                scores = [pa.array(x.astype(np.float32)) for x in word_scores(tries.value, part.column("word").to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column("word"), part.column("c"), *scores], names=["word", "c", *[f"s{j}" for j in range(len(scores))]])
 
     return run
@@ -293,7 +295,7 @@ def scored(docs: DataFrame) -> DataFrame:
     coded = written(rows.mapInArrow(_coder(k), CODED + "".join(f", {t} array<long>" for t in names)), "ppm-coded", compression="zstd")
     words = coded.select(F.explode(F.arrays_zip("words", *names)).alias("w")).groupBy(F.col("w.words").alias("word")).agg(*[F.sum(f"w.{t}").alias(t) for t in names])
     words = written(words, "ppm-words")
-    settle(spark)
+    settle(spark)  # the shuffle of the chunks' words is done with
     total = sum((F.col(t) for t in names[1:]), F.col(names[0]))
     n, v = words.agg(F.coalesce(F.sum(total), F.lit(0)), F.count_if(total > 0)).first()
     grams = words.mapInArrow(_grams, "kind int, gram long, n long").groupBy("kind", "gram").agg(F.sum("n").alias("n"))
@@ -304,6 +306,7 @@ def scored(docs: DataFrame) -> DataFrame:
     known = words.select("word", total.alias("c")).mapInArrow(_word_scores(tries), "word binary, c long" + "".join(f", {x} float" for x in scores))
     known = written(known, "ppm-known")
     drop(words)
+    settle(spark)
     each = coded.select(F.col("chunk").alias("home"), F.posexplode("words").alias("place", "word"))
     found = each.join(known, "word").select("home", "place", "c", *scores)
     light = coded.drop("words", *names)

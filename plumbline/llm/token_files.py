@@ -47,6 +47,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.widths = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each id; a vocabulary string has a sign for each
+        self.widths[list(vocabulary.values())] = [len(x) for x in vocabulary]
         self.forget()
 
     def forget(self) -> None:
@@ -57,15 +60,32 @@ class Encoder:
     def raw(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def joined(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that all start with a space, encoded as one text, and how many each has."""
+        ids = np.array(self.raw([b"".join(pieces).decode("utf-8")])[0], np.int32)
+        ends = np.searchsorted(np.cumsum(self.widths[ids]), np.cumsum([len(p) for p in pieces])) + 1
+        return ids, np.diff(ends, prepend=0)
+
     def learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
         if len(self.keys) + len(keys) > MEMORY:
             self.forget()
-        got = self.raw([p.decode("utf-8") for p in pieces])
-        lengths = np.fromiter(map(len, got), np.int64, len(got))
+        order = np.argsort([p[:1] != b" " for p in pieces], kind="stable")
+        keys, pieces = keys[order], [pieces[i] for i in order]
+        spaced = sum(p[:1] == b" " for p in pieces)
+        ids, lengths = [], []
+        for at in range(0, spaced, 20_000):
+            i, n = self.joined(pieces[at : min(spaced, at + 20_000)])
+            ids.append(i)
+            lengths.append(n)
+        for x in self.raw([p.decode("utf-8") for p in pieces[spaced:]]) if spaced < len(pieces) else ():
+            ids.append(np.array(x, np.int32))
+            lengths.append(np.array([len(x)]))
+        lengths = np.concatenate(lengths)
         starts = len(self.ids) + np.cumsum(lengths) - lengths
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in got for i in x), np.int32, int(lengths.sum()))])
-        order = np.argsort(all_keys := np.concatenate([self.keys, keys]))
-        self.keys, self.starts, self.lengths = all_keys[order], np.concatenate([self.starts, starts])[order], np.concatenate([self.lengths, lengths])[order]
+        self.ids = np.concatenate([self.ids, *ids])
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order])
+        self.keys, self.starts, self.lengths = (np.insert(old, at, new[order]) for old, new in ((self.keys, keys), (self.starts, starts), (self.lengths, lengths)))
 
     def encode(self, buf: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts that start at cuts in buf (the last one ends with it), and how many each has."""
