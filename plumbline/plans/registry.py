@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from plumbline.plans import scoring
+from plumbline.plans import linkage, scoring
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (scoring,):
+for _module in (scoring, linkage):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
