@@ -46,7 +46,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The multiplier's powers 0 to n - 1 and their inverses, modulo 2**64; kept up to two segments' worth."""
     if len(_powers[0]) >= n:
         return _powers[0][:n], _powers[1][:n]
-    size = max(n, 2 * SEGMENT)
+    size = max(n, SEGMENT + (1 << 16))
     made = []
     for base in (_M, _M_INV):
         p = np.full(size, base, np.uint64)

@@ -7,8 +7,8 @@ ids, or the ids of some documents by the column and page indexes. Files are writ
 committer, so a lost executor leaves no half-written file behind.
 
 The tokenizer's pre-split never joins a space with what stands before it, so a text may be cut before
-any space that an ASCII sign or a Latin-1 letter follows. Each distinct piece is encoded once for a
-task and then looked up by its hash; the pieces remembered are bounded.
+any space that an ASCII sign or a Latin-1 letter follows. A worker encodes each distinct piece once
+and then looks it up by its hash; the pieces it remembers are bounded.
 
 Defined cases: a null or empty text has the end mark alone; null ids come first; repeated ids are
 in order of their texts' hash; an empty table gives an empty result; other columns are ignored.
@@ -26,11 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from plumbline.llm.store import new_path, small, written
-from plumbline.llm.textkit import SEGMENT, column_bytes, span_hashes
+from plumbline.llm.textkit import column_bytes, span_hashes
 
 END = 0
-#: Pieces a task remembers, and the longest that it does.
-MEMORY, LONG_PIECE = 400_000, 1 << 12
+#: Pieces a worker remembers, those of them in the part where new ones are put, and the longest that a hash stands for.
+MEMORY, RECENT, LONG_PIECE = 1_000_000, 60_000, 1 << 12
+#: Bytes encoded at a time, and rows taken from a batch at a time.
+RUN, ROWS = 1 << 19, 500
 FILES = {"compression": "zstd", "parquet.block.size": str(32 << 20), "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": str(2 << 20)}
 
 _FOLLOWS = np.zeros(256, bool)
@@ -39,6 +41,44 @@ _FOLLOWS[0xC3] = True
 _CUT = re.compile(rb" (?=[\x21-\x7e\xc3])")
 
 
+class Pieces:
+    """Ids of pieces by hash: keys ascending, with where each piece's ids start and how many they are."""
+
+    def __init__(self, keys: np.ndarray | None = None, lengths: np.ndarray | None = None, ids: np.ndarray | None = None) -> None:
+        if keys is None:
+            keys, lengths, ids = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        order = np.argsort(keys)
+        self.keys, self.ids = keys[order], ids.astype(np.int32)
+        self.starts, self.lengths = (np.cumsum(lengths) - lengths)[order].astype(np.int32), lengths[order].astype(np.int32)
+
+    def plus(self, other: Pieces) -> Pieces:
+        out = Pieces()
+        at = np.searchsorted(self.keys, other.keys)
+        out.keys = np.insert(self.keys, at, other.keys)
+        out.lengths = np.insert(self.lengths, at, other.lengths)
+        out.starts = np.insert(self.starts, at, other.starts + np.int32(len(self.ids)))
+        out.ids = np.concatenate([self.ids, other.ids])
+        return out
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.keys):
+            return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64)
+        at = np.searchsorted(self.keys, wanted)
+        at[at == len(self.keys)] = 0
+        return self.keys[at] == wanted, at
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The worker's encoder: it stays from task to task, with the pieces it remembers."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 class Encoder:
     """Encodes texts by a tokenizer file, remembering what distinct pieces give."""
 
@@ -53,9 +93,8 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.starts = self.lengths = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.int32)
+        self.known = Pieces()
+        self.recent = Pieces()
 
     def raw(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -67,8 +106,6 @@ class Encoder:
         return ids, np.diff(ends, prepend=0)
 
     def learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
-        if len(self.keys) + len(keys) > MEMORY:
-            self.forget()
         order = np.argsort([p[:1] != b" " for p in pieces], kind="stable")
         keys, pieces = keys[order], [pieces[i] for i in order]
         spaced = sum(p[:1] == b" " for p in pieces)
@@ -80,12 +117,14 @@ class Encoder:
         for x in self.raw([p.decode("utf-8") for p in pieces[spaced:]]) if spaced < len(pieces) else ():
             ids.append(np.array(x, np.int32))
             lengths.append(np.array([len(x)]))
-        lengths = np.concatenate(lengths)
-        starts = len(self.ids) + np.cumsum(lengths) - lengths
-        self.ids = np.concatenate([self.ids, *ids])
-        order = np.argsort(keys)
-        at = np.searchsorted(self.keys, keys[order])
-        self.keys, self.starts, self.lengths = (np.insert(old, at, new[order]) for old, new in ((self.keys, keys), (self.starts, starts), (self.lengths, lengths)))
+        self.recent = self.recent.plus(Pieces(keys, np.concatenate(lengths), np.concatenate(ids)))
+
+    def settle(self) -> None:
+        """Between runs: puts recent pieces with the others, or forgets all if there are too many."""
+        if len(self.recent.keys) > RECENT:
+            self.known, self.recent = self.known.plus(self.recent), Pieces()
+        if len(self.known.keys) > MEMORY:
+            self.forget()
 
     def encode(self, buf: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts that start at cuts in buf (the last one ends with it), and how many each has."""
@@ -99,32 +138,32 @@ class Encoder:
         keys = span_hashes(buf, starts, ends)
         for a, z, k in ((a, z, k) for k, (a, z) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)) if z - a > LONG_PIECE) if (ends - starts).max() > LONG_PIECE else ():
             keys[k] ^= np.uint64(zlib.crc32(buf[a:z].tobytes()))
-        where = np.searchsorted(self.keys, keys)
-        where[where == len(self.keys)] = 0
-        new = self.keys[where] != keys if len(self.keys) else np.ones(len(keys), bool)
-        if new.any():
-            _, at = np.unique(keys[new], return_index=True)
-            at = np.flatnonzero(new)[at]
-            held = len(self.keys)
+        self.settle()
+        old, at_old = self.known.find(keys)
+        new, at_new = self.recent.find(keys)
+        missing = ~(old | new)
+        if missing.any():
+            _, at = np.unique(keys[missing], return_index=True)
+            at = np.flatnonzero(missing)[at]
             self.learn(keys[at], [buf[starts[i] : ends[i]].tobytes() for i in at.tolist()])
-            if len(self.keys) < held:  # forgotten: learn all of this run's pieces
-                missing = np.setdiff1d(keys, self.keys)
-                _, at = np.unique(keys, return_index=True)
-                at = at[np.isin(keys[at], missing)]
-                self.learn(keys[at], [buf[starts[i] : ends[i]].tobytes() for i in at.tolist()])
-            where = np.searchsorted(self.keys, keys)
-        n = self.lengths[where]
+            new, at_new = self.recent.find(keys)
+        n = np.where(old, self.known.lengths[at_old] if len(self.known.keys) else 0, self.recent.lengths[at_new] if len(self.recent.keys) else 0).astype(np.int64)
+        shift = len(self.known.ids)
+        begin = np.where(old, self.known.starts[at_old] if len(self.known.keys) else 0, (self.recent.starts[at_new] if len(self.recent.keys) else 0) + shift).astype(np.int64)
         total = np.r_[0, np.cumsum(n)]
-        ids = self.ids[np.arange(total[-1]) - np.repeat(total[:-1], n) + np.repeat(self.starts[where], n)]
+        place = np.arange(total[-1]) - np.repeat(total[:-1], n) + np.repeat(begin, n)
+        ids = np.empty(len(place), np.int32)
+        first = place < shift
+        ids[first], ids[~first] = self.known.ids[place[first]], self.recent.ids[place[~first] - shift]
         edges = total[np.searchsorted(starts, np.r_[cuts, len(buf)])]
         return ids, np.diff(edges)
 
     def long_text(self, text: bytes) -> np.ndarray:
         parts, at = [], 0
         while at < len(text):
-            cut = _CUT.search(text, at + SEGMENT)
+            cut = _CUT.search(text, at + RUN)
             end = cut.start() if cut else len(text)
-            if end - at > 4 * SEGMENT:
+            if end - at > 8 * RUN:
                 parts.append(np.array(self.raw([text[at:end].decode("utf-8")])[0], np.int32))
             else:
                 parts.append(self.encode(np.frombuffer(text[at:end], np.uint8), np.zeros(1, np.int64))[0])
@@ -137,7 +176,7 @@ ENCODED = "doc_id long, part int, pos long, n_tokens long, ids array<int>"
 
 def _encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, pos = Encoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, pos = encoder_of(path), TaskContext.get().partitionId(), 0
 
         def made(ids: pa.Array, values: np.ndarray, lengths: np.ndarray) -> pa.RecordBatch:
             nonlocal pos
@@ -153,17 +192,17 @@ def _encoded(path: str):
             pos += n
             return batch
 
-        for b in batches:
+        for b in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             ids, (offsets, data) = b.column(0), column_bytes(b.column(1))
             row, n = 0, len(ids)
             while row < n:
                 size = offsets[row + 1] - offsets[row]
-                if size > SEGMENT:
+                if size > RUN:
                     values = encoder.long_text(data[offsets[row] : offsets[row + 1]].tobytes())
                     yield made(ids.slice(row, 1), values, np.array([len(values)]))
                     row += 1
                     continue
-                last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SEGMENT, "right")) - 1)
+                last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + RUN, "right")) - 1)
                 yield made(ids.slice(row, last - row), *_by_text(encoder, data[offsets[row] : offsets[last]], offsets[row : last + 1] - offsets[row]))
                 row = last
 
