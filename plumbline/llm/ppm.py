@@ -44,7 +44,7 @@ NODES = 2_000_000
 #: Kinds of text with a trie of their own, besides one for the rest.
 KINDS = 7
 #: Bytes of text in a chunk.
-CHUNK = 24 << 20
+CHUNK = 16 << 20
 SPACE, STOP, SYMBOLS = 0x20, 0x0A, 257
 
 CODED = "chunk long, words array<binary>, doc_id array<long>, held_out array<boolean>, n_tokens array<long>, stops array<int>, word array<int>, times array<int>"
@@ -66,7 +66,9 @@ def _coded(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
         hashes = np.concatenate([r[1] for r in runs])
         counts = np.concatenate([np.diff(r[0]) for r in runs])
         distinct, first, code = np.unique(hashes, return_index=True, return_inverse=True)
+        code = code.astype(np.int32)
         edges = np.cumsum([0, *(len(r[1]) for r in runs)])
+        del hashes
         where = np.searchsorted(edges, first, "right") - 1
         words = [runs[w][2][runs[w][3][i - edges[w]] : runs[w][4][i - edges[w]]].tobytes() for w, i in zip(where.tolist(), first.tolist(), strict=True)]
         stops = np.cumsum(counts)
@@ -93,7 +95,7 @@ def _coded(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
             ids += b.column("doc_id").slice(first, rows).to_pylist()
             held += b.column("held_out").slice(first, rows).to_pylist()
             kind += b.column("kind").slice(first, rows).to_pylist()
-            runs.append((offsets, hashes, buf, s, e))
+            runs.append((offsets.astype(np.int32), hashes, buf, s.astype(np.int32), e.astype(np.int32)))
             size += len(buf)
             if size >= CHUNK:
                 yield chunk()
@@ -304,11 +306,12 @@ def scored(docs: DataFrame) -> DataFrame:
     tries = spark.sparkContext.broadcast([Trie(gram[of == j].view(np.uint64), times[of == j]) for j in range(k)])
     scores = [f"s{j}" for j in range(k)]
     known = words.select("word", total.alias("c")).mapInArrow(_word_scores(tries), "word binary, c long" + "".join(f", {x} float" for x in scores))
-    known = written(known, "ppm-known")
+    known = written(known.select(F.xxhash64("word").alias("h"), "c", *scores), "ppm-known")
     drop(words)
     settle(spark)
-    each = coded.select(F.col("chunk").alias("home"), F.posexplode("words").alias("place", "word"))
-    found = each.join(known, "word").select("home", "place", "c", *scores)
+    # Words meet by a 64-bit hash, which is shorter than most of them.
+    each = coded.select(F.col("chunk").alias("home"), F.posexplode("words").alias("place", "word")).select("home", "place", F.xxhash64("word").alias("h"))
+    found = each.join(known, "h").select("home", "place", "c", *scores)
     light = coded.drop("words", *names)
     return light.groupBy("chunk").cogroup(found.groupBy("home")).applyInArrow(_documents(n, v, (sizes / sizes.sum()).tolist()), SCORES)
 

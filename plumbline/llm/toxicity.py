@@ -17,8 +17,8 @@ The fit takes at most ``FIT_ROWS`` labelled rows, those with the least hash of t
 holds at most ``LEXICON`` words, so it can be broadcast. Scoring reads whole texts of all documents.
 
 Defined cases: a null, empty or white-space text has no segment and the score of a document without
-hits; rows without a label or an id aren't fitted; labels without any toxic or any clean row give
-every document the prior; repeated rows score alike; other columns are ignored.
+hits; rows without a label or an id aren't fitted; labels without any toxic or any clean row,
+or without a word that tells them apart, give every document the same score, below the threshold; repeated rows score alike; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -170,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     train = written(docs.join(F.broadcast(picked), F.col("doc_id").cast("long") == F.col("id")).select("toxic", F.coalesce("text", F.lit("")).alias("text")), "toxic-train")
     sizes = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = sizes.get(True, 0), sizes.get(False, 0)
-    prior = (n_toxic + 1) / (n_toxic + n_clean + 2)
+    prior = min((n_toxic + 1) / (n_toxic + n_clean + 2), THRESHOLD / 2)  # nothing to go by rejects nothing
     empty = Model(np.zeros(0, np.uint64), np.zeros(0), -1.0, 0.0, np.r_[math.log(prior / (1 - prior)), np.zeros(FEATURES)])
     if not n_toxic or not n_clean:
         return empty
