@@ -16,8 +16,12 @@ document's own kind is not looked at.
 As contexts don't cross words, a word's code length is the same wherever it stands. So texts are
 written once as chunks in dictionary code, each distinct word is scored once, and its counts and code
 length go back to the chunks that hold it: rows are shuffled for each chunk's distinct words, not for
-the tokens of the corpus. The trie holds the ``NODES`` most frequent of the longest contexts' symbols,
-as bounded-memory PPM does, so it can be broadcast; its counts cover all training text.
+the tokens of the corpus.
+
+The trie holds every context of the training words and grows with them, so no task holds it whole.
+Contexts with the same newest ``LOW + 1`` bytes lie together, as all their shorter ones but the
+shortest do; those of up to ``LOW`` bytes, at most 2**24 symbols in any corpus, are broadcast. Each
+distinct symbol with its longest context is scored once, and goes to the blocks of words that hold it.
 
 Defined cases: null, empty and white-space texts have the end mark as their one token; a null doc_id
 is scored and trains; repeated rows are rows of their own, and each of them trains; without any
@@ -32,7 +36,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.llm.store import drop, settle, written
@@ -40,7 +43,10 @@ from plumbline.llm.textkit import word_spans
 
 #: Bytes of the longest context; seven bytes and a length fill a 64-bit key.
 ORDER = 6
-NODES = 2_000_000
+#: Contexts of up to so many bytes are in tables that each task holds.
+LOW = 2
+#: Distinct words in a block, and symbols whose contexts a task holds at a time.
+BLOCK, RUN = 100_000, 200_000
 #: Kinds of text with a trie of their own, besides one for the rest.
 KINDS = 7
 #: Bytes of text in a chunk.
@@ -121,82 +127,106 @@ def keys(buf: np.ndarray, order: int) -> np.ndarray:
     return out | np.uint64(order + 1) << np.uint64(56)
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, gram, n): each symbol of the training words of a kind with its longest context."""
-    for b in batches:
-        for j, name in enumerate(x for x in b.schema.names if x != "word"):
-            yield from _kind_grams(b.filter(pc.greater(b.column(name), 0)), name, j)
-
-
-def _kind_grams(b: pa.RecordBatch, name: str, kind: int) -> Iterator[pa.RecordBatch]:
-    if b.num_rows:
-        n = b.column(name).to_numpy()
-        buf, place, owner = sequences(b.column("word").to_pylist())
-        all_keys, all_n = [], []
-        for order in range(1, ORDER + 1):
-            at = np.flatnonzero((place >= order) if order == ORDER else (place == order))
-            all_keys.append(keys(buf, order)[at])
-            all_n.append(n[owner[at]])
-        distinct, back = np.unique(np.concatenate(all_keys), return_inverse=True)
-        total = np.bincount(back, np.concatenate(all_n), len(distinct)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(distinct), kind, np.int32)), pa.array(distinct.view(np.int64)), pa.array(total)], names=["kind", "gram", "n"])
-
-
-def escapes(total: np.ndarray, kinds: np.ndarray, once: np.ndarray) -> np.ndarray:
-    """The chance that a context's next symbol is new to it, for contexts with these counts.
-
-    Contexts are alike that have about the same count and number of symbols. What happens next in
-    such a state is learned by leaving out each occurrence in turn: it was an escape if its symbol
-    stood there once.
+_MASKS = np.array([(1 << 8 * (k + 1)) - 1 for k in range(ORDER + 1)], np.uint64)
+
+
+def longest(buf: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Key of each symbol with its longest context: the ORDER bytes before it, or those from the word's space on."""
+    order = np.minimum(place, ORDER)
+    return (keys(buf, ORDER) & _MASKS[order]) | (order + 1).astype(np.uint64) << np.uint64(56)
+
+
+def _grams(k: int):
+    """(gram, n0, n1, ...): each symbol of the words with its longest context, and how often each kind trains it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            buf, place, owner = sequences(b.column("word").to_pylist())
+            at = np.flatnonzero(place > 0)
+            distinct, back = np.unique(longest(buf, place)[at], return_inverse=True)
+            n = [np.bincount(back, b.column(f"t{j}").to_numpy()[owner[at]], len(distinct)).astype(np.int64) for j in range(k)]
+            yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), *map(pa.array, n)], names=["gram", *[f"n{j}" for j in range(k)]])
+
+    return run
+
+
+def shorter(g: np.ndarray, order: int) -> np.ndarray:
+    """Keys of longer contexts' symbols, cut to contexts of this order."""
+    return (g & _MASKS[order]) | np.uint64(order + 1) << np.uint64(56)
+
+
+def contexts(g: np.ndarray, order: int) -> np.ndarray:
+    return (g & _MASKS[ORDER]) >> np.uint64(8) | np.uint64(order) << np.uint64(56)
+
+
+def counted(grams: np.ndarray, counts: np.ndarray, top: int, lowest: int) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], tuple[np.ndarray, np.ndarray]]:
+    """Symbols of contexts and their counts by order, from symbols with their longest contexts; and what they add to the order below."""
+    length = (grams >> np.uint64(56)).astype(np.int64)
+    out, new, times = {}, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for order in range(top, lowest - 1, -1):
+        own = length == order + 1
+        both, back = np.unique(np.concatenate([grams[own], new]), return_inverse=True)
+        out[order] = both, np.bincount(back, np.concatenate([counts[own], times]), len(both)).astype(np.int64)
+        new, times = np.unique(shorter(both, order - 1), return_counts=True) if order else (new[:0], times[:0])
+    return out, (new, times)
+
+
+def totals(g: np.ndarray, c: np.ndarray, order: int) -> tuple[np.ndarray, ...]:
+    """Contexts of these symbols; each symbol's context; and of each context its count, its symbols, and those that stood there once."""
+    names, back = np.unique(contexts(g, order), return_inverse=True)
+    size = len(names)
+    return names, back, np.bincount(back, c, size).astype(np.int64), np.bincount(back, minlength=size), np.bincount(back, c == 1, size).astype(np.int64)
+
+
+def state(total: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Contexts are alike that have about the same count and number of symbols."""
+    level = lambda x: np.where(x <= 12, x, 12 + np.floor(2 * np.log2(np.maximum(x, 1) / 12))).astype(np.int64)
+    return level(total) * 64 + level(kinds)
+
+
+def outcomes(total: np.ndarray, kinds: np.ndarray, once: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """States, and how often the next symbol was an escape or not in each.
+
+    This is learned by leaving out each occurrence in turn: it was an escape if its symbol stood
+    there once.
     """
+    at, back = np.unique(np.concatenate([state(total - 1, kinds - 1), state(total - 1, kinds)]), return_inverse=True)
+    return at, np.bincount(back[: len(total)], once, len(at)).astype(np.int64), np.bincount(back[len(total) :], total - once, len(at)).astype(np.int64)
 
-    def level(x: np.ndarray) -> np.ndarray:
-        return np.where(x <= 12, x, 12 + np.floor(2 * np.log2(np.maximum(x, 1) / 12))).astype(np.int64)
 
-    state = lambda n, d: level(n) * 64 + level(d)
-    size = int(level(total).max() + 1) * 64
-    new = np.bincount(state(total - 1, kinds - 1), once, size)
-    old = np.bincount(state(total - 1, kinds), total - once, size)
-    guess = kinds / (total + kinds)
-    at = state(total, kinds)
-    return np.clip((new[at] + guess) / (new[at] + old[at] + 1), 1e-6, 0.98)
+def escapes(total: np.ndarray, kinds: np.ndarray, learned: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """The chance that a context's next symbol is new to it, for contexts with these counts."""
+    known, new, old = learned
+    new, old = np.append(new, 0), np.append(old, 0)
+    now = state(total, kinds)
+    at = np.minimum(np.searchsorted(known, now), len(known))
+    at[np.append(known, -1)[at] != now] = len(known)
+    return np.clip((new[at] + kinds / (total + kinds)) / (new[at] + old[at] + 1), 1e-6, 0.98)
 
 
 class Trie:
-    """Probabilities of seen symbols and escape weights of contexts, for each order, as sorted arrays."""
-
-    def __init__(self, grams: np.ndarray, counts: np.ndarray) -> None:
-        self.seen: list[tuple[np.ndarray, np.ndarray]] = []
-        self.escape: list[tuple[np.ndarray, np.ndarray]] = []
-        length = (grams >> np.uint64(56)).astype(np.int64)
-        tables: list[tuple[np.ndarray, np.ndarray]] = []
-        longer = np.zeros(0, np.uint64)
-        for order in range(ORDER, -1, -1):
-            own, n = grams[length == order + 1], counts[length == order + 1]
-            low = np.uint64((1 << 8 * (order + 1)) - 1)
-            new, times = np.unique((longer & low) | np.uint64(order + 1) << np.uint64(56), return_counts=True)
-            both, back = np.unique(np.concatenate([own, new]), return_inverse=True)
-            tables.append((both, np.bincount(back, np.concatenate([n, times]), len(both))))
-            longer = both
-        for order, (g, c) in enumerate(reversed(tables)):
+    """Probabilities of seen symbols and escape weights of contexts, for each order up to top, as sorted arrays.
+
+    Orders that ``below`` has are taken from it; states' outcomes by order are those ``learned``, or else
+    from these contexts alone.
+    """
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, top: int = ORDER, below: Trie | None = None, learned: dict | None = None) -> None:
+        self.seen: list[tuple[np.ndarray, np.ndarray]] = list(below.seen) if below else []
+        self.escape: list[tuple[np.ndarray, np.ndarray]] = list(below.escape) if below else []
+        tables, _ = counted(grams, counts, top, len(self.seen))
+        for order in range(len(self.seen), top + 1):
+            g, c = tables[order]
             if not len(g):
                 self.seen.append((g, np.zeros(0)))
                 self.escape.append((g, np.zeros(0)))
                 continue
-            context = self.context(g, order)
-            contexts, back = np.unique(context, return_inverse=True)
-            total, kinds = np.bincount(back, c), np.bincount(back)
-            escape = escapes(total, kinds, np.bincount(back, c == 1))
-            p = (1 - escape[back]) * c / total[back]
-            shorter = self.log_p(g, order - 1, order) if order else np.full(len(g), -np.log(SYMBOLS))
-            excluded = np.bincount(back, np.exp(shorter), len(contexts))
-            weight = escape / np.maximum(1 - excluded, 1e-9)
-            self.seen.append((g, np.log(p)))
-            self.escape.append((contexts, np.log(np.minimum(weight, 1.0))))
-
-    @staticmethod
-    def context(g: np.ndarray, order: int) -> np.ndarray:
-        return (g & np.uint64((1 << 56) - 1)) >> np.uint64(8) | np.uint64(order) << np.uint64(56)
+            names, back, total, kinds, once = totals(g, c, order)
+            escape = escapes(total, kinds, learned[order] if learned else outcomes(total, kinds, once))
+            less = self.log_p(g, order - 1, order) if order else np.full(len(g), -np.log(SYMBOLS))
+            excluded = np.bincount(back, np.exp(less), len(names))
+            self.seen.append((g, np.log((1 - escape[back]) * c / total[back])))
+            self.escape.append((names, np.log(np.minimum(escape / np.maximum(1 - excluded, 1e-9), 1.0))))
 
     @staticmethod
     def _find(table: tuple[np.ndarray, np.ndarray], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,39 +243,153 @@ class Trie:
         for k in range(order, -1, -1):
             if not len(left):
                 return out
-            key = (g[left] & np.uint64((1 << 8 * (k + 1)) - 1)) | np.uint64(k + 1) << np.uint64(56)
+            key = shorter(g[left], k)
             hit, p = self._find(self.seen[k], key)
             out[left[hit]] += p[hit]
             left, key = left[~hit], key[~hit]
-            known, weight = self._find(self.escape[k], self.context(key, k))
+            known, weight = self._find(self.escape[k], contexts(key, k))
             out[left[known]] += weight[known]
         out[left] -= np.log(SYMBOLS)
         return out
 
 
-def word_scores(tries: list[Trie], words: list[bytes]) -> list[np.ndarray]:
-    """For each trie, log10 probability of each word with the space after it (of the end mark, for an empty one)."""
-    buf, place, owner = sequences(words)
-    sums = [np.zeros(len(buf)) for _ in tries]
-    for order in range(1, ORDER + 1):
-        at = np.flatnonzero((place >= order) if order == ORDER else (place == order))
-        distinct, back = np.unique(keys(buf, order)[at], return_inverse=True)  # sorted: neighbours in the tables, too
-        for out, trie in zip(sums, tries, strict=True):
-            out[at] = trie.log_p(distinct, order, order)[back]
-    return [np.bincount(owner, out, len(words)) / np.log(10) for out in sums]
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows in order of their suffix, RUN or more at a time, without parting those of one suffix."""
+    held, size = [], 0
+    for b in batches:
+        suffix = b.column("suffix").to_numpy()
+        cuts = np.flatnonzero(np.diff(suffix)) + 1
+        if held and b.num_rows and held[-1].column("suffix")[-1].as_py() != suffix[0]:
+            cuts = np.r_[0, cuts]
+        if size + b.num_rows >= RUN and len(cuts):
+            cut = int(cuts[-1])
+            if size + cut:
+                yield pa.Table.from_batches([*held, b.slice(0, cut)])
+            held, size, b = [], 0, b.slice(cut)
+        if b.num_rows:
+            held.append(b)
+            size += b.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _trained(run: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    n = run.column(f"n{kind}").to_numpy()
+    return run.column("gram").to_numpy()[n > 0].view(np.uint64), n[n > 0]
 
 
-def _word_scores(tries):
+COUNTED = "what int, kind int, at long, x long, y long"
+
+
+def _counted(k: int):
+    """States' outcomes (what: the order, at: the state), and counts of symbols with LOW bytes of context or less (what: -1, at: the gram)."""
+
+    def rows(what: int, kind: int, at: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        fixed = [pa.array(np.full(len(at), v, np.int32)) for v in (what, kind)]
+        return pa.RecordBatch.from_arrays([*fixed, *(pa.array(v.astype(np.int64)) for v in (at, x, y))], names=["what", "kind", "at", "x", "y"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _runs(batches):
+            for j in range(k):
+                grams, n = _trained(part, j)
+                tables, (new, times) = counted(grams, n, ORDER, LOW + 1)
+                short = grams >> np.uint64(56) <= LOW + 1
+                yield rows(-1, j, np.concatenate([new, grams[short]]), np.concatenate([times, n[short]]), np.zeros(len(new) + short.sum()))
+                for order, (g, c) in tables.items():
+                    if len(g):
+                        yield rows(order, j, *outcomes(*totals(g, c, order)[2:]))
+
+    return run
+
+
+def _gram_scores(known):
+    """(gram, s0, s1, ...): log10 probability of each symbol after its longest context, by each kind's trie."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _runs(batches):
+            g = part.column("gram").to_numpy().view(np.uint64)
+            length = (g >> np.uint64(56)).astype(np.int64)
+            out = []
+            for j, (low, learned) in enumerate(known.value):
+                grams, n = _trained(part, j)
+                far = grams >> np.uint64(56) > LOW + 1
+                trie, s = Trie(grams[far], n[far], ORDER, low, learned), np.zeros(len(g), np.float32)
+                for order in range(1, ORDER + 1):
+                    at = np.flatnonzero(length == order + 1)
+                    s[at] = trie.log_p(g[at], order, order) / np.log(10)
+                out.append(s)
+            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), *map(pa.array, out)], names=["gram", *[f"s{j}" for j in range(len(out))]])
+
+    return run
+
+
+def _blocked(k: int):
+    """Blocks of distinct words, with their counts and the distinct symbols and contexts in them."""
+
+    def block(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        words = rows.column("word").to_pylist()
+        buf, place, _ = sequences(words)
+        grams = np.unique(longest(buf, place)[place > 0]).view(np.int64)
+        c = sum(rows.column(f"t{j}").to_numpy() for j in range(k))
+        lists = [pa.array([words], pa.list_(pa.binary())), pa.array([c], pa.list_(pa.int64())), pa.array([grams], pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65], pa.int64()), *lists], names=["block", "words", "c", "grams"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in batches:
-            for at in range(0, b.num_rows, 50_000):
-                part = b.slice(at, 50_000)
-                scores = [pa.array(x.astype(np.float32)) for x in word_scores(tries.value, part.column("word").to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column("word"), part.column("c"), *scores], names=["word", "c", *[f"s{j}" for j in range(len(scores))]])
+            held.append(b)
+            size += max(b.num_rows, b.nbytes >> 5)
+            if size >= BLOCK:
+                yield block(held)
+                held, size = [], 0
+        if size:
+            yield block(held)
+
+    return run
+
+
+def _word_scores(k: int):
+    """Scores of a block's words: their symbols' ones, summed."""
+
+    def run(key, blocks: pa.Table, found: pa.Table) -> pa.Table:
+        grams = found.column("gram").to_numpy()
+        order = np.argsort(grams)
+        grams = grams[order].view(np.uint64)
+        out = []
+        for i in range(blocks.num_rows):
+            words = blocks.column("words")[i].as_py()
+            buf, place, owner = sequences(words)
+            at = np.flatnonzero(place > 0)
+            where = order[np.searchsorted(grams, longest(buf, place)[at])]
+            sums = [np.bincount(owner[at], found.column(f"s{j}").to_numpy()[where], len(words)).astype(np.float32) for j in range(k)]
+            out.append(pa.table([pa.array(words, pa.binary()), blocks.column("c")[i].values, *map(pa.array, sums)], names=["word", "c", *[f"s{j}" for j in range(k)]]))
+        return pa.concat_tables(out)
 
     return run
 
 
+def _by_suffix(grams: DataFrame) -> DataFrame:
+    """Grams with the same newest LOW + 1 bytes of context in one partition, side by side."""
+    suffix = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * (LOW + 1)) - 1))
+    return grams.withColumn("suffix", suffix).repartition("suffix").sortWithinPartitions("suffix")
+
+
+def _short_tries(rows: pa.Table, k: int) -> list[tuple[Trie, dict]]:
+    """For each kind, the trie of contexts of LOW bytes or less, and the outcomes of states of each longer order."""
+    what, kind, at, x, y = (rows.column(c).to_numpy() for c in ("what", "kind", "at", "x", "y"))
+    out = []
+    for j in range(k):
+        own = (kind == j) & (what == -1)
+        learned = {}
+        for order in range(LOW + 1, ORDER + 1):
+            mine = np.flatnonzero((kind == j) & (what == order))
+            mine = mine[np.argsort(at[mine])]
+            learned[order] = at[mine], x[mine], y[mine]
+        out.append((Trie(at[own].view(np.uint64), x[own], LOW), learned))
+    return out
+
+
 def _documents(n: int, v: int, shares: list[float]):
     """Scores of a chunk's documents: the words' base and code lengths, summed, and mixed over the kinds."""
 
@@ -300,14 +444,23 @@ def scored(docs: DataFrame) -> DataFrame:
     settle(spark)  # the shuffle of the chunks' words is done with
     total = sum((F.col(t) for t in names[1:]), F.col(names[0]))
     n, v = words.agg(F.coalesce(F.sum(total), F.lit(0)), F.count_if(total > 0)).first()
-    grams = words.mapInArrow(_grams, "kind int, gram long, n long").groupBy("kind", "gram").agg(F.sum("n").alias("n"))
-    top = grams.orderBy(F.desc("n"), "kind", "gram").limit(NODES).toArrow()
-    of, gram, times = (top.column(x).to_numpy() for x in ("kind", "gram", "n"))
-    tries = spark.sparkContext.broadcast([Trie(gram[of == j].view(np.uint64), times[of == j]) for j in range(k)])
     scores = [f"s{j}" for j in range(k)]
-    known = words.select("word", total.alias("c")).mapInArrow(_word_scores(tries), "word binary, c long" + "".join(f", {x} float" for x in scores))
-    known = written(known.select(F.xxhash64("word").alias("h"), "c", *scores), "ppm-known")
+    ns = [f"n{j}" for j in range(k)]
+    grams = words.mapInArrow(_grams(k), "gram long" + "".join(f", {x} long" for x in ns)).groupBy("gram").agg(*[F.sum(x).alias(x) for x in ns])
+    grams = written(grams, "ppm-grams")
+    blocks = written(words.mapInArrow(_blocked(k), "block long, words array<binary>, c array<long>, grams array<long>"), "ppm-blocks")
     drop(words)
+    counts = _by_suffix(grams).mapInArrow(_counted(k), COUNTED).groupBy("what", "kind", "at").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    short = spark.sparkContext.broadcast(_short_tries(counts.toArrow(), k))
+    floats = "".join(f", {x} float" for x in scores)
+    gram_scores = written(_by_suffix(grams).mapInArrow(_gram_scores(short), "gram long" + floats), "ppm-gram-scores")
+    drop(grams)
+    settle(spark)
+    held = blocks.select(F.col("block").alias("home"), F.explode("grams").alias("gram")).join(gram_scores, "gram")
+    known = blocks.drop("grams").groupBy("block").cogroup(held.groupBy("home")).applyInArrow(_word_scores(k), "word binary, c long" + floats)
+    known = written(known.select(F.xxhash64("word").alias("h"), "c", *scores), "ppm-known")
+    drop(blocks)
+    drop(gram_scores)
     settle(spark)
     # Words meet by a 64-bit hash, which is shorter than most of them.
     each = coded.select(F.col("chunk").alias("home"), F.posexplode("words").alias("place", "word")).select("home", "place", F.xxhash64("word").alias("h"))

@@ -175,6 +175,34 @@ def test_ppm(spark, docs):
     assert ppm.scored(empty(spark).select("doc_id", "text", F.col("lang").alias("kind"), F.lit(False).alias("held_out"))).count() == 0
 
 
+def test_ppm_tries_are_those_of_all_contexts(spark, docs):
+    """Scores by tries that lie in parts equal those by whole ones."""
+    held = F.coalesce(F.pmod(F.col("doc_id"), F.lit(4)) == 2, F.lit(False))
+    got = ppm.scored(docs.select("doc_id", "text", F.col("lang").alias("kind")).withColumn("held_out", held)).collect()
+    rows = [(r["doc_id"], r["lang"], [x.encode() for x in WORDS.findall((r["text"] or "").translate(LOW))] + [b""]) for r in docs.collect()]
+    train = [(lang, words) for i, lang, words in rows if i is None or i % 4 != 2]
+    size = Counter(lang for lang, _ in train)
+    kinds = sorted(size, key=lambda x: (-size[x], x is not None, x or ""))[: ppm.KINDS]
+    of = lambda lang: kinds.index(lang) if lang in kinds else len(kinds)
+    grams = [Counter() for _ in range(len(kinds) + 1)]
+    for lang, words in train:
+        buf, place, _ = ppm.sequences(words)
+        grams[of(lang)].update(ppm.longest(buf, place)[place > 0].tolist())
+    tries = [ppm.Trie(np.array(list(g), np.uint64), np.array(list(g.values()), np.int64)) for g in grams]
+    shares = np.array([*(size[x] for x in kinds), sum(size.values()) - sum(size[x] for x in kinds)]) + 0.5
+    want = []
+    for i, _, words in rows:
+        buf, place, _ = ppm.sequences(words)
+        g = ppm.longest(buf, place)[place > 0]
+        order = (g >> np.uint64(56)).astype(int) - 1
+        each = np.array([sum(t.log_p(g[order == k], k, k).sum() for k in range(1, ppm.ORDER + 1)) for t in tries]) + np.log(shares / shares.sum())
+        want.append((-1 if i is None else i, len(words), (each.max() + np.log(np.exp(each - each.max()).sum())) / np.log(10)))
+    have = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"], r["score"]) for r in got)
+    assert len(have) == len(want)
+    for (i, n, x), (j, m, y) in zip(have, sorted(want)):
+        assert (i, n) == (j, m) and x == pytest.approx(y, rel=1e-4, abs=1e-3)
+
+
 def test_ppm_is_a_distribution():
     words = [b"the", b"then", b"a", b"", b"that", "é".encode()] * 3 + [b"these"]
     buf, place, _ = ppm.sequences(words)
