@@ -452,6 +452,7 @@ def scored(docs: DataFrame) -> DataFrame:
     drop(words)
     counts = _by_suffix(grams).mapInArrow(_counted(k), COUNTED).groupBy("what", "kind", "at").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
     short = spark.sparkContext.broadcast(_short_tries(counts.toArrow(), k))
+    del counts
     floats = "".join(f", {x} float" for x in scores)
     gram_scores = written(_by_suffix(grams).mapInArrow(_gram_scores(short), "gram long" + floats), "ppm-gram-scores")
     drop(grams)
@@ -464,7 +465,10 @@ def scored(docs: DataFrame) -> DataFrame:
     settle(spark)
     # Words meet by a 64-bit hash, which is shorter than most of them.
     each = coded.select(F.col("chunk").alias("home"), F.posexplode("words").alias("place", "word")).select("home", "place", F.xxhash64("word").alias("h"))
-    found = each.join(known, "h").select("home", "place", "c", *scores)
+    # Written between its two shuffles: a word's rows lie together, so that its values take little room, and the first one's files can go.
+    found = written(each.join(known, "h").select("home", "place", "c", *scores), "ppm-found", compression="zstd")
+    drop(known)
+    settle(spark)
     light = coded.drop("words", *names)
     return light.groupBy("chunk").cogroup(found.groupBy("home")).applyInArrow(_documents(n, v, (sizes / sizes.sum()).tolist()), SCORES)
 
