@@ -1,0 +1,110 @@
+"""Order-dependent operators on the rows of one page: suppression, first-match clusters, exhaustive line fits.
+
+A page's rows are few by nature (labels on a sheet); pages are dealt by key, and each is handled with
+numpy in memory that its own rows bound. Nothing is gathered across pages.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from plumbline.session import table
+
+
+def suppressed(boxes: np.ndarray, iou: float) -> np.ndarray:
+    """Which boxes (x0, y0, x1, y1; best first) stay: those that overlap no better one that stays by more than iou."""
+    area = np.maximum(boxes[:, 2] - boxes[:, 0], 0) * np.maximum(boxes[:, 3] - boxes[:, 1], 0)
+    stays = np.zeros(len(boxes), bool)
+    for i in range(len(boxes)):
+        kept = boxes[stays]
+        side = np.minimum(kept[:, 2:], boxes[i, 2:]) - np.maximum(kept[:, :2], boxes[i, :2])
+        common = np.maximum(side, 0).prod(axis=1)
+        stays[i] = not (common > iou * (area[stays] + area[i] - common)).any()
+    return stays
+
+
+def non_max_suppression(df: DataFrame, page: str, key: str, score: str, box: tuple[str, str, str, str], iou: float = 0.3) -> DataFrame:
+    """(page, key) of the boxes of each page that stay; the higher score goes first, ties by key. Null scores and coordinates are out."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([score, key, *box], ascending=[False, True, True, True, True, True], kind="stable")
+        return rows.loc[suppressed(rows[list(box)].to_numpy(float), iou), [page, key]]
+
+    used = df.select(page, key, score, *box).dropna()
+    return used.groupBy(page).applyInPandas(run, used.select(page, key).schema)
+
+
+def first_match(points: np.ndarray, radius: float) -> np.ndarray:
+    """Cluster of each point: the first whose centroid so far lies within radius, else a new one."""
+    sums, sizes, out = np.zeros((len(points), 2)), np.zeros(len(points)), np.zeros(len(points), np.int64)
+    n = 0
+    for i, p in enumerate(points):
+        centres = sums[:n] / sizes[:n, None]
+        near = np.flatnonzero(((centres - p) ** 2).sum(axis=1) <= radius * radius)
+        out[i] = near[0] if len(near) else n
+        n += not len(near)
+        sums[out[i]] += p
+        sizes[out[i]] += 1
+    return out
+
+
+def first_match_clusters(df: DataFrame, page: str, key: str, x: str, y: str, radius: float) -> DataFrame:
+    """(page, cluster, n, x, y): clusters of each page's points in order of key; x and y are the centroid."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([key, x, y], kind="stable")
+        rows["cluster"] = first_match(rows[[x, y]].to_numpy(float), radius)
+        out = rows.groupby("cluster", as_index=False).agg(n=(x, "size"), x=(x, "mean"), y=(y, "mean"))
+        out.insert(0, page, rows[page].iloc[0])
+        return out
+
+    used = df.select(page, key, F.col(x).cast("double"), F.col(y).cast("double")).dropna()
+    return used.groupBy(page).applyInPandas(run, f"{page} long, cluster long, n long, x double, y double")
+
+
+def best_line(x: np.ndarray, y: np.ndarray, tolerance: float) -> tuple[float, float, int]:
+    """Line through two of the points with the most points within tolerance; of equals the one of the least residual, then the first pair."""
+    best = (0, 0.0, 0.0, 0.0)
+    for i in range(len(x)):
+        for j in range(i + 1, len(x)):
+            if x[i] == x[j]:
+                continue
+            slope = (y[j] - y[i]) / (x[j] - x[i])
+            away = np.abs(y - y[i] - slope * (x - x[i]))
+            inside = away <= tolerance
+            found = (int(inside.sum()), -round(float(away[inside].sum()), 9), slope, y[i] - slope * x[i])
+            if found[:2] > best[:2] or not best[0]:
+                best = found
+    return best[2], best[3], best[0]
+
+
+def ransac_lines(df: DataFrame, page: str, x: str, y: str, tolerance: float) -> DataFrame:
+    """(page, slope, offset_v, inliers): the consensus line of each page; pages without two different x have none."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([x, y])
+        slope, offset, inliers = best_line(rows[x].to_numpy(), rows[y].to_numpy(), tolerance)
+        return pd.DataFrame({page: rows[page].iloc[:1], "slope": slope, "offset_v": offset, "inliers": inliers})[: int(inliers > 0)]
+
+    used = df.select(page, F.col(x).cast("double"), F.col(y).cast("double")).dropna()
+    return used.groupBy(page).applyInPandas(run, f"{page} long, slope double, offset_v double, inliers long")
+
+
+def nms_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of each order as boxes: quantity and line number place them, their size is fixed."""
+    d = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_discount", F.col("l_quantity").alias("x0"), F.col("l_linenumber").cast("double").alias("y0"))
+    return non_max_suppression(d.withColumn("x1", F.col("x0") + 10).withColumn("y1", F.col("y0") + 4), "l_orderkey", "l_partkey", "l_discount", ("x0", "y0", "x1", "y1"))
+
+
+def clustered_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return first_match_clusters(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey", "l_quantity", "l_linenumber", 8.0)
+
+
+def consensus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ransac_lines(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_quantity", 3.0)
+
+
+QUERIES = {"nms_labels": nms_labels, "clustered_crossings": clustered_crossings, "consensus_lines": consensus_lines}
+ORACLES: dict[str, str] = {}

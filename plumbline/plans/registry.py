@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from plumbline.plans import linkage, scoring
+from plumbline.operators import greedy
+from plumbline.plans import linkage, rules, scoring
+from plumbline.streaming import upsert
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (scoring, linkage):
+for _module in (scoring, linkage, rules, greedy, upsert):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
