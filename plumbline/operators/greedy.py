@@ -1,11 +1,14 @@
 """Order-dependent operators on the rows of one page: suppression, first-match clusters, exhaustive line fits.
 
-A page's rows are few by nature (labels on a sheet); pages are dealt by key, and each is handled with
-numpy in memory that its own rows bound. Nothing is gathered across pages.
+A page's rows are few by nature (labels on a sheet); pages are dealt by key and sorted by Spark, and a
+task takes whole pages from its sorted rows batch by batch, as a call for each small page would cost
+far more than its work. Nothing is gathered across pages.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -13,6 +16,30 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from plumbline.session import table
 
 
+def by_page(df: DataFrame, page: str, order: list, made: Callable[[pd.DataFrame], pd.DataFrame], schema) -> DataFrame:
+    """What made returns for frames of whole pages, whose rows are in order."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for b in batches:
+            rows = b if held is None else pd.concat([held, b], ignore_index=True)
+            if not len(rows):
+                continue
+            last = rows[page].to_numpy() == rows[page].iloc[-1]
+            held = rows[last]
+            if not last.all():
+                yield made(rows[~last])
+        if held is not None:
+            yield made(held)
+
+    return df.repartition(page).sortWithinPartitions(page, *order).mapInPandas(run, schema)
+
+
+def edges(pages: pd.Series) -> list[tuple[int, int]]:
+    cuts = np.flatnonzero(np.diff(pages.to_numpy())) + 1
+    return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(pages)]))
+
+
 def suppressed(boxes: np.ndarray, iou: float) -> np.ndarray:
     """Which boxes (x0, y0, x1, y1; best first) stay: those that overlap no better one that stays by more than iou."""
     area = np.maximum(boxes[:, 2] - boxes[:, 0], 0) * np.maximum(boxes[:, 3] - boxes[:, 1], 0)
@@ -28,12 +55,12 @@ def suppressed(boxes: np.ndarray, iou: float) -> np.ndarray:
 def non_max_suppression(df: DataFrame, page: str, key: str, score: str, box: tuple[str, str, str, str], iou: float = 0.3) -> DataFrame:
     """(page, key) of the boxes of each page that stay; the higher score goes first, ties by key. Null scores and coordinates are out."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([score, key, *box], ascending=[False, True, True, True, True, True], kind="stable")
-        return rows.loc[suppressed(rows[list(box)].to_numpy(float), iou), [page, key]]
+    def made(rows: pd.DataFrame) -> pd.DataFrame:
+        boxes = rows[list(box)].to_numpy(float)
+        return rows.loc[np.concatenate([suppressed(boxes[i:j], iou) for i, j in edges(rows[page])]), [page, key]]
 
     used = df.select(page, key, score, *box).dropna()
-    return used.groupBy(page).applyInPandas(run, used.select(page, key).schema)
+    return by_page(used, page, [F.desc(score), key, *box], made, used.select(page, key).schema)
 
 
 def first_match(points: np.ndarray, radius: float) -> np.ndarray:
@@ -53,15 +80,14 @@ def first_match(points: np.ndarray, radius: float) -> np.ndarray:
 def first_match_clusters(df: DataFrame, page: str, key: str, x: str, y: str, radius: float) -> DataFrame:
     """(page, cluster, n, x, y): clusters of each page's points in order of key; x and y are the centroid."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([key, x, y], kind="stable")
-        rows["cluster"] = first_match(rows[[x, y]].to_numpy(float), radius)
-        out = rows.groupby("cluster", as_index=False).agg(n=(x, "size"), x=(x, "mean"), y=(y, "mean"))
-        out.insert(0, page, rows[page].iloc[0])
-        return out
+    def made(rows: pd.DataFrame) -> pd.DataFrame:
+        points = rows[[x, y]].to_numpy(float)
+        cluster = np.concatenate([first_match(points[i:j], radius) for i, j in edges(rows[page])])
+        at = pd.DataFrame({page: rows[page].to_numpy(), "cluster": cluster, "x": points[:, 0], "y": points[:, 1]})
+        return at.groupby([page, "cluster"], as_index=False).agg(n=("x", "size"), x=("x", "mean"), y=("y", "mean"))
 
     used = df.select(page, key, F.col(x).cast("double"), F.col(y).cast("double")).dropna()
-    return used.groupBy(page).applyInPandas(run, f"{page} long, cluster long, n long, x double, y double")
+    return by_page(used, page, [key, x, y], made, f"{page} long, cluster long, n long, x double, y double")
 
 
 def best_line(x: np.ndarray, y: np.ndarray, tolerance: float) -> tuple[float, float, int]:
@@ -83,13 +109,13 @@ def best_line(x: np.ndarray, y: np.ndarray, tolerance: float) -> tuple[float, fl
 def ransac_lines(df: DataFrame, page: str, x: str, y: str, tolerance: float) -> DataFrame:
     """(page, slope, offset_v, inliers): the consensus line of each page; pages without two different x have none."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([x, y])
-        slope, offset, inliers = best_line(rows[x].to_numpy(), rows[y].to_numpy(), tolerance)
-        return pd.DataFrame({page: rows[page].iloc[:1], "slope": slope, "offset_v": offset, "inliers": inliers})[: int(inliers > 0)]
+    def made(rows: pd.DataFrame) -> pd.DataFrame:
+        pages, xs, ys = (rows[c].to_numpy() for c in (page, x, y))
+        found = [(pages[i], *best_line(xs[i:j], ys[i:j], tolerance)) for i, j in edges(rows[page])]
+        return pd.DataFrame([f for f in found if f[3]], columns=[page, "slope", "offset_v", "inliers"])
 
     used = df.select(page, F.col(x).cast("double"), F.col(y).cast("double")).dropna()
-    return used.groupBy(page).applyInPandas(run, f"{page} long, slope double, offset_v double, inliers long")
+    return by_page(used, page, [x, y], made, f"{page} long, slope double, offset_v double, inliers long")
 
 
 def nms_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
