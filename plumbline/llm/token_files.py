@@ -29,8 +29,8 @@ from plumbline.llm.store import new_path, small, written
 from plumbline.llm.textkit import column_bytes, span_hashes
 
 END = 0
-#: Pieces a worker remembers, those of them in the part where new ones are put, and the longest that a hash stands for.
-MEMORY, RECENT, LONG_PIECE = 1_000_000, 60_000, 1 << 12
+#: Pieces a worker remembers, and the longest that a hash stands for.
+MEMORY, LONG_PIECE = 1_000_000, 1 << 12
 #: Bytes encoded at a time, and rows taken from a batch at a time.
 RUN, ROWS = 1 << 19, 500
 FILES = {"compression": "zstd", "parquet.block.size": str(32 << 20), "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": str(2 << 20)}
@@ -42,30 +42,63 @@ _CUT = re.compile(rb" (?=[\x21-\x7e\xc3])")
 
 
 class Pieces:
-    """Ids of pieces by hash: keys ascending, with where each piece's ids start and how many they are."""
-
-    def __init__(self, keys: np.ndarray | None = None, lengths: np.ndarray | None = None, ids: np.ndarray | None = None) -> None:
-        if keys is None:
-            keys, lengths, ids = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
-        order = np.argsort(keys)
-        self.keys, self.ids = keys[order], ids.astype(np.int32)
-        self.starts, self.lengths = (np.cumsum(lengths) - lengths)[order].astype(np.int32), lengths[order].astype(np.int32)
-
-    def plus(self, other: Pieces) -> Pieces:
-        out = Pieces()
-        at = np.searchsorted(self.keys, other.keys)
-        out.keys = np.insert(self.keys, at, other.keys)
-        out.lengths = np.insert(self.lengths, at, other.lengths)
-        out.starts = np.insert(self.starts, at, other.starts + np.int32(len(self.ids)))
-        out.ids = np.concatenate([self.ids, other.ids])
+    """Ids of pieces by hash: an open-addressed table of keys, with where each piece's ids start and how many they are."""
+
+    def __init__(self) -> None:
+        self.size, self.filled = 0, 0
+        self.keys, self.starts, self.lengths = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32)
+        self.ids = np.zeros(1 << 14, np.int32)
+        self._slots(1 << 14)
+
+    def _slots(self, n: int) -> None:
+        self.mask, self.table, self.entry = np.int64(n - 1), np.zeros(n, np.uint64), np.zeros(n, np.int32)
+        self._place(np.arange(self.size, dtype=np.int32))
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(20)).astype(np.int64) & self.mask
+
+    def _place(self, entries: np.ndarray) -> None:
+        keys = self.keys[entries]
+        slot = self._first(keys)
+        while len(entries):
+            free = self.table[slot] == 0
+            self.table[slot[free]] = keys[free]
+            self.entry[slot[free]] = entries[free]
+            left = self.entry[slot] != entries
+            left |= self.table[slot] != keys
+            keys, entries, slot = keys[left], entries[left], (slot[left] + 1) & self.mask
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The entry of each key, or -1."""
+        slot = self._first(wanted)
+        held = self.table[slot]
+        out = np.where(held == wanted, self.entry[slot], np.int32(-1))
+        left = np.flatnonzero((held != wanted) & (held != 0))
+        while len(left):
+            slot = (slot if len(slot) == len(left) else slot[left]) + 1 & self.mask
+            held, keys = self.table[slot], wanted[left]
+            hit = held == keys
+            out[left[hit]] = self.entry[slot[hit]]
+            more = ~hit & (held != 0)
+            left, slot = left[more], slot[more]
         return out
 
-    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.keys):
-            return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64)
-        at = np.searchsorted(self.keys, wanted)
-        at[at == len(self.keys)] = 0
-        return self.keys[at] == wanted, at
+    def add(self, keys: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
+        """Adds distinct keys that aren't in the table; ids holds their ids one after the other."""
+        n, total = self.size + len(keys), self.filled + len(ids)
+        while n > len(self.keys):
+            self.keys, self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.keys, self.starts, self.lengths))
+        while total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.keys[self.size : n], self.lengths[self.size : n] = keys, lengths
+        self.starts[self.size : n] = self.filled + np.cumsum(lengths) - lengths
+        self.ids[self.filled : total] = ids
+        entries = np.arange(self.size, n, dtype=np.int32)
+        self.size, self.filled = n, total
+        if 2 * n > len(self.table):
+            self._slots(1 << (2 * n).bit_length())
+        else:
+            self._place(entries)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -94,7 +127,6 @@ class Encoder:
 
     def forget(self) -> None:
         self.known = Pieces()
-        self.recent = Pieces()
 
     def raw(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -117,14 +149,7 @@ class Encoder:
         for x in self.raw([p.decode("utf-8") for p in pieces[spaced:]]) if spaced < len(pieces) else ():
             ids.append(np.array(x, np.int32))
             lengths.append(np.array([len(x)]))
-        self.recent = self.recent.plus(Pieces(keys, np.concatenate(lengths), np.concatenate(ids)))
-
-    def settle(self) -> None:
-        """Between runs: puts recent pieces with the others, or forgets all if there are too many."""
-        if len(self.recent.keys) > RECENT:
-            self.known, self.recent = self.known.plus(self.recent), Pieces()
-        if len(self.known.keys) > MEMORY:
-            self.forget()
+        self.known.add(keys, np.concatenate(lengths), np.concatenate(ids))
 
     def encode(self, buf: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts that start at cuts in buf (the last one ends with it), and how many each has."""
@@ -138,23 +163,19 @@ class Encoder:
         keys = span_hashes(buf, starts, ends)
         for a, z, k in ((a, z, k) for k, (a, z) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)) if z - a > LONG_PIECE) if (ends - starts).max() > LONG_PIECE else ():
             keys[k] ^= np.uint64(zlib.crc32(buf[a:z].tobytes()))
-        self.settle()
-        old, at_old = self.known.find(keys)
-        new, at_new = self.recent.find(keys)
-        missing = ~(old | new)
-        if missing.any():
-            _, at = np.unique(keys[missing], return_index=True)
-            at = np.flatnonzero(missing)[at]
-            self.learn(keys[at], [buf[starts[i] : ends[i]].tobytes() for i in at.tolist()])
-            new, at_new = self.recent.find(keys)
-        n = np.where(old, self.known.lengths[at_old] if len(self.known.keys) else 0, self.recent.lengths[at_new] if len(self.recent.keys) else 0).astype(np.int64)
-        shift = len(self.known.ids)
-        begin = np.where(old, self.known.starts[at_old] if len(self.known.keys) else 0, (self.recent.starts[at_new] if len(self.recent.keys) else 0) + shift).astype(np.int64)
+        keys[keys == 0] = np.uint64(1)  # an empty slot's key
+        if self.known.size > MEMORY:
+            self.forget()
+        at = self.known.find(keys)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            fresh, first_at, back = np.unique(keys[missing], return_index=True, return_inverse=True)
+            spans = missing[first_at]
+            self.learn(fresh, [buf[a:z].tobytes() for a, z in zip(starts[spans].tolist(), ends[spans].tolist(), strict=True)])
+            at[missing] = self.known.find(fresh)[back]
+        n = self.known.lengths[at].astype(np.int64)
         total = np.r_[0, np.cumsum(n)]
-        place = np.arange(total[-1]) - np.repeat(total[:-1], n) + np.repeat(begin, n)
-        ids = np.empty(len(place), np.int32)
-        first = place < shift
-        ids[first], ids[~first] = self.known.ids[place[first]], self.recent.ids[place[~first] - shift]
+        ids = self.known.ids[np.arange(total[-1]) + np.repeat(self.known.starts[at] - total[:-1], n)]
         edges = total[np.searchsorted(starts, np.r_[cuts, len(buf)])]
         return ids, np.diff(edges)
 
