@@ -276,5 +276,6 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
-    checked = read_tokens(spark, path).mapInArrow(_checked, "doc_id long, part int, pos long, n_tokens long, ids_crc32 long")
+    # The ids are decoded once: what starts() reads twice is the digests.
+    checked = written(read_tokens(spark, path).mapInArrow(_checked, "doc_id long, part int, pos long, n_tokens long, ids_crc32 long"), "token-digests")
     return starts(checked).select("doc_id", "start", "n_tokens", "ids_crc32")
