@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from plumbline.operators import greedy
+from plumbline.operators import fits, graph, greedy
 from plumbline.plans import linkage, rules, scoring
 from plumbline.streaming import upsert
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (scoring, linkage, rules, greedy, upsert):
+for _module in (scoring, linkage, rules, greedy, graph, fits, upsert):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)

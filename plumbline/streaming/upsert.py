@@ -6,17 +6,11 @@ epoch folder, so a batch that is run again overwrites its folder; readers take t
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.session import table
-
-
-def shared_dir(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or f"file://{tempfile.mkdtemp(prefix='stream-')}").rstrip("/")
+from plumbline.session import shared_dir, table
 
 
 def upserted(stream: DataFrame, keys: list[str]) -> DataFrame:
