@@ -109,11 +109,11 @@ def page_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def claim_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hops(query(f"WITH {_CLAIMS} SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM claims WHERE (a + b) % 3 = 0")(spark, sf_dir), spark.range(1).select(F.lit(0).cast("long").alias("node")), 4)
+    return hops(query(f"WITH {_CLAIMS} SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM claims")(spark, sf_dir), spark.range(1).select(F.lit(0).cast("long").alias("node")), 4)
 
 
 def claim_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each supplier takes one of its three largest lines; two suppliers with following keys pay for unlike discounts."""
+    """Each supplier takes one of its three largest lines; two suppliers with following keys within a volume of five pay for unlike discounts."""
     from pyspark.sql import Window
 
     order = Window.partitionBy("l_suppkey").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_partkey", "l_linenumber")
@@ -122,13 +122,13 @@ def claim_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = top.select(F.col("node").alias("a"), F.col("option").alias("oa"), F.col("d").alias("da")).join(
         top.select((F.col("node") - 1).alias("a"), F.col("node").alias("b"), F.col("option").alias("ob"), F.col("d").alias("db")), "a"
     )
-    return joint_choice(top.drop("d"), near.where("a % 5 > 0").select("a", "oa", "b", "ob", F.abs(F.col("da") - F.col("db")).alias("energy")))
+    return joint_choice(top.drop("d"), near.where("floor(a / 5) = floor(b / 5)").select("a", "oa", "b", "ob", F.abs(F.col("da") - F.col("db")).alias("energy")))
 
 
 QUERIES = {"page_components": page_components, "claim_hops": claim_hops, "claim_choice": claim_choice}
 ORACLES = {
     "page_components": """WITH p AS (SELECT DISTINCT l_partkey AS node FROM lineitem WHERE l_quantity >= 49), g AS (SELECT node, node - row_number() OVER (ORDER BY node) AS island FROM p)
 SELECT node, min(node) OVER (PARTITION BY island) AS component FROM g QUALIFY count(*) OVER (PARTITION BY island) > 1""",
-    "claim_hops": f"""WITH RECURSIVE {_CLAIMS}, e AS (SELECT a, b FROM claims WHERE (a + b) % 3 = 0 UNION SELECT b, a FROM claims WHERE (a + b) % 3 = 0),
+    "claim_hops": f"""WITH RECURSIVE {_CLAIMS}, e AS (SELECT a, b FROM claims UNION SELECT b, a FROM claims),
 r AS (SELECT 0 AS node, 0 AS hop UNION SELECT e.b, r.hop + 1 FROM r JOIN e ON e.a = r.node WHERE r.hop < 4) SELECT node::BIGINT AS node, min(hop) AS hop FROM r GROUP BY node""",
 }

@@ -37,7 +37,7 @@ FROM e JOIN g p ON e.a = p.v JOIN g q ON e.b = q.v""",
 s AS (SELECT user_id, ts, sum(CASE WHEN prev IS NULL OR ts > prev + INTERVAL '30' MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session FROM e)
 SELECT user_id, session, count(*) AS n FROM s GROUP BY user_id, session""",
     "haversine": f"""WITH {_POINTS}, p AS (SELECT s.id, radians(s.x / 20) AS lon1, radians(s.y / 20) AS lat1, radians(c.x / 20) AS lon2, radians(c.y / 20) AS lat2 FROM sup s JOIN cus c ON s.id = c.id)
-SELECT id, round(2 * 6371008.8 * asin(sqrt(sin((lat2 - lat1) / 2) * sin((lat2 - lat1) / 2) + cos(lat1) * cos(lat2) * sin((lon2 - lon1) / 2) * sin((lon2 - lon1) / 2))), 2) AS metres,
+SELECT id, round(2 * (20925524e0 / 3.280839895e0) * asin(sqrt(sin((lat2 - lat1) / 2) * sin((lat2 - lat1) / 2) + cos(lat1) * cos(lat2) * sin((lon2 - lon1) / 2) * sin((lon2 - lon1) / 2))), 2) AS metres,
   round(degrees(atan2(sin(lon2 - lon1) * cos(lat2), cos(lat1) * sin(lat2) - sin(lat1) * cos(lat2) * cos(lon2 - lon1))), 5) AS bearing FROM p""",
 }
 
