@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from plumbline.operators import fits, graph, greedy
+from plumbline.operators import fits, graph, greedy, polygons
 from plumbline.plans import linkage, rules, scalars, scoring
 from plumbline.streaming import upsert
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (scoring, linkage, rules, scalars, greedy, graph, fits, upsert):
+for _module in (scoring, linkage, rules, scalars, greedy, graph, fits, polygons, upsert):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
