@@ -75,18 +75,20 @@ def overlapping(rings: DataFrame, footprints: DataFrame, cell: float, least: flo
     """(id, fid, overlap, containment, iou) for pairs that share at least ``least`` area.
 
     rings: (id, ring); footprints: (fid, convex). Pairs meet on grid cells that both boxes touch, and only in the first such
-    cell, so no pair is made twice; a cell should be about the size of a footprint.
+    cell, so no pair is made twice; a cell should be about the size of a footprint. Pairs whose boxes are apart never reach
+    Python. The number of partitions is stated, as small tables of many pairs would be put into one task otherwise.
     """
+    n = int(rings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def boxed(df: DataFrame, ring: str) -> DataFrame:
-        low = lambda i: F.floor(F.array_min(F.transform(ring, lambda p: p[i])) / cell)
-        high = lambda i: F.floor(F.array_max(F.transform(ring, lambda p: p[i])) / cell)
-        box = df.where(F.size(ring) > 2).select("*", low(0).alias("x0"), low(1).alias("y0"), F.explode(F.sequence(low(0), high(0))).alias("cx"), high(1).alias("y1"))
-        return box.select("*", F.explode(F.sequence("y0", "y1")).alias("cy")).drop("y1")
+    def boxed(df: DataFrame, ring: str, p: str) -> DataFrame:
+        side = lambda of, i, name: of(F.transform(ring, lambda q: q[i])).alias(p + name)
+        box = df.where(F.size(ring) > 2).select("*", side(F.array_min, 0, "x0"), side(F.array_min, 1, "y0"), side(F.array_max, 0, "x1"), side(F.array_max, 1, "y1"))
+        cells = lambda axis: F.explode(F.sequence(F.floor(F.col(f"{p}{axis}0") / cell), F.floor(F.col(f"{p}{axis}1") / cell)))
+        return box.select("*", cells("x").alias("cx")).select("*", cells("y").alias("cy")).repartition(n, "cx", "cy")
 
-    a = boxed(rings, "ring")
-    b = boxed(footprints, "convex").withColumnsRenamed({"x0": "fx0", "y0": "fy0"})
-    met = a.join(b, ["cx", "cy"]).where((F.col("cx") == F.greatest("x0", "fx0")) & (F.col("cy") == F.greatest("y0", "fy0")))
+    first = lambda axis: F.floor(F.greatest(f"a{axis}0", f"b{axis}0") / cell)
+    met = boxed(rings, "ring", "a").join(boxed(footprints, "convex", "b"), ["cx", "cy"]).where((F.col("cx") == first("x")) & (F.col("cy") == first("y")))
+    met = met.where("ax0 <= bx1 AND bx0 <= ax1 AND ay0 <= by1 AND by0 <= ay1")
     return met.select("id", "fid", overlay("ring", "convex").alias("o")).where(F.col("o.overlap") >= least).select("id", "fid", "o.*")
 
 
