@@ -1,27 +1,26 @@
 """Language-model scoring by partial matching (PPM) over bytes.
 
-Text is coded word by word. A word's bytes and the space after it are predicted from up to ``ORDER``
-bytes before them, back to the space before the word; a document ends with an end mark in place of a
-word. The trie of byte contexts is pretrained on all words of the training documents. A context
-predicts the symbols it has seen by their counts, and an escape to the next shorter context, where
-the symbols that the longer one has seen are excluded. The escape's probability is estimated from
-all contexts of the order with about the same counts, by leaving out each occurrence in turn. Shorter contexts count the distinct longer
-ones in which a symbol was new (update exclusion).
+A document is coded as one stream: its lower-cased words, each with the space after it, and an end
+mark. Each byte is predicted from up to ``ORDER`` bytes before it, across the ends of words, back to
+the space before the document. The trie of byte contexts is pretrained on the streams of the training
+documents. A context predicts the symbols it has seen by their counts, and an escape to the next
+shorter context, where the symbols that the longer one has seen are excluded. The escape's probability
+is estimated from all contexts of the order with about the same counts, by leaving out each occurrence
+in turn. Shorter contexts count the distinct longer ones in which a symbol was new (update exclusion).
 
 Each kind of text (a column of the training rows, such as their language; the ``KINDS`` most frequent
 and the rest) has a trie of its own. A document's probability is the mixture of theirs by their share
-of the training documents, so the code adapts to the kind that its words so far speak for; a scored
+of the training documents, so the code adapts to the kind that its text so far speaks for; a scored
 document's own kind is not looked at.
 
-As contexts don't cross words, a word's code length is the same wherever it stands. So texts are
-written once as chunks in dictionary code, each distinct word is scored once, and its counts and code
-length go back to the chunks that hold it: rows are shuffled for each chunk's distinct words, not for
-the tokens of the corpus.
+Texts are written once as chunks in dictionary code, words in their order. A chunk gives each distinct
+symbol with its longest context once, with its counts; the symbol's code length goes back to the
+chunks that hold it: rows are shuffled for each chunk's distinct symbols, not for those of the corpus.
 
-The trie holds every context of the training words and grows with them, so no task holds it whole.
+The trie holds every context of the training texts and grows with them, so no task holds it whole.
 Contexts with the same newest ``LOW + 1`` bytes lie together, as all their shorter ones but the
 shortest do; those of up to ``LOW`` bytes, at most 2**24 symbols in any corpus, are broadcast. Each
-distinct symbol with its longest context is scored once, and goes to the blocks of words that hold it.
+distinct symbol with its longest context is scored once.
 
 Defined cases: null, empty and white-space texts have the end mark as their one token; a null doc_id
 is scored and trains; repeated rows are rows of their own, and each of them trains; without any
@@ -45,27 +44,19 @@ from plumbline.llm.textkit import word_spans
 ORDER = 6
 #: Contexts of up to so many bytes are in tables that each task holds.
 LOW = 2
-#: Distinct words in a block, and symbols whose contexts a task holds at a time.
-BLOCK, RUN = 100_000, 200_000
+#: Words whose symbols a task lays out at a time, and symbols whose contexts it holds at a time.
+PIECE, RUN = 500_000, 200_000
 #: Kinds of text with a trie of their own, besides one for the rest.
 KINDS = 7
 #: Bytes of text in a chunk.
 CHUNK = 16 << 20
 SPACE, STOP, SYMBOLS = 0x20, 0x0A, 257
 
-CODED = "chunk long, words array<binary>, doc_id array<long>, held_out array<boolean>, n_tokens array<long>, stops array<int>, word array<int>, times array<int>"
+CODED = "chunk long, words array<binary>, c array<long>, doc_id array<long>, held_out array<boolean>, trains array<int>, n_tokens array<long>, stops array<int>, word array<int>"
 
 
-def _coder(k: int):
-    """Chunks in dictionary code, with each word's occurrences in training rows of each of k kinds; the empty word is the end mark."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _coded(batches, k)
-
-    return run
-
-
-def _coded(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks in dictionary code, with each word's occurrences in training rows; the empty word is the end mark, and held-out rows train kind -1."""
     ids, held, kind, runs, size = [], [], [], [], 0
 
     def chunk() -> pa.RecordBatch:
@@ -77,23 +68,15 @@ def _coded(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
         del hashes
         where = np.searchsorted(edges, first, "right") - 1
         words = [runs[w][2][runs[w][3][i - edges[w]] : runs[w][4][i - edges[w]]].tobytes() for w, i in zip(where.tolist(), first.tolist(), strict=True)]
-        stops = np.cumsum(counts)
-        word, times, ends = [], [], []
-        total = 0
-        for a, z in zip((stops - counts).tolist(), stops.tolist(), strict=True):
-            w, t = np.unique(code[a:z], return_counts=True)
-            word += [w, np.array([len(words)])]
-            times += [t, np.ones(1, np.int64)]
-            total += len(w) + 1
-            ends.append(total)
-        word, times = np.concatenate(word), np.concatenate(times)
-        trains = np.repeat(np.where(held, -1, kind), np.diff([0, *ends]))
-        train = [np.bincount(word, times * (trains == j), len(words) + 1).astype(np.int64) for j in range(k)]
+        ends = np.cumsum(counts)
+        word = np.insert(code, ends, len(words)).astype(np.int32)
+        trains = np.where(held, -1, kind).astype(np.int32)
+        c = np.bincount(word, np.repeat(trains >= 0, counts + 1), len(words) + 1).astype(np.int64)
         lists = lambda x, t: pa.array([x], pa.list_(t))
         return pa.RecordBatch.from_arrays(
-            [pa.array([uuid.uuid4().int >> 65], pa.int64()), lists([*words, b""], pa.binary()), lists(ids, pa.int64()), lists(held, pa.bool_()), lists(counts + 1, pa.int64()),
-             lists(np.array(ends, np.int32), pa.int32()), lists(word.astype(np.int32), pa.int32()), lists(times.astype(np.int32), pa.int32()), *[lists(t, pa.int64()) for t in train]],
-            names=["chunk", "words", "doc_id", "held_out", "n_tokens", "stops", "word", "times", *[f"t{j}" for j in range(k)]],
+            [pa.array([uuid.uuid4().int >> 65], pa.int64()), lists([*words, b""], pa.binary()), lists(c, pa.int64()), lists(ids, pa.int64()), lists(held, pa.bool_()),
+             lists(trains, pa.int32()), lists(counts + 1, pa.int64()), lists(np.cumsum(counts + 1).astype(np.int32), pa.int32()), lists(word, pa.int32())],
+            names=["chunk", "words", "c", "doc_id", "held_out", "trains", "n_tokens", "stops", "word"],
         )
 
     for b in batches:
@@ -110,13 +93,38 @@ def _coded(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
         yield chunk()
 
 
+def _parts(words: list[bytes]) -> pa.Array:
+    """Each word's bytes in a stream; the space after the end mark is the one before the next document."""
+    return pa.array([w + b" " if w else b"\n " for w in words], pa.binary())
+
+
+def _laid(parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    edges, data = np.frombuffer(parts.buffers()[1], np.int32)[parts.offset :], parts.buffers()[2]
+    body = np.frombuffer(data, np.uint8)[edges[0] : edges[len(parts)]] if data else np.zeros(0, np.uint8)
+    buf = np.concatenate([np.array([SPACE], np.uint8), body])
+    stop = buf == STOP
+    if len(buf) > 1 and stop[-2]:
+        buf, stop = buf[:-1], stop[:-1]
+    starts = np.r_[0, np.flatnonzero(stop) + 1]
+    owner = np.cumsum(stop) - stop
+    return buf, np.arange(len(buf)) - starts[owner], owner
+
+
 def sequences(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All words' symbols with the space before each; each symbol's place in its word; each symbol's word."""
-    parts = [b" " + w + b" " if w else b" \n" for w in words]
-    buf = np.frombuffer(b"".join(parts), np.uint8)
-    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-    owner = np.repeat(np.arange(len(parts)), lengths)
-    return buf, np.arange(len(buf)) - np.repeat(np.cumsum(lengths) - lengths, lengths), owner
+    """The symbols of documents, which empty words end, with the space before each; each symbol's place in its document; each symbol's document."""
+    return _laid(_parts(words))
+
+
+def _pieces(words: list[bytes], word: np.ndarray, stops: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first document, symbols with their longest contexts, each one's document from there) for runs of a chunk's documents."""
+    parts, first = _parts(words), 0
+    while first < len(stops):
+        a = stops[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(stops, a + PIECE, "right")))
+        buf, place, owner = _laid(parts.take(pa.array(word[a : stops[last - 1]])))
+        at = place > 0
+        yield first, longest(buf, place)[at], owner[at]
+        first = last
 
 
 def keys(buf: np.ndarray, order: int) -> np.ndarray:
@@ -131,21 +139,29 @@ _MASKS = np.array([(1 << 8 * (k + 1)) - 1 for k in range(ORDER + 1)], np.uint64)
 
 
 def longest(buf: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Key of each symbol with its longest context: the ORDER bytes before it, or those from the word's space on."""
+    """Key of each symbol with its longest context: the ORDER bytes before it, or those from the document's first space on."""
     order = np.minimum(place, ORDER)
     return (keys(buf, ORDER) & _MASKS[order]) | (order + 1).astype(np.uint64) << np.uint64(56)
 
 
 def _grams(k: int):
-    """(gram, n0, n1, ...): each symbol of the words with its longest context, and how often each kind trains it."""
+    """(home, gram, n0, n1, ...): each distinct symbol of a chunk with its longest context, and how often each kind trains it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            buf, place, owner = sequences(b.column("word").to_pylist())
-            at = np.flatnonzero(place > 0)
-            distinct, back = np.unique(longest(buf, place)[at], return_inverse=True)
-            n = [np.bincount(back, b.column(f"t{j}").to_numpy()[owner[at]], len(distinct)).astype(np.int64) for j in range(k)]
-            yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), *map(pa.array, n)], names=["gram", *[f"n{j}" for j in range(k)]])
+            for i in range(b.num_rows):
+                get = lambda name, b=b, i=i: b.column(name)[i].values
+                trains = get("trains").to_numpy()
+                distinct, n = np.zeros(0, np.uint64), [np.zeros(0, np.int64)] * k
+                for first, g, owner in _pieces(get("words").to_pylist(), get("word").to_numpy(), get("stops").to_numpy()):
+                    own, back = np.unique(g, return_inverse=True)
+                    kind = trains[first + owner]
+                    more = [np.bincount(back[kind == j], minlength=len(own)) for j in range(k)]
+                    distinct, back = np.unique(np.concatenate([distinct, own]), return_inverse=True)
+                    n = [np.bincount(back, np.concatenate([x, y]), len(distinct)).astype(np.int64) for x, y in zip(n, more, strict=True)]
+                home = np.full(len(distinct), b.column("chunk")[i].as_py())
+                found = pa.table([pa.array(home), pa.array(distinct.view(np.int64)), *map(pa.array, n)], names=["home", "gram", *[f"n{j}" for j in range(k)]])
+                yield from found.to_batches(max_chunksize=100_000)
 
     return run
 
@@ -323,52 +339,6 @@ def _gram_scores(known):
     return run
 
 
-def _blocked(k: int):
-    """Blocks of distinct words, with their counts and the distinct symbols and contexts in them."""
-
-    def block(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        rows = pa.Table.from_batches(held)
-        words = rows.column("word").to_pylist()
-        buf, place, _ = sequences(words)
-        grams = np.unique(longest(buf, place)[place > 0]).view(np.int64)
-        c = sum(rows.column(f"t{j}").to_numpy() for j in range(k))
-        lists = [pa.array([words], pa.list_(pa.binary())), pa.array([c], pa.list_(pa.int64())), pa.array([grams], pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65], pa.int64()), *lists], names=["block", "words", "c", "grams"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for b in batches:
-            held.append(b)
-            size += max(b.num_rows, b.nbytes >> 5)
-            if size >= BLOCK:
-                yield block(held)
-                held, size = [], 0
-        if size:
-            yield block(held)
-
-    return run
-
-
-def _word_scores(k: int):
-    """Scores of a block's words: their symbols' ones, summed."""
-
-    def run(key, blocks: pa.Table, found: pa.Table) -> pa.Table:
-        grams = found.column("gram").to_numpy()
-        order = np.argsort(grams)
-        grams = grams[order].view(np.uint64)
-        out = []
-        for i in range(blocks.num_rows):
-            words = blocks.column("words")[i].as_py()
-            buf, place, owner = sequences(words)
-            at = np.flatnonzero(place > 0)
-            where = order[np.searchsorted(grams, longest(buf, place)[at])]
-            sums = [np.bincount(owner[at], found.column(f"s{j}").to_numpy()[where], len(words)).astype(np.float32) for j in range(k)]
-            out.append(pa.table([pa.array(words, pa.binary()), blocks.column("c")[i].values, *map(pa.array, sums)], names=["word", "c", *[f"s{j}" for j in range(k)]]))
-        return pa.concat_tables(out)
-
-    return run
-
-
 def _by_suffix(grams: DataFrame) -> DataFrame:
     """Grams with the same newest LOW + 1 bytes of context in one partition, side by side."""
     suffix = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * (LOW + 1)) - 1))
@@ -391,30 +361,35 @@ def _short_tries(rows: pa.Table, k: int) -> list[tuple[Trie, dict]]:
 
 
 def _documents(n: int, v: int, shares: list[float]):
-    """Scores of a chunk's documents: the words' base and code lengths, summed, and mixed over the kinds."""
+    """Scores of a chunk's documents: their words' base and their symbols' code lengths, summed, and mixed over the kinds."""
 
     def run(key, coded: pa.Table, found: pa.Table) -> pa.Table:
+        at, c = found.column("at").to_numpy(), found.column("c").to_numpy()
+        of_words = np.flatnonzero(c >= 0)
+        known = np.zeros(len(of_words), np.int64)
+        known[at[of_words]] = c[of_words]
+        base = np.log10((known + 1) / (n + v + 1))
+        of_grams = np.flatnonzero(c < 0)
+        of_grams = of_grams[np.argsort(at[of_grams])]
+        grams = at[of_grams].view(np.uint64)
+        values = [found.column(f"s{j}").to_numpy()[of_grams] for j in range(len(shares))]
         out = []
-        place = found.column("place").to_numpy()
-
-        def by_place(name: str) -> np.ndarray:
-            x = np.zeros(len(place))
-            x[place] = found.column(name).to_numpy()
-            return x
-
-        c = by_place("c")
-        base = np.log10((c + 1) / (n + v + 1))
         for i in range(coded.num_rows):
             get = lambda name, i=i: coded.column(name)[i].values
-            word, times, stops = get("word").to_numpy(), get("times").to_numpy(), get("stops").to_numpy()
+            word, stops = get("word").to_numpy(), get("stops").to_numpy()
             if not len(stops):
                 continue
+            each = np.repeat(np.log10(shares)[:, None], len(stops), axis=1)
+            for first, g, owner in _pieces(get("words").to_pylist(), word, stops):
+                where = np.searchsorted(grams, g)
+                for j, s in enumerate(values):
+                    sums = np.bincount(owner, s[where])
+                    each[j, first : first + len(sums)] += sums
             owner = np.repeat(np.arange(len(stops)), np.diff(stops, prepend=0))
-            add = lambda x: np.bincount(owner, x[word] * times, len(stops))
-            each = np.stack([np.log10(share) + add(by_place(f"s{j}")) for j, share in enumerate(shares)])
+            add = lambda x: np.bincount(owner, x[word], len(stops))
             best = each.max(axis=0)
             out.append(pa.table({
-                "doc_id": get("doc_id"), "held_out": get("held_out"), "n_tokens": get("n_tokens"), "n_known": add((c > 0).astype(float)).round().astype(np.int64),
+                "doc_id": get("doc_id"), "held_out": get("held_out"), "n_tokens": get("n_tokens"), "n_known": add((known > 0).astype(float)).round().astype(np.int64),
                 "train_tokens": np.full(len(stops), n), "base_score": add(base), "score": best + np.log10((10 ** (each - best)).sum(axis=0)),
             }))
         return pa.concat_tables(out)
@@ -436,40 +411,36 @@ def scored(docs: DataFrame) -> DataFrame:
     kind = F.lit(k - 1)
     for j, r in enumerate(counts):
         kind = F.when(F.col("kind").eqNullSafe(F.lit(r["kind"])), j).otherwise(kind)
-    names = [f"t{j}" for j in range(k)]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out", kind.cast("int").alias("kind"))
-    coded = written(rows.mapInArrow(_coder(k), CODED + "".join(f", {t} array<long>" for t in names)), "ppm-coded", compression="zstd")
-    words = coded.select(F.explode(F.arrays_zip("words", *names)).alias("w")).groupBy(F.col("w.words").alias("word")).agg(*[F.sum(f"w.{t}").alias(t) for t in names])
-    words = written(words, "ppm-words")
+    coded = written(rows.mapInArrow(_coded, CODED), "ppm-coded", compression="zstd")
+    words = coded.select(F.explode(F.arrays_zip("words", "c")).alias("w")).groupBy(F.col("w.words").alias("word")).agg(F.sum("w.c").alias("c"))
+    known = written(words.select(F.xxhash64("word").alias("h"), "c"), "ppm-known")
     settle(spark)  # the shuffle of the chunks' words is done with
-    total = sum((F.col(t) for t in names[1:]), F.col(names[0]))
-    n, v = words.agg(F.coalesce(F.sum(total), F.lit(0)), F.count_if(total > 0)).first()
+    n, v = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     scores = [f"s{j}" for j in range(k)]
     ns = [f"n{j}" for j in range(k)]
-    grams = words.mapInArrow(_grams(k), "gram long" + "".join(f", {x} long" for x in ns)).groupBy("gram").agg(*[F.sum(x).alias(x) for x in ns])
-    grams = written(grams, "ppm-grams")
-    blocks = written(words.mapInArrow(_blocked(k), "block long, words array<binary>, c array<long>, grams array<long>"), "ppm-blocks")
-    drop(words)
+    held = written(coded.select("chunk", "words", "trains", "stops", "word").mapInArrow(_grams(k), "home long, gram long" + "".join(f", {x} long" for x in ns)), "ppm-held", compression="zstd")
+    grams = written(held.groupBy("gram").agg(*[F.sum(x).alias(x) for x in ns]), "ppm-grams", compression="zstd")
+    settle(spark)
     counts = _by_suffix(grams).mapInArrow(_counted(k), COUNTED).groupBy("what", "kind", "at").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
     short = spark.sparkContext.broadcast(_short_tries(counts.toArrow(), k))
     del counts
     floats = "".join(f", {x} float" for x in scores)
-    gram_scores = written(_by_suffix(grams).mapInArrow(_gram_scores(short), "gram long" + floats), "ppm-gram-scores")
+    gram_scores = written(_by_suffix(grams).mapInArrow(_gram_scores(short), "gram long" + floats), "ppm-gram-scores", compression="zstd")
     drop(grams)
     settle(spark)
-    held = blocks.select(F.col("block").alias("home"), F.explode("grams").alias("gram")).join(gram_scores, "gram")
-    known = blocks.drop("grams").groupBy("block").cogroup(held.groupBy("home")).applyInArrow(_word_scores(k), "word binary, c long" + floats)
-    known = written(known.select(F.xxhash64("word").alias("h"), "c", *scores), "ppm-known")
-    drop(blocks)
+    # Written between its two shuffles, so that the first one's files can go.
+    found = written(held.select("home", "gram").join(gram_scores, "gram").select("home", F.col("gram").alias("at"), F.lit(-1).cast("long").alias("c"), *scores), "ppm-found", compression="zstd")
+    drop(held)
     drop(gram_scores)
     settle(spark)
     # Words meet by a 64-bit hash, which is shorter than most of them.
     each = coded.select(F.col("chunk").alias("home"), F.posexplode("words").alias("place", "word")).select("home", "place", F.xxhash64("word").alias("h"))
-    # Written between its two shuffles: a word's rows lie together, so that its values take little room, and the first one's files can go.
-    found = written(each.join(known, "h").select("home", "place", "c", *scores), "ppm-found", compression="zstd")
+    each = each.join(known, "h").select("home", F.col("place").cast("long").alias("at"), "c", *[F.lit(0).cast("float").alias(x) for x in scores])
+    found = found.union(written(each, "ppm-known-at", compression="zstd"))
     drop(known)
     settle(spark)
-    light = coded.drop("words", *names)
+    light = coded.drop("c", "trains")
     return light.groupBy("chunk").cogroup(found.groupBy("home")).applyInArrow(_documents(n, v, (sizes / sizes.sum()).tolist()), SCORES)
 
 

@@ -203,6 +203,17 @@ def test_ppm_tries_are_those_of_all_contexts(spark, docs):
         assert (i, n) == (j, m) and x == pytest.approx(y, rel=1e-4, abs=1e-3)
 
 
+def test_ppm_contexts_cross_words(spark):
+    """A shuffle of a trained passage's words is less likely than the passage."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(200)]
+    passage = " ".join(words)
+    rows = [(0, passage, False), (1, passage, False), (2, passage, True), (3, " ".join(rng.sample(words, len(words))), True)]
+    got = {r["doc_id"]: r for r in ppm.scored(spark.createDataFrame([(i, t, "en", h) for i, t, h in rows], "doc_id long, text string, kind string, held_out boolean")).collect()}
+    assert got[2]["base_score"] == pytest.approx(got[3]["base_score"])
+    assert got[2]["score"] > got[3]["score"] + 50
+
+
 def test_ppm_is_a_distribution():
     words = [b"the", b"then", b"a", b"", b"that", "é".encode()] * 3 + [b"these"]
     buf, place, _ = ppm.sequences(words)
