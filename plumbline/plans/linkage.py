@@ -147,6 +147,16 @@ m AS (SELECT DISTINCT rv.page, rv.t AS raw, kv.t, levenshtein(rv.t, kv.t) AS d F
 n AS (SELECT *, min(d) OVER (PARTITION BY page) AS least_d FROM m),
 g AS (SELECT page, CASE WHEN count(*) = 1 THEN max(t) WHEN count_if(endswith(t, raw)) = 1 THEN max(CASE WHEN endswith(t, raw) THEN t END) END AS t FROM n WHERE d = least_d GROUP BY page)
 SELECT r.page, CAST(coalesce(g.t, r.t) AS BIGINT) AS id FROM r LEFT JOIN g ON r.page = g.page""",
+    # Scales are counted by page before they meet, at most 70 a page here. The fullest rung, then the one whose median keeps most members in the bands of 1, 0.5 and 2 times.
+    "family_scale": """WITH v AS (SELECT l_suppkey AS page, CAST(1 + l_linenumber AS DOUBLE) * (1 + CAST(l_partkey % 10 AS DOUBLE) / 100) AS s FROM lineitem),
+f AS (SELECT page, s, log2(s) - floor(log2(s)) AS frac, count(*) AS n FROM v WHERE s IS NOT NULL GROUP BY page, s),
+c AS (SELECT p.page, p.s, p.frac, sum(q.n) AS support FROM f p JOIN f q ON p.page = q.page AND least(abs(p.frac - q.frac), 1 - abs(p.frac - q.frac)) <= log2(1.15D) GROUP BY p.page, p.s, p.frac),
+a AS (SELECT page, s AS anchor, frac, support FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY support DESC, s) AS rn FROM c) t WHERE rn = 1),
+m AS (SELECT a.page, anchor, support, f.s, f.n, CAST(rint(log2(f.s / anchor)) AS BIGINT) AS rung FROM a JOIN f ON a.page = f.page AND least(abs(a.frac - f.frac), 1 - abs(a.frac - f.frac)) <= log2(1.15D)),
+r AS (SELECT page, anchor, support, rung, sum(n) AS members, percentile(s, 0.5, n) AS middle FROM m GROUP BY page, anchor, support, rung),
+b AS (SELECT r.page, r.anchor, r.support, r.rung, members, middle, sum(CASE WHEN m.s / middle BETWEEN 0.75D AND 1.25D OR m.s / middle BETWEEN 0.4D AND 0.6D OR m.s / middle BETWEEN 1.8D AND 2.2D THEN m.n ELSE 0 END) AS covered
+  FROM r JOIN m ON r.page = m.page GROUP BY r.page, r.anchor, r.support, r.rung, members, middle)
+SELECT page, round(anchor, 4) AS anchor, support, rung, members, round(middle, 4) AS scale FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY members DESC, covered DESC, abs(rung), rung) AS rn FROM b) t WHERE rn = 1""",
 }
 
 QUERIES = {name: query(sql) for name, sql in SAME.items()} | {name: query(sql) for name, (sql, _) in PAIRS.items()} | {name: query(sql) for name, sql in WHOLE.items()}
