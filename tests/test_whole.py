@@ -73,3 +73,14 @@ def test_family_scale_takes_the_fullest_rung_of_all_scales(run):
     got = run("family_scale", lineitem=(rows, "l_suppkey long, l_linenumber int, l_partkey long, l_quantity long"))
     assert got == sorted((page, *family(scales)) for page, scales in pages.items())
     assert {r[0]: r[-1] for r in got}[90] == 4.0 == {r[0]: r[-1] for r in got}[91]
+
+
+def test_circular_mean_is_of_all_angles_and_from_0_to_360(run):
+    events = [(i, "ab"[i % 2]) for i in range(60)] + [(9, "c"), (27, "d")]
+    got = run("circular_mean", events=(events, "event_id long, event_type string"))
+    assert [(t, n) for t, n, _ in got] == [("a", 30), ("b", 30), ("c", 1), ("d", 1)]
+    for t, _, mean in got:
+        angles = [math.radians(i * 37 % 360) for i, e in events if e == t]
+        want = math.degrees(math.atan2(statistics.fmean(map(math.sin, angles)), statistics.fmean(map(math.cos, angles)))) % 360.0
+        assert mean == pytest.approx(want, abs=1e-4)
+    assert got[3][2] == pytest.approx(279.0)
