@@ -147,6 +147,8 @@ m AS (SELECT DISTINCT rv.page, rv.t AS raw, kv.t, levenshtein(rv.t, kv.t) AS d F
 n AS (SELECT *, min(d) OVER (PARTITION BY page) AS least_d FROM m),
 g AS (SELECT page, CASE WHEN count(*) = 1 THEN max(t) WHEN count_if(endswith(t, raw)) = 1 THEN max(CASE WHEN endswith(t, raw) THEN t END) END AS t FROM n WHERE d = least_d GROUP BY page)
 SELECT r.page, CAST(coalesce(g.t, r.t) AS BIGINT) AS id FROM r LEFT JOIN g ON r.page = g.page""",
+    "street_intersections": """WITH s AS (SELECT DISTINCT l_partkey AS node, l_suppkey AS street FROM lineitem)
+SELECT p.street AS a, q.street AS b, count(*) AS crossings FROM s p JOIN s q ON p.node = q.node AND p.street < q.street GROUP BY p.street, q.street""",
     "circular_mean": "SELECT event_type, count(*) AS n, round(pmod(degrees(atan2(avg(sin(radians(event_id * 37 % 360))), avg(cos(radians(event_id * 37 % 360))))), 360D), 4) AS mean_deg FROM events GROUP BY event_type",
     # Scales are counted by page before they meet, at most 70 a page here. The fullest rung, then the one whose median keeps most members in the bands of 1, 0.5 and 2 times.
     "family_scale": """WITH v AS (SELECT l_suppkey AS page, CAST(1 + l_linenumber AS DOUBLE) * (1 + CAST(l_partkey % 10 AS DOUBLE) / 100) AS s FROM lineitem),

@@ -84,3 +84,16 @@ def test_circular_mean_is_of_all_angles_and_from_0_to_360(run):
         want = math.degrees(math.atan2(statistics.fmean(map(math.sin, angles)), statistics.fmean(map(math.cos, angles)))) % 360.0
         assert mean == pytest.approx(want, abs=1e-4)
     assert got[3][2] == pytest.approx(279.0)
+
+
+#: (part, supplier, quantity): 3 and 5 occur once; 1 occurs once above 45, and more often below.
+LINES = [(1, 10, 46), (1, 11, 3), (1, 12, 44), (2, 10, 50), (2, 11, 1), (2, 11, 48), (3, 12, 2), (5, 10, 49)]
+LINE = "l_partkey long, l_suppkey long, l_quantity long"
+
+
+def test_streets_cross_at_any_quantity(run):
+    assert run("street_intersections", lineitem=(LINES, LINE)) == [(10, 11, 2), (10, 12, 1), (11, 12, 1)]
+
+
+def test_endpoints_occur_once_in_all_lines(run):
+    assert run("terminal_endpoints", lineitem=(LINES, LINE)) == [(3,), (5,)]
