@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from plumbline.session import table
+from plumbline.session import kept, table
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 _NAMED = re.compile(rf"\b(FROM|JOIN)\s+({'|'.join(TABLES)})\b")
@@ -162,6 +163,43 @@ b AS (SELECT r.page, r.anchor, r.support, r.rung, members, middle, sum(CASE WHEN
 SELECT page, round(anchor, 4) AS anchor, support, rung, members, round(middle, 4) AS scale FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY members DESC, covered DESC, abs(rung), rung) AS rn FROM b) t WHERE rn = 1""",
 }
 
-QUERIES = {name: query(sql) for name, sql in SAME.items()} | {name: query(sql) for name, (sql, _) in PAIRS.items()} | {name: query(sql) for name, sql in WHOLE.items()}
+#: Neighbours of a point, and the first radius they are looked for in, which is the size of a cell.
+NEIGHBOURS, RADIUS = 5, 100.0
+
+
+def nearest(left: DataFrame, right: DataFrame, k: int = NEIGHBOURS, radius: float = RADIUS) -> DataFrame:
+    """(id, other, ox, oy, d2) of the k points of right (id long, x double, y double) nearest to each of left, at any distance; of equals the lowest ids.
+
+    Points with fewer than k within the radius are looked up again at twice of it, in cells of its size. Without k points on the right there are no rows.
+    """
+    left, right = (kept(p.dropna(), "knn-points") for p in (left, right))
+    found = []
+    enough = right.limit(k).count() == k
+    near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    cell = lambda c: F.floor(F.col(c) / radius)
+    while enough and not left.isEmpty():
+        others = right.select(F.col("id").alias("other"), F.col("x").alias("u"), F.col("y").alias("v"), cell("x").alias("rx"), cell("y").alias("ry"))
+        others = others.withColumn("dx", near).withColumn("dy", near).withColumn("cx", F.col("rx") + F.col("dx")).withColumn("cy", F.col("ry") + F.col("dy"))
+        pairs = left.withColumn("cx", cell("x")).withColumn("cy", cell("y")).join(others, ["cx", "cy"])
+        pairs = pairs.select("id", "other", (F.col("u") - F.col("x")).alias("ox"), (F.col("v") - F.col("y")).alias("oy")).withColumn("d2", F.col("ox") * F.col("ox") + F.col("oy") * F.col("oy"))
+        rank = F.row_number().over(Window.partitionBy("id").orderBy("d2", "other"))
+        best = pairs.where(F.col("d2") <= radius * radius).withColumn("rank", rank).where(F.col("rank") <= k)
+        best = kept(best, "knn-found")
+        full = best.where(F.col("rank") == k).select("id")
+        found.append(best.join(full, "id", "left_semi").drop("rank"))
+        left = kept(left.join(full, "id", "left_anti"), "knn-points")
+        radius *= 2
+    empty = left.sparkSession.createDataFrame([], "id long, other long, ox double, oy double, d2 double")
+    return reduce(DataFrame.union, found, empty)
+
+
+def knn_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upper medians, by component, of the offsets to the five nearest customers of each supplier."""
+    sup, cus = (query(f"WITH {_POINTS} SELECT id, x, y FROM {p}")(spark, sf_dir) for p in ("sup", "cus"))
+    middle = lambda c: F.element_at(F.sort_array(F.collect_list(c)), (F.floor(F.count("*") / 2) + 1).cast("int"))
+    return nearest(sup, cus).groupBy(F.col("id").alias("sup_id")).agg(F.count("*").alias("k"), F.round(middle("ox"), 6).alias("median_dx"), F.round(middle("oy"), 6).alias("median_dy"))
+
+
+QUERIES = {name: query(sql) for name, sql in SAME.items()} | {name: query(sql) for name, (sql, _) in PAIRS.items()} | {name: query(sql) for name, sql in WHOLE.items()} | {"knn_offsets": knn_offsets}
 ORACLES = {name: re.sub(r"\bAS STRING\)", "AS VARCHAR)", sql).replace("LEFT ANTI JOIN", "ANTI JOIN") for name, sql in SAME.items()} | {name: sql for name, (_, sql) in PAIRS.items()}
 ORACLES["canonical_match"] = ORACLES["canonical_match"].replace(", '[^a-z]', '')", ", '[^a-z]', '', 'g')")

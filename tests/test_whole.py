@@ -7,7 +7,7 @@ from collections import defaultdict
 
 import pytest
 
-from plumbline.plans import registry
+from plumbline.plans import linkage, registry
 
 
 @pytest.fixture
@@ -97,3 +97,26 @@ def test_streets_cross_at_any_quantity(run):
 
 def test_endpoints_occur_once_in_all_lines(run):
     assert run("terminal_endpoints", lineitem=(LINES, LINE)) == [(3,), (5,)]
+
+
+def five_nearest(p, points):
+    return sorted(((x - p[1]) ** 2 + (y - p[2]) ** 2, i, x - p[1], y - p[2]) for i, x, y in points)[:5]
+
+
+def test_neighbours_are_the_nearest_at_any_distance(run):
+    sup, cus = [*range(12), 500, 999], [*range(1, 40, 4), 700, 701]
+    at = lambda keys, a, b: [(k, float(k * a % 1000), float(k * b % 1000)) for k in keys]
+    got = run("knn_offsets", supplier=([(k,) for k in sup], "s_suppkey long"), customer=([(k,) for k in cus], "c_custkey long"))
+    near = {p[0]: five_nearest(p, at(cus, 53, 17)) for p in at(sup, 37, 91)}
+    assert max(n[-1][0] for n in near.values()) > 200**2
+    assert got == sorted((i, 5, sorted(x[2] for x in n)[2], sorted(x[3] for x in n)[2]) for i, n in near.items())
+
+
+def test_neighbours_of_far_points(spark):
+    rng = random.Random(9)
+    right = [(i, rng.gauss(0, 5), rng.gauss(0, 5)) for i in range(30)] + [(30, 1e5, -1e5), (31, -400.0, 7.0)]
+    left = [(0, 0.0, 0.0), (1, 2e5, 3.0), (2, -399.0, 7.0), (3, 99.9, -0.1)]
+    point = "id long, x double, y double"
+    rows = linkage.nearest(spark.createDataFrame(left, point), spark.createDataFrame(right, point)).collect()
+    assert sorted((r["id"], r["other"]) for r in rows) == sorted((p[0], n[1]) for p in left for n in five_nearest(p, right))
+    assert linkage.nearest(spark.createDataFrame(left, point), spark.createDataFrame(right[:4], point)).count() == 0
