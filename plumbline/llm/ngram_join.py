@@ -277,7 +277,7 @@ def _across(whole: DataFrame, light: DataFrame, total: int) -> DataFrame | None:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(row_id, doc_id, n_shingles, set_id, component_id) for each row of docs (doc_id long, text string)."""
+    """(row_id, doc_id, n_shingles, set_id, component_id, label) for each row of docs (doc_id long, text string); rows of one component have one label."""
     spark = docs.sparkSession
     table = written(sets(docs).withColumn("row_id", F.monotonically_increasing_id()), "ngram-sets")
     rows = written(table.drop("shingles"), "ngram-rows")
@@ -296,12 +296,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         named = named.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("set_id", F.coalesce("component", "sid").alias("label"), "first_doc")
         named = written(named, "ngram-named")
         firsts = written(named.groupBy("label").agg(F.min("first_doc").alias("least")), "ngram-firsts")
-        named = named.join(firsts, "label").select("set_id", "least")
+        named = named.join(firsts, "label").select("set_id", "least", "label")
     else:
-        named = named.select("set_id", F.col("first_doc").alias("least"))
+        named = named.select("set_id", F.col("first_doc").alias("least"), F.col("sid").alias("label"))
     named = written(named, "ngram-result")
     settle(spark)
-    return rows.join(named, "set_id", "left").select("row_id", "doc_id", F.col("n").alias("n_shingles"), "set_id", F.coalesce("least", "doc_id").alias("component_id"))
+    return rows.join(named, "set_id", "left").select("row_id", "doc_id", F.col("n").alias("n_shingles"), "set_id", F.coalesce("least", "doc_id").alias("component_id"), "label")
 
 
 def _labels(docs: DataFrame, picked: DataFrame, total: int) -> DataFrame:
@@ -326,19 +326,30 @@ def _labels(docs: DataFrame, picked: DataFrame, total: int) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without all but one document of each component: that with the least doc_id stays, once.
+    """docs without all but one row of each component: that with the least doc_id stays, null ids last.
 
-    Documents with an empty set or a null doc_id stay, and so do rows that repeat a doc_id with another text.
+    Rows with an empty set stay. A doc_id may stand on several rows: each row is judged by its own text.
     """
-    found = near_duplicates(docs).select("doc_id", "n_shingles", "component_id")
-    gone = written(
-        found.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("k"), F.max(F.col("doc_id") != F.col("component_id")).alias("other"))
-        .where("k > 1 OR other").select(F.col("doc_id").alias("seen"), "other"),
-        "ngram-gone",
-    )
-    marked = docs.join(small(gone), F.col("doc_id") == F.col("seen"), "left")
-    repeated = marked.where("NOT other").select(docs.columns).dropDuplicates(["doc_id", "text"])
-    return marked.where("seen IS NULL").select(docs.columns).union(repeated)
+    found = written(near_duplicates(docs).select("doc_id", "set_id", "label"), "ngram-found")
+    first = found.where("set_id IS NOT NULL").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "set_id")).alias("r"))
+    first = small(written(first.select(F.col("r.doc_id").alias("first_doc"), F.col("r.set_id").alias("first_set")), "ngram-first"))
+    represents = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("set_id") == F.col("first_set"))
+    named = found.where("doc_id IS NOT NULL")
+    repeated = written(named.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select(F.col("doc_id").alias("seen")), "ngram-repeated")
+    gone = named.where("set_id IS NOT NULL").join(first, represents, "left_anti").select(F.col("doc_id").alias("seen"))
+    gone = written(gone.union(repeated).distinct(), "ngram-gone")
+    doc_id = F.col("doc_id").cast("long")
+    lone = docs.where(doc_id.isNotNull()).join(small(gone), doc_id == F.col("seen"), "left_anti")
+    if repeated.isEmpty() and found.where("doc_id IS NULL").isEmpty():
+        return lone
+    # Rows whose id doesn't tell them apart: their sets are made again, by text.
+    of_repeated = docs.where(doc_id.isNotNull()).join(small(repeated), doc_id == F.col("seen"), "left_semi")
+    again = docs.where(doc_id.isNull()).union(of_repeated).select(F.struct(*docs.columns).alias("doc"), doc_id.alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    again = written(again, "ngram-again")
+    made = written(sets(again.select(F.col("h").alias("doc_id"), "text").dropDuplicates(["doc_id"])).select(F.col("doc_id").alias("h"), "set_id"), "ngram-made")
+    again = again.join(small(made), "h")
+    kept = again.where("set_id IS NULL").select("doc.*")
+    return lone.union(kept).union(again.where("set_id IS NOT NULL").join(first, represents, "left_semi").dropDuplicates(["set_id"]).select("doc.*"))
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

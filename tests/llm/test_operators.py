@@ -125,6 +125,22 @@ def test_ngram_join(spark, docs):
     assert Counter(r["doc_id"] for r in kept) == Counter({d: 1 for d, n, c in want if d is None or d == c or n == 0})
 
 
+def test_one_row_of_each_component_stays(spark):
+    rng = random.Random(12)
+    a, b, c = ([f"{x}{rng.random()}" for _ in range(60)] for x in "abc")
+    near = lambda w, i: " ".join([*w[:i], "changed", *w[i + 1 :]])
+    rows = [
+        (5, " ".join(a)), (5, near(b, 0)), (5, ""), (5, None), (2, " ".join(b)), (7, near(a, 59)), (8, near(a, 0)), (7, "a text of its own that nothing else is near to"),
+        (None, " ".join(c)), (None, near(c, 0)), (None, near(b, 59)), (None, ""), (9, "x y"), (9, "x y"), (9, "X  y"),
+    ]
+    kept = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    have = Counter(map(tuple, kept.collect()))
+    assert sum(n for (i, t), n in have.items() if i is None and t) == 1
+    assert have[9, "x y"] + have[9, "X  y"] == (1 if brute_sets(["x y"])[0] else 3)
+    rest = Counter({k: n for k, n in have.items() if k[0] != 9 and not (k[0] is None and k[1])})
+    assert rest == Counter([rows[0], rows[2], rows[3], rows[4], rows[7], rows[11]])
+
+
 def test_ngram_join_of_a_large_group(spark):
     rng = random.Random(5)
     base = [f"w{i}" for i in range(150)]
