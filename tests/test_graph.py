@@ -42,6 +42,27 @@ def test_joint_choice_is_the_least(spark):
     assert abs(graph._total(got, unary, energy, links) - least) < 1e-9
 
 
+def claimed(spark, folder, keys):
+    """What claim_choice takes for suppliers of these keys: its total energy, that of another choice, and the choice."""
+    rng = random.Random(len(keys))
+    lines = [(k, o, 1, 1, 300.0 - o, rng.randrange(1, 11) / 50, rng.randrange(1, 8)) for k in keys for o in range(3)]
+    spark.createDataFrame(lines, "l_suppkey long, l_orderkey long, l_partkey long, l_linenumber int, l_extendedprice double, l_discount double, l_quantity long").write.parquet(f"{folder}/lineitem.parquet")
+    at = {(k, o): (q / 50, d) for k, o, _, _, _, d, q in lines}
+    energy = lambda c: sum(at[x][0] for x in c.items()) + sum(abs(at[k, c[k]][1] - at[k + 1, c[k + 1]][1]) for k in c if k + 1 in c)
+    return {r["node"]: r["option"] for r in graph.claim_choice(spark, str(folder)).collect()}, energy
+
+
+def test_claims_are_chosen_across_multiples_of_five(spark, tmp_path):
+    got, energy = claimed(spark, tmp_path, range(2, 9))
+    assert abs(energy(got) - min(energy(dict(zip(got, c, strict=True))) for c in itertools.product(range(3), repeat=7))) < 1e-9
+
+
+def test_long_runs_of_claims_are_swept(spark, tmp_path):
+    got, energy = claimed(spark, tmp_path, range(3, 43))
+    assert len(got) == 40 and 3**40 > graph.EXHAUSTIVE
+    assert all(energy(got) <= energy({**got, k: o}) + 1e-9 for k in got for o in range(3))
+
+
 def test_sweeps_reach_a_stable_choice(monkeypatch):
     unary, energy = {n: [0.3, 0.2] for n in range(5)}, {(n, i, n + 1, j): float(i != j) for n in range(4) for i in range(2) for j in range(2)}
     monkeypatch.setattr(graph, "EXHAUSTIVE", 1)
