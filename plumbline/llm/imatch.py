@@ -1,14 +1,16 @@
 """I-Match fingerprints over randomised lexicon subsets, in DataFrame operations only.
 
-The lexicon holds the words whose document frequency lies in a band. A word's hash places it in one of
-``SLOTS`` random subsets, and decides at which levels it counts: each level keeps a quarter of the
-one before. A text's fingerprint takes the level at which some dozens of its words remain, and the
-next two; for each level and subset it hashes the text's sorted distinct words there. Two texts are
-as like as the share of the subsets, at their common levels, whose hashes agree, of those that are
-not empty in both.
+The lexicon holds the words whose document frequency lies in a band. It is cut into ``SLOTS`` random
+subsets by a word's hash, and this at ``LEVELS`` levels, each of which keeps a quarter of the words of
+the one before; the first keeps all. Every text is fingerprinted alike: each subset's hash of the
+text's sorted distinct words there, the sparsest level first. Texts are as like as the share of
+agreeing hashes among the ``AIM`` sparsest subsets that aren't empty in both (all, if there are fewer):
+a dense subset agrees in equal texts alone, a sparse one about as often as the texts share a word.
 
 Neighbours in descending doc_id come from windows over buckets of the id's range; the first document
-of the next bucket is copied to the end of each bucket, so no window spans all rows.
+of the next bucket is copied to the end of each bucket, so no window spans all rows. Words above the
+band are few in any corpus (at most 1 / ``MOST_SHARE`` times the mean of a document's distinct words),
+so they are broadcast and leave before the join with the lexicon.
 
 Defined cases: a null text is empty; a text without words of the band is fingerprinted by all its
 distinct words, and is like another only if those agree; null ids come last in descending order, and
@@ -18,15 +20,18 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from plumbline.llm.store import drop, settle, written
+from plumbline.llm.store import drop, written
 
-#: Random subsets at a level, levels of a fingerprint, and distinct words that a text's first level aims to stay above.
-SLOTS, LEVELS, AIM = 16, 3, 32
+#: Random subsets at a level, levels, and subsets that two texts are compared by.
+SLOTS, LEVELS, AIM = 16, 10, 24
 #: The band: at least so many documents hold a word, and at most this share of them.
 LEAST_DOCS, MOST_SHARE = 2, 0.02
-BUCKETS = 128
+#: Documents in a bucket of the id's range, and the most buckets.
+BUCKET, MOST_BUCKETS = 2048, 1 << 16
 LOWEST = -(1 << 63)
 
 
@@ -36,24 +41,25 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-def level_of(count: Column) -> Column:
-    return F.least(F.lit(12), F.greatest(F.lit(0), F.floor(F.log(4.0, F.greatest(count, F.lit(1)) / AIM)))).cast("int")
-
-
-def counts_at(h: Column, level: Column) -> Column:
-    """Whether a word's hash stands at the level: its two lowest bits for each level are zero."""
-    return h.bitwiseAND(F.pow(F.lit(4.0), level).cast("long") - 1) == 0
+def bucket_of(key: Column, firsts: list[int]) -> Column:
+    """The number of the last of firsts (descending) that isn't below key; searched in runs of about their square root."""
+    run = math.isqrt(len(firsts)) + 1
+    runs = [firsts[i : i + run] for i in range(0, len(firsts), run)]
+    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    last = lambda xs: F.greatest(F.size(F.filter(xs, lambda b: b >= key)) - 1, F.lit(0))
+    at = last(longs([r[0] for r in runs]))
+    return at * run + last(F.get(F.array(*[longs(r) for r in runs]), at))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
+def with_next(docs: DataFrame, n_docs: int) -> DataFrame:
     """(bucket, pos, next_bucket, next_pos, doc_id, text, next_text): each document with the next one in descending doc_id, the first after the last."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)))
-    shares = [i / BUCKETS for i in range(1, BUCKETS + 1)]
-    found = rows.agg(F.percentile_approx("key", shares, 100 * BUCKETS).alias("q")).first()["q"] or []  # at most BUCKETS ids
+    buckets = min(MOST_BUCKETS, max(1, n_docs // BUCKET))
+    shares = [i / buckets for i in range(1, buckets + 1)]
+    found = rows.agg(F.percentile_approx("key", shares, max(10_000, 20 * buckets)).alias("q")).first()["q"] or []  # an id for each bucket
     firsts = sorted(set(found), reverse=True)
     n = max(1, len(firsts))
-    bucket = F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in firsts]), lambda b: b >= F.col("key"))) - 1 if firsts else F.lit(0)
-    mine = rows.withColumn("bucket", F.greatest(bucket, F.lit(0))).withColumn("guest", F.lit(False))
+    mine = rows.withColumn("bucket", bucket_of(F.col("key"), firsts) if firsts else F.lit(0)).withColumn("guest", F.lit(False))
     guests = mine.where(F.col("key").isin(firsts)).withColumn("bucket", F.pmod(F.col("bucket") - 1, F.lit(n))).withColumn("guest", F.lit(True))
     w = Window.partitionBy("bucket").orderBy("guest", F.desc("key"), F.xxhash64("text"))
     seen = mine.union(guests).select("*", F.row_number().over(w).alias("pos"), F.lead("text").over(w).alias("next_text"), F.lead("guest").over(w).alias("last"))
@@ -69,61 +75,58 @@ def edited(text: Column, after: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.char_length(text) - half), F.substring(after, F.lit(1), half))
 
 
-def slots(words: Column, level: Column) -> Column:
-    """Hash of the sorted words of each level and subset; 0 for an empty one."""
+def prints(words: Column) -> Column:
+    """31-bit hashes of the sorted words of each subset, the sparsest level first; 0 for an empty one."""
+    mark = lambda there: F.when(F.size(there) > 0, F.greatest(F.lit(1), F.xxhash64(there).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))).otherwise(F.lit(0))
+    slots = lambda left: F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda k: mark(F.filter(left, lambda h: F.shiftright(h, 40).bitwiseAND(F.lit(SLOTS - 1)) == k)))
+    masks = F.array(*[F.lit((1 << 2 * level) - 1).cast("long") for level in reversed(range(LEVELS))])
+    at = lambda mask: F.transform(F.array(F.filter(words, lambda h: h.bitwiseAND(mask) == 0)), slots)
+    return F.flatten(F.flatten(F.transform(masks, at)))
 
-    def one(k: int) -> Column:
-        step, slot = divmod(k, SLOTS)
-        there = F.filter(words, lambda h: (F.shiftright(h, 40).bitwiseAND(F.lit(SLOTS - 1)) == slot) & counts_at(h, level + step))
-        return F.when(F.size(there) > 0, F.xxhash64(there)).otherwise(F.lit(0).cast("long"))
 
-    return F.array(*[one(k) for k in range(SLOTS * LEVELS)])
+def likeness(a: Column, b: Column) -> Column:
+    """The share of agreeing subsets among the first AIM that aren't empty in both."""
+    pairs = F.zip_with(a, b, lambda x, y: F.when((x == 0) & (y == 0), 0).when(x == y, 1001).otherwise(1))
+    seen = F.aggregate(pairs, F.lit(0), lambda s, x: F.when(F.pmod(s, F.lit(1000)) >= AIM, s).otherwise(s + x))
+    return F.when(seen > 0, F.floor(seen / 1000) / F.pmod(seen, F.lit(1000))).otherwise(F.lit(0.0))
 
 
-def likeness(a_level: Column, a: Column, b_level: Column, b: Column) -> Column:
-    """The share of agreeing subsets at common levels, of those not empty in both."""
-    top = F.greatest(a_level, b_level)
-    part = lambda x, level: F.slice(x, (top - level) * SLOTS + 1, F.greatest(F.lit(0), (LEVELS - F.abs(a_level - b_level)) * SLOTS))
-    far = F.abs(a_level - b_level) >= LEVELS
-    pairs = F.zip_with(part(a, a_level), part(b, b_level), lambda x, y: F.when((x == 0) & (y == 0), F.lit(None).cast("int")).otherwise((x == y).cast("int")))
-    kept = F.filter(pairs, lambda x: x.isNotNull())
-    share = F.aggregate(kept, F.lit(0), lambda s, x: s + x) / F.size(kept)
-    return F.when(far | (F.size(kept) == 0), F.lit(0.0)).otherwise(share)
+def shown(marks: Column, everything: Column) -> Column:
+    """A fingerprint as text: its hashes from the first that isn't empty, or that of all words where no subset holds any."""
+    full = F.array_max(F.transform(marks, lambda x, i: F.when(x != 0, F.size(marks) - i).otherwise(F.lit(0))))
+    return F.when(full > 0, F.array_join(F.transform(F.slice(marks, F.size(marks) - full + 1, F.greatest(full, F.lit(1))), F.hex), "-")).otherwise(F.concat(F.lit("x-"), F.hex(everything)))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """The result of op9 for docs (doc_id, text)."""
-    spark = docs.sparkSession
     n_docs = docs.count()
     counted = docs.select(F.explode(terms(F.coalesce("text", F.lit("")))).alias("h")).groupBy("h").agg(F.count("*").alias("df"))
-    band = written(counted.where((F.col("df") >= LEAST_DOCS) & (F.col("df") <= max(float(LEAST_DOCS), MOST_SHARE * n_docs))).select("h"), "imatch-band")
-    both = with_next(docs).withColumn("edit", edited(F.col("text"), F.col("next_text"))).select(
+    most = max(float(LEAST_DOCS), MOST_SHARE * n_docs)
+    known = written(counted.where(F.col("df") >= LEAST_DOCS).select("h", (F.col("df") <= most).alias("band")), "imatch-words")
+    band, common = known.where("band").select("h"), known.where("NOT band").select("h")
+    both = with_next(docs, n_docs).withColumn("edit", edited(F.col("text"), F.col("next_text"))).select(
         (F.col("bucket").cast("long") * F.lit(1 << 40) + F.col("pos")).alias("row"), (F.col("next_bucket").cast("long") * F.lit(1 << 40) + F.col("next_pos")).alias("next_row"),
         "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edit", 256).alias("edited_sha256"), terms(F.col("text")).alias("a"), terms(F.col("edit")).alias("b"),
     )
-    both = both.withColumn("a_level", level_of(F.size("a"))).withColumn("b_level", level_of(F.size("b")))
-    both = both.withColumn("a_all", F.xxhash64(F.sort_array("a"))).withColumn("b_all", F.xxhash64(F.sort_array("b")))
-    thin = lambda words, level: F.filter(words, lambda h: counts_at(h, level))
-    both = both.withColumn("a", thin("a", F.col("a_level"))).withColumn("b", thin("b", F.col("b_level"))).withColumn("ab", F.array_intersect("a", "b"))
+    both = both.withColumn("a_all", F.xxhash64(F.sort_array("a"))).withColumn("b_all", F.xxhash64(F.sort_array("b"))).withColumn("ab", F.array_intersect("a", "b"))
+    rows = written(both.select("row", "next_row", "doc_id", "n_chars", "edited_sha256", "a_all", "b_all", "ab", F.array_except("a", "ab").alias("a"), F.array_except("b", "ab").alias("b")), "imatch-rows", compression="zstd")
     mark = lambda words, kind: F.transform(words, lambda h: F.struct(h.alias("h"), F.lit(kind).cast("tinyint").alias("kind")))
-    marked = F.concat(mark("ab", 3), mark(F.array_except("a", "ab"), 1), mark(F.array_except("b", "ab"), 2))
-    rows = written(both.select("row", "next_row", "doc_id", "n_chars", "edited_sha256", "a_level", "b_level", "a_all", "b_all", marked.alias("words")), "imatch-rows")
-    settle(spark)
-    held = rows.select("row", F.explode("words").alias("w")).select("row", F.col("w.h").alias("h"), F.col("w.kind").alias("kind")).join(band, "h")
+    each = rows.select("row", F.explode(F.concat(mark("ab", 3), mark("a", 1), mark("b", 2))).alias("w")).select("row", F.col("w.h").alias("h"), F.col("w.kind").alias("kind"))
+    held = each.join(F.broadcast(common), "h", "left_anti").join(band, "h")
     found = held.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("h", "kind"))).alias("found"))
     of = lambda bit: F.transform(F.filter("found", lambda x: x["kind"].bitwiseAND(F.lit(bit).cast("tinyint")) != 0), lambda x: x["h"])
-    info = rows.drop("words").join(found, "row", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<h:bigint,kind:tinyint>>")))
-    info = info.withColumn("aw", of(1)).withColumn("bw", of(2)).drop("found").withColumn("a", slots(F.col("aw"), F.col("a_level"))).withColumn("b", slots(F.col("bw"), F.col("b_level")))
-    text_of = lambda s, level, words, everything: F.when(F.size(words) > 0, F.concat_ws("-", level.cast("string"), F.transform(s, F.hex))).otherwise(F.concat(F.lit("x-"), F.hex(everything)))
-    info = info.withColumn("fingerprint", text_of(F.col("a"), F.col("a_level"), F.col("aw"), F.col("a_all"))).withColumn("edited_fingerprint", text_of(F.col("b"), F.col("b_level"), F.col("bw"), F.col("b_all")))
-    near = F.when(F.col("fingerprint") == F.col("edited_fingerprint"), 1.0).otherwise(likeness(F.col("a_level"), F.col("a"), F.col("b_level"), F.col("b")))
-    info = written(info.withColumn("near_edited", near).drop("aw", "bw", "b", "b_level", "a_all", "b_all"), "imatch-prints")
+    marks = written(found.select(F.col("row").alias("at"), prints(of(1)).alias("a"), prints(of(2)).alias("b")), "imatch-prints", compression="zstd")
+    none = F.array_repeat(F.lit(0), SLOTS * LEVELS)
+    info = rows.drop("ab", "a", "b").join(marks, F.col("row") == F.col("at"), "left").withColumn("a", F.coalesce("a", none)).withColumn("b", F.coalesce("b", none))
+    alike = lambda x, x_all, y, y_all: F.when((x == y) & ((F.array_max(x) > 0) | (x_all == y_all)), 1.0).otherwise(likeness(x, y))
+    info = info.withColumn("near_edited", alike(F.col("a"), F.col("a_all"), F.col("b"), F.col("b_all")))
+    info = info.select("row", "next_row", "doc_id", "n_chars", "edited_sha256", "a", "a_all", "near_edited", shown(F.col("a"), F.col("a_all")).alias("fingerprint"), shown(F.col("b"), F.col("b_all")).alias("edited_fingerprint"))
+    info = written(info, "imatch-info", compression="zstd")
     drop(rows)
-    settle(spark)
-    after = info.select(F.col("row").alias("n_row"), F.col("a_level").alias("n_level"), F.col("a").alias("n_a"), F.col("fingerprint").alias("n_print"))
+    drop(marks)
+    after = info.select(F.col("row").alias("n_row"), F.col("a").alias("n_a"), F.col("a_all").alias("n_all"))
     return info.join(after, F.col("next_row") == F.col("n_row")).select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited",
-        F.when(F.col("fingerprint") == F.col("n_print"), 1.0).otherwise(likeness(F.col("a_level"), F.col("a"), F.col("n_level"), F.col("n_a"))).alias("near_next"),
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", alike(F.col("a"), F.col("a_all"), F.col("n_a"), F.col("n_all")).alias("near_next")
     )
 
 

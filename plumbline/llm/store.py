@@ -9,6 +9,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -16,6 +18,7 @@ from plumbline.session import importable
 
 #: Ids that a broadcast may hold; more of them are joined by shuffle.
 BROADCAST_ROWS = 500_000
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,10 +35,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside delete their shuffle files when they end, not when the driver next collects garbage."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame, name: str, **options) -> DataFrame:
-    """The rows of df, written once as Parquet in the shared folder and read back."""
+    """The rows of df, written once as Parquet in the shared folder and read back; the shuffle files that made them are deleted."""
     path = new_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
+    with cleaned(df.sparkSession):
+        df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
