@@ -11,6 +11,7 @@ Neighbours in descending doc_id come from windows over buckets of the id's range
 of the next bucket is copied to the end of each bucket, so no window spans all rows. Words above the
 band are few in any corpus (at most 1 / ``MOST_SHARE`` times the mean of a document's distinct words),
 so they are broadcast and leave before the join with the lexicon.
+Words are told apart by ``BITS`` bits of a hash.
 
 Defined cases: a null text is empty; a text without words of the band is fingerprinted by all its
 distinct words, and is like another only if those agree; null ids come last in descending order, and
@@ -29,16 +30,18 @@ from plumbline.llm.store import drop, written
 #: Random subsets at a level, levels, and subsets that two texts are compared by.
 SLOTS, LEVELS, AIM = 16, 10, 24
 #: The band: at least so many documents hold a word, and at most this share of them.
-LEAST_DOCS, MOST_SHARE = 2, 0.02
+LEAST_DOCS, MOST_SHARE = 2, 0.002
 #: Documents in a bucket of the id's range, and the most buckets.
 BUCKET, MOST_BUCKETS = 2048, 1 << 16
 LOWEST = -(1 << 63)
+#: Bits of a word's hash. The lowest two for each level decide the levels, the highest four the subset.
+BITS = 40
 
 
 def terms(text: Column) -> Column:
-    """64-bit hashes of the text's distinct lower-cased words."""
+    """Hashes of the text's distinct lower-cased words."""
     words = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit((1 << BITS) - 1))))
 
 
 def bucket_of(key: Column, firsts: list[int]) -> Column:
@@ -78,7 +81,7 @@ def edited(text: Column, after: Column) -> Column:
 def prints(words: Column) -> Column:
     """31-bit hashes of the sorted words of each subset, the sparsest level first; 0 for an empty one."""
     mark = lambda there: F.when(F.size(there) > 0, F.greatest(F.lit(1), F.xxhash64(there).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))).otherwise(F.lit(0))
-    slots = lambda left: F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda k: mark(F.filter(left, lambda h: F.shiftright(h, 40).bitwiseAND(F.lit(SLOTS - 1)) == k)))
+    slots = lambda left: F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda k: mark(F.filter(left, lambda h: F.shiftright(h, BITS - 4) == k)))
     masks = F.array(*[F.lit((1 << 2 * level) - 1).cast("long") for level in reversed(range(LEVELS))])
     at = lambda mask: F.transform(F.array(F.filter(words, lambda h: h.bitwiseAND(mask) == 0)), slots)
     return F.flatten(F.flatten(F.transform(masks, at)))
@@ -109,15 +112,18 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edit", 256).alias("edited_sha256"), terms(F.col("text")).alias("a"), terms(F.col("edit")).alias("b"),
     )
     both = both.withColumn("a_all", F.xxhash64(F.sort_array("a"))).withColumn("b_all", F.xxhash64(F.sort_array("b"))).withColumn("ab", F.array_intersect("a", "b"))
-    rows = written(both.select("row", "next_row", "doc_id", "n_chars", "edited_sha256", "a_all", "b_all", "ab", F.array_except("a", "ab").alias("a"), F.array_except("b", "ab").alias("b")), "imatch-rows", compression="zstd")
-    mark = lambda words, kind: F.transform(words, lambda h: F.struct(h.alias("h"), F.lit(kind).cast("tinyint").alias("kind")))
-    each = rows.select("row", F.explode(F.concat(mark("ab", 3), mark("a", 1), mark("b", 2))).alias("w")).select("row", F.col("w.h").alias("h"), F.col("w.kind").alias("kind"))
-    held = each.join(F.broadcast(common), "h", "left_anti").join(band, "h")
-    found = held.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("h", "kind"))).alias("found"))
-    of = lambda bit: F.transform(F.filter("found", lambda x: x["kind"].bitwiseAND(F.lit(bit).cast("tinyint")) != 0), lambda x: x["h"])
+    mark = lambda words, kind: F.transform(words, lambda h: h * 4 + kind)
+    every = F.concat(F.array(F.lit(-1).cast("long")), mark("ab", 3), mark(F.array_except("a", "ab"), 1), mark(F.array_except("b", "ab"), 2))
+    # A row for each word, and one (-1) that holds the rest.
+    info = F.struct("next_row", "doc_id", "n_chars", "edited_sha256", "a_all", "b_all")
+    each = both.select("row", info.alias("info"), F.explode(every).alias("word")).select("row", "word", F.when(F.col("word") == -1, F.col("info")).alias("info"), F.shiftright("word", 2).alias("h"))
+    rows = written(each.join(F.broadcast(common), "h", "left_anti").select("row", "word", "info"), "imatch-rows", compression="zstd")
+    held = rows.where("word >= 0").select("row", "word", F.shiftright("word", 2).alias("h")).join(band, "h")
+    found = held.groupBy("row").agg(F.sort_array(F.collect_list("word")).alias("found"))
+    of = lambda bit: F.transform(F.filter("found", lambda x: x.bitwiseAND(F.lit(bit)) != 0), lambda x: F.shiftright(x, 2))
     marks = written(found.select(F.col("row").alias("at"), prints(of(1)).alias("a"), prints(of(2)).alias("b")), "imatch-prints", compression="zstd")
     none = F.array_repeat(F.lit(0), SLOTS * LEVELS)
-    info = rows.drop("ab", "a", "b").join(marks, F.col("row") == F.col("at"), "left").withColumn("a", F.coalesce("a", none)).withColumn("b", F.coalesce("b", none))
+    info = rows.where("word = -1").select("row", "info.*").join(marks, F.col("row") == F.col("at"), "left").withColumn("a", F.coalesce("a", none)).withColumn("b", F.coalesce("b", none))
     alike = lambda x, x_all, y, y_all: F.when((x == y) & ((F.array_max(x) > 0) | (x_all == y_all)), 1.0).otherwise(likeness(x, y))
     info = info.withColumn("near_edited", alike(F.col("a"), F.col("a_all"), F.col("b"), F.col("b_all")))
     info = info.select("row", "next_row", "doc_id", "n_chars", "edited_sha256", "a", "a_all", "near_edited", shown(F.col("a"), F.col("a_all")).alias("fingerprint"), shown(F.col("b"), F.col("b_all")).alias("edited_fingerprint"))

@@ -2,8 +2,22 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 import corpus_pipeline
 from plumbline.llm import chat, imatch, lattice, mixing, ngram_join, packing, ppm, token_files, toxicity, warc
+from plumbline.session import importable
+
+
+def ready(query):
+    """The query, in a session whose workers can import this package: no DataFrame is made before that."""
+
+    @wraps(query)
+    def run(spark, sf_dir):
+        return query(importable(spark), sf_dir)
+
+    return run
+
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -18,6 +32,7 @@ QUERIES = {
     "op9_imatch": imatch.op9_imatch,
     "op10_lattice_dedup": lattice.op10_lattice_dedup,
 }
+QUERIES = {name: ready(query) for name, query in QUERIES.items()}
 ORACLES = {
     "op1_warc_roundtrip": warc.OP1_SQL,
     "op6_chat_format": chat.OP6_SQL,

@@ -182,42 +182,82 @@ def test_divide_skip_finds_what_counting_finds():
 
 def test_ppm(spark, docs):
     held = F.coalesce(F.pmod(F.col("doc_id"), F.lit(4)) == 2, F.lit(False))
-    got = ppm.scored(docs.select("doc_id", "text", F.col("lang").alias("kind")).withColumn("held_out", held)).collect()
+    got = ppm.scored(docs.withColumn("held_out", held).withColumn("chunk", F.lit(1)).withColumn("home", F.lit(1))).collect()
     rows = [(r["doc_id"], [*WORDS.findall((r["text"] or "").translate(LOW)), None]) for r in docs.collect()]
     count = Counter(w for i, words in rows if i is None or i % 4 != 2 for w in words)
     n, v = sum(count.values()), len(count)
     want = Counter((i, len(w), sum(count[x] > 0 for x in w), n, round(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w), 4)) for i, w in rows)
     assert Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in got) == want
     assert all(r["score"] < 0 for r in got)
-    assert ppm.scored(empty(spark).select("doc_id", "text", F.col("lang").alias("kind"), F.lit(False).alias("held_out"))).count() == 0
+    assert ppm.scored(empty(spark).select("doc_id", "text", F.lit(False).alias("held_out"))).count() == 0
+    untrained = ppm.scored(docs.limit(9).withColumn("held_out", F.lit(True))).collect()
+    assert len(untrained) == 9 and all(r["train_tokens"] == 0 == r["n_known"] for r in untrained)
 
 
-def test_ppm_tries_are_those_of_all_contexts(spark, docs):
-    """Scores by tries that lie in parts equal those by whole ones."""
+def brute_stream(text):
+    return b" " + b"".join(w.encode() + b" " for w in WORDS.findall((text or "").translate(LOW))) + b"\n"
+
+
+def grams_of(body):
+    buf = np.frombuffer(body, np.uint8)
+    return ppm.longest(buf, np.arange(len(buf)))[1:]
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_ppm_tries_are_those_of_all_contexts(spark, docs, monkeypatch, small):
+    """Scores by tries that lie in buckets, from chunks in groups, equal those by one whole trie."""
+    if small:  # the driver's numbers only: chunks of the workers stay as they are
+        monkeypatch.setattr(ppm, "GROUP", 1)
+        monkeypatch.setattr(ppm, "LEAST", (5, 3))
     held = F.coalesce(F.pmod(F.col("doc_id"), F.lit(4)) == 2, F.lit(False))
-    got = ppm.scored(docs.select("doc_id", "text", F.col("lang").alias("kind")).withColumn("held_out", held)).collect()
-    rows = [(r["doc_id"], r["lang"], [x.encode() for x in WORDS.findall((r["text"] or "").translate(LOW))] + [b""]) for r in docs.collect()]
-    train = [(lang, words) for i, lang, words in rows if i is None or i % 4 != 2]
-    size = Counter(lang for lang, _ in train)
-    kinds = sorted(size, key=lambda x: (-size[x], x is not None, x or ""))[: ppm.KINDS]
-    of = lambda lang: kinds.index(lang) if lang in kinds else len(kinds)
-    grams = [Counter() for _ in range(len(kinds) + 1)]
-    for lang, words in train:
-        buf, place, _ = ppm.sequences(words)
-        grams[of(lang)].update(ppm.longest(buf, place)[place > 0].tolist())
-    tries = [ppm.Trie(np.array(list(g), np.uint64), np.array(list(g.values()), np.int64)) for g in grams]
-    shares = np.array([*(size[x] for x in kinds), sum(size.values()) - sum(size[x] for x in kinds)]) + 0.5
+    got = ppm.scored(docs.repartition(3).withColumn("held_out", held)).collect()
+    rows = [(r["doc_id"], brute_stream(r["text"])) for r in docs.collect()]
+    grams = Counter()
+    for i, body in rows:
+        if i is None or i % 4 != 2:
+            grams.update(grams_of(body).tolist())
+    trie = ppm.Trie(np.array(list(grams), np.uint64), np.array(list(grams.values()), np.int64))
     want = []
-    for i, _, words in rows:
-        buf, place, _ = ppm.sequences(words)
-        g = ppm.longest(buf, place)[place > 0]
+    for i, body in rows:
+        g = grams_of(body)
         order = (g >> np.uint64(56)).astype(int) - 1
-        each = np.array([sum(t.log_p(g[order == k], k, k).sum() for k in range(1, ppm.ORDER + 1)) for t in tries]) + np.log(shares / shares.sum())
-        want.append((-1 if i is None else i, len(words), (each.max() + np.log(np.exp(each - each.max()).sum())) / np.log(10)))
-    have = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"], r["score"]) for r in got)
+        want.append((-1 if i is None else i, sum(trie.log_p(g[order == k], k, k).sum() for k in range(1, ppm.ORDER + 1)) / np.log(10)))
+    have = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["score"]) for r in got)
     assert len(have) == len(want)
-    for (i, n, x), (j, m, y) in zip(have, sorted(want)):
-        assert (i, n) == (j, m) and x == pytest.approx(y, rel=1e-4, abs=1e-3)
+    for (i, x), (j, y) in zip(have, sorted(want)):
+        assert i == j and x == pytest.approx(y, rel=1e-4, abs=1e-3)
+
+
+def test_ppm_streams():
+    some = texts()
+    column = pa.array([*some, "long " * 500_000])
+    for at in (0, 7):
+        bodies = []
+        for _, _, offsets, _, buf, s, e in textkit.word_spans(column.slice(at)):
+            body, ends = ppm.stream(offsets, buf, s, e)
+            bodies += [body[a:z].tobytes() for a, z in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        assert bodies == [brute_stream(t) for t in column.slice(at).to_pylist()]
+    buf, ends = np.frombuffer(b"".join(bodies), np.uint8), np.cumsum([len(b) for b in bodies])
+    pieces = list(ppm.symbols(buf, ends))
+    assert len(pieces) > 1
+    assert np.concatenate([g for g, _ in pieces]).tolist() == [x for b in bodies for x in grams_of(b).tolist()]
+    assert np.bincount(np.concatenate([o for _, o in pieces])).tolist() == [len(b) - 1 for b in bodies]
+    words, owner = ppm.word_keys(buf, ends)
+    assert np.bincount(owner).tolist() == [b.count(b" ") for b in bodies]
+
+
+def test_ppm_packing_and_merging():
+    rng = np.random.default_rng(3)
+    parts = [(np.unique(rng.integers(0, 500, 80)).astype(np.uint64), rng.integers(0, 9, 80)) for _ in range(7)]
+    parts = [(k, n[: len(k)]) for k, n in parts] + [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    want = Counter()
+    for k, n in parts:
+        for x, c in zip(k.tolist(), n.tolist()):
+            want[x] += c
+    got = ppm.merged(iter(parts))
+    assert got[0].tolist() == sorted(want) and got[1].tolist() == [want[x] for x in sorted(want)]
+    for k, n in (got, parts[-1]):
+        assert ppm.unpacked_keys(ppm.packed_keys(k)).tolist() == k.tolist() and ppm.unpacked(ppm.packed(n), np.int64).tolist() == n.tolist()
 
 
 def test_ppm_contexts_cross_words(spark):
@@ -226,18 +266,15 @@ def test_ppm_contexts_cross_words(spark):
     words = ["".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(200)]
     passage = " ".join(words)
     rows = [(0, passage, False), (1, passage, False), (2, passage, True), (3, " ".join(rng.sample(words, len(words))), True)]
-    got = {r["doc_id"]: r for r in ppm.scored(spark.createDataFrame([(i, t, "en", h) for i, t, h in rows], "doc_id long, text string, kind string, held_out boolean")).collect()}
+    got = {r["doc_id"]: r for r in ppm.scored(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")).collect()}
     assert got[2]["base_score"] == pytest.approx(got[3]["base_score"])
     assert got[2]["score"] > got[3]["score"] + 50
 
 
 def test_ppm_is_a_distribution():
-    words = [b"the", b"then", b"a", b"", b"that", "é".encode()] * 3 + [b"these"]
-    buf, place, _ = ppm.sequences(words)
-    grams = Counter()
-    for order in range(1, ppm.ORDER + 1):
-        at = (place >= order) if order == ppm.ORDER else (place == order)
-        grams.update(ppm.keys(buf, order)[at].tolist())
+    body = brute_stream("the then a that \u00e9 " * 3 + "these")
+    g = grams_of(body)
+    grams = Counter(g.tolist())
     trie = ppm.Trie(np.array(list(grams), np.uint64), np.array(list(grams.values())))
     for head in (b" ", b" t", b" the", b" zz"):
         k = len(head)
@@ -399,7 +436,7 @@ def brute_prints(words):
     out = []
     for level in reversed(range(imatch.LEVELS)):
         for slot in range(imatch.SLOTS):
-            there = sorted(signed(h) for h in words if h % 4**level == 0 and (h >> 40) % imatch.SLOTS == slot)
+            there = sorted(signed(h) for h in words if h % 4**level == 0 and h >> imatch.BITS - 4 == slot)
             mark = 42
             for h in there:
                 mark = xxhash.xxh64(h.to_bytes(8, "little", signed=True), seed=mark).intdigest()
@@ -420,7 +457,7 @@ def test_imatch(spark, docs):
     docs = docs.select("doc_id", "text").union(spark.createDataFrame([*rare, (2000, rare[-1][1]), (2001, rare[-1][1])], "doc_id long, text string"))
     got = imatch.fingerprints(docs.select("doc_id", "text", *[F.lit(1).alias(c) for c in ("row", "bucket", "h", "a", "words")])).collect()
     rows = sorted(((-1 if r["doc_id"] is None else r["doc_id"], r["text"] or "") for r in docs.collect()), reverse=True)
-    of = lambda t: {xxhash.xxh64(w.encode(), seed=42).intdigest() for w in WORDS.findall(t.lower())}
+    of = lambda t: {xxhash.xxh64(w.encode(), seed=42).intdigest() % (1 << imatch.BITS) for w in WORDS.findall(t.lower())}
     df = Counter(h for _, t in rows for h in of(t))
     band = {h for h, n in df.items() if imatch.LEAST_DOCS <= n <= max(imatch.LEAST_DOCS, imatch.MOST_SHARE * len(rows))}
     want, prints = Counter(), defaultdict(set)
