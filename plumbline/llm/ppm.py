@@ -8,19 +8,16 @@ shorter context, where the symbols that the longer one has seen are excluded. Th
 is estimated from all contexts of the order with about the same counts, by leaving out each occurrence
 in turn. Shorter contexts count the distinct longer ones in which a symbol was new (update exclusion).
 
-Each kind of text (a column of the training rows, such as their language; the ``KINDS`` most frequent
-and the rest) has a trie of its own. A document's probability is the mixture of theirs by their share
-of the training documents, so the code adapts to the kind that its text so far speaks for; a scored
-document's own kind is not looked at.
-
-Texts are written once as chunks in dictionary code, words in their order. A chunk gives each distinct
-symbol with its longest context once, with its counts; the symbol's code length goes back to the
-chunks that hold it: rows are shuffled for each chunk's distinct symbols, not for those of the corpus.
+Streams are written once, some ``CHUNK`` bytes of them to a row. A chunk gives each distinct symbol
+with its longest context once, with its count, and each distinct word: as sorted keys, packed in one
+binary for each bucket of keys, so what is shuffled is a few rows of packed keys and not a row for each
+symbol. Buckets are merged (by groups of ``GROUP`` chunks first, where there are more), which makes the
+trie; each bucket's keys then get their code lengths, group by group of chunks, and these go back
+to the chunks, whose symbols look them up.
 
 The trie holds every context of the training texts and grows with them, so no task holds it whole.
-Contexts with the same newest ``LOW + 1`` bytes lie together, as all their shorter ones but the
-shortest do; those of up to ``LOW`` bytes, at most 2**24 symbols in any corpus, are broadcast. Each
-distinct symbol with its longest context is scored once.
+Contexts with the same newest ``LOW + 1`` bytes lie in one bucket, as all their shorter ones but the
+shortest do; they are at most 2**24 symbols, as those of up to ``LOW`` bytes are, which are broadcast.
 
 Defined cases: null, empty and white-space texts have the end mark as their one token; a null doc_id
 is scored and trains; repeated rows are rows of their own, and each of them trains; without any
@@ -30,101 +27,122 @@ are ignored.
 
 from __future__ import annotations
 
+import hashlib
+import math
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm.store import drop, settle, written
-from plumbline.llm.textkit import word_spans
+from plumbline.llm.store import drop, written
+from plumbline.llm.textkit import LONG_WORD, SPACE as IS_SPACE, mix, span_hashes, spans, word_spans
 
-#: Bytes of the longest context; seven bytes and a length fill a 64-bit key.
-ORDER = 6
+#: Bytes of the longest context; of up to six, they fit a 64-bit key with the symbol and a length.
+ORDER = 5
 #: Contexts of up to so many bytes are in tables that each task holds.
 LOW = 2
-#: Words whose symbols a task lays out at a time, and symbols whose contexts it holds at a time.
-PIECE, RUN = 500_000, 200_000
-#: Kinds of text with a trie of their own, besides one for the rest.
-KINDS = 7
-#: Bytes of text in a chunk.
-CHUNK = 16 << 20
+#: Symbols laid out at a time.
+PIECE = 1 << 20
+#: Bytes of streams in a chunk; buckets of symbols and of words at least, and bytes of streams for each further one; chunks whose keys one task scores.
+CHUNK, LEAST, BUCKET, GROUP = 8 << 20, (32, 4), (128 << 20, 512 << 20), 256
 SPACE, STOP, SYMBOLS = 0x20, 0x0A, 257
+#: The end mark's key among those of words.
+END = np.uint64(0)
+
+CODED = "chunk long, size long, stream binary, doc_id array<long>, held_out array<boolean>, ends array<long>"
+
+
+def packed(x: np.ndarray) -> bytes:
+    """64-bit values, byte by byte, compressed."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T)
+    return len(x).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpacked(b: bytes, kind=np.uint64) -> np.ndarray:
+    n = int.from_bytes(b[:8], "little")
+    planes = np.frombuffer(pa.decompress(b[8:], 8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view(kind).reshape(n)
+
+
+def packed_keys(x: np.ndarray) -> bytes:
+    """Ascending keys, as differences."""
+    return packed(np.diff(x, prepend=np.uint64(0)))
+
+
+def unpacked_keys(b: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(b), dtype=np.uint64)
 
-CODED = "chunk long, words array<binary>, c array<long>, doc_id array<long>, held_out array<boolean>, trains array<int>, n_tokens array<long>, stops array<int>, word array<int>"
+
+def merged(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending keys of all parts (ascending keys, counts) with their counts, merged two of about the same size at a time."""
+
+    def two(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.concatenate([a[0], b[0]])
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], np.concatenate([a[1], b[1]])[order]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for part in parts:
+        held.append(part)
+        while len(held) > 1 and 2 * len(held[-1][0]) >= len(held[-2][0]):
+            held[-2:] = [two(*held[-2:])]
+    while len(held) > 1:
+        held[-2:] = [two(*held[-2:])]
+    return held[0] if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def stream(offsets: np.ndarray, buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Streams of documents with the words offsets[i] to offsets[i + 1], which stand at s to e in buf, and where each stream ends."""
+    n, body = len(offsets) - 1, np.r_[0, np.cumsum(e - s + 1)]
+    ends = body[offsets[1:]] + 2 * np.arange(1, n + 1)
+    out = np.full(body[-1] + 2 * n, SPACE, np.uint8)
+    ink = np.ones(len(out), bool)
+    ink[np.r_[0, ends[:-1]][:n]] = ink[ends - 1] = False
+    ink[body[1:] + 2 * np.repeat(np.arange(n), np.diff(offsets))] = False  # the space after each word
+    out[ink] = buf[~IS_SPACE[buf]]
+    out[ends - 1] = STOP
+    return out, ends
 
 
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks in dictionary code, with each word's occurrences in training rows; the empty word is the end mark, and held-out rows train kind -1."""
-    ids, held, kind, runs, size = [], [], [], [], 0
+    """Chunks of streams."""
+    ids, held, found, size = [], [], [], 0
 
     def chunk() -> pa.RecordBatch:
-        hashes = np.concatenate([r[1] for r in runs])
-        counts = np.concatenate([np.diff(r[0]) for r in runs])
-        distinct, first, code = np.unique(hashes, return_index=True, return_inverse=True)
-        code = code.astype(np.int32)
-        edges = np.cumsum([0, *(len(r[1]) for r in runs)])
-        del hashes
-        where = np.searchsorted(edges, first, "right") - 1
-        words = [runs[w][2][runs[w][3][i - edges[w]] : runs[w][4][i - edges[w]]].tobytes() for w, i in zip(where.tolist(), first.tolist(), strict=True)]
-        ends = np.cumsum(counts)
-        word = np.insert(code, ends, len(words)).astype(np.int32)
-        trains = np.where(held, -1, kind).astype(np.int32)
-        c = np.bincount(word, np.repeat(trains >= 0, counts + 1), len(words) + 1).astype(np.int64)
+        base = np.cumsum([0, *(len(b) for b, _ in found)])
         lists = lambda x, t: pa.array([x], pa.list_(t))
+        body = pa.compress(np.concatenate([b for b, _ in found]), codec="zstd", asbytes=True)
+        ends = np.concatenate([e + o for (_, e), o in zip(found, base, strict=False)])
         return pa.RecordBatch.from_arrays(
-            [pa.array([uuid.uuid4().int >> 65], pa.int64()), lists([*words, b""], pa.binary()), lists(c, pa.int64()), lists(ids, pa.int64()), lists(held, pa.bool_()),
-             lists(trains, pa.int32()), lists(counts + 1, pa.int64()), lists(np.cumsum(counts + 1).astype(np.int32), pa.int32()), lists(word, pa.int32())],
-            names=["chunk", "words", "c", "doc_id", "held_out", "trains", "n_tokens", "stops", "word"],
+            [pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([base[-1]], pa.int64()), pa.array([body], pa.binary()), lists(ids, pa.int64()), lists(held, pa.bool_()), lists(ends, pa.int64())],
+            names=["chunk", "size", "stream", "doc_id", "held_out", "ends"],
         )
 
     for b in batches:
-        for first, rows, offsets, hashes, buf, s, e in word_spans(b.column("text")):
+        for first, rows, offsets, _, buf, s, e in word_spans(b.column("text")):
             ids += b.column("doc_id").slice(first, rows).to_pylist()
             held += b.column("held_out").slice(first, rows).to_pylist()
-            kind += b.column("kind").slice(first, rows).to_pylist()
-            runs.append((offsets.astype(np.int32), hashes, buf, s.astype(np.int32), e.astype(np.int32)))
-            size += len(buf)
+            found.append(stream(offsets, buf, s, e))
+            size += len(found[-1][0])
             if size >= CHUNK:
                 yield chunk()
-                ids, held, kind, runs, size = [], [], [], [], 0
-    if runs:
+                ids, held, found, size = [], [], [], 0
+    if found:
         yield chunk()
 
 
-def _parts(words: list[bytes]) -> pa.Array:
-    """Each word's bytes in a stream; the space after the end mark is the one before the next document."""
-    return pa.array([w + b" " if w else b"\n " for w in words], pa.binary())
-
-
-def _laid(parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    edges, data = np.frombuffer(parts.buffers()[1], np.int32)[parts.offset :], parts.buffers()[2]
-    body = np.frombuffer(data, np.uint8)[edges[0] : edges[len(parts)]] if data else np.zeros(0, np.uint8)
-    buf = np.concatenate([np.array([SPACE], np.uint8), body])
-    stop = buf == STOP
-    if len(buf) > 1 and stop[-2]:
-        buf, stop = buf[:-1], stop[:-1]
-    starts = np.r_[0, np.flatnonzero(stop) + 1]
-    owner = np.cumsum(stop) - stop
-    return buf, np.arange(len(buf)) - starts[owner], owner
-
-
-def sequences(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The symbols of documents, which empty words end, with the space before each; each symbol's place in its document; each symbol's document."""
-    return _laid(_parts(words))
-
-
-def _pieces(words: list[bytes], word: np.ndarray, stops: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first document, symbols with their longest contexts, each one's document from there) for runs of a chunk's documents."""
-    parts, first = _parts(words), 0
-    while first < len(stops):
-        a = stops[first - 1] if first else 0
-        last = max(first + 1, int(np.searchsorted(stops, a + PIECE, "right")))
-        buf, place, owner = _laid(parts.take(pa.array(word[a : stops[last - 1]])))
-        at = place > 0
-        yield first, longest(buf, place)[at], owner[at]
-        first = last
+def _chunks(batches: Iterator[pa.RecordBatch] | pa.Table) -> Iterator[tuple[int, np.ndarray, list, np.ndarray, np.ndarray]]:
+    """(chunk, stream, doc_ids, held_out, ends) of each row."""
+    for b in batches:
+        for i in range(b.num_rows):
+            get = lambda name, b=b, i=i: b.column(name)[i]
+            buf = np.frombuffer(pa.decompress(get("stream").as_buffer(), get("size").as_py(), codec="zstd"), np.uint8)
+            yield get("chunk").as_py(), buf, get("doc_id").as_py(), get("held_out").values.to_numpy(zero_copy_only=False), get("ends").values.to_numpy()
 
 
 def keys(buf: np.ndarray, order: int) -> np.ndarray:
@@ -144,24 +162,65 @@ def longest(buf: np.ndarray, place: np.ndarray) -> np.ndarray:
     return (keys(buf, ORDER) & _MASKS[order]) | (order + 1).astype(np.uint64) << np.uint64(56)
 
 
-def _grams(k: int):
-    """(home, gram, n0, n1, ...): each distinct symbol of a chunk with its longest context, and how often each kind trains it."""
+def symbols(buf: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys with the longest contexts, documents) of a stream's symbols, PIECE at a time."""
+    for a in range(0, len(buf), PIECE):
+        back, z = max(0, a - ORDER), min(len(buf), a + PIECE)
+        first, last = np.searchsorted(ends, [back, z - 1], "right").tolist()
+        sizes = np.diff(np.r_[back, ends[first:last], z])
+        place = np.arange(back, z) - np.repeat(np.r_[0, ends][first : last + 1], sizes)
+        g = longest(buf[back:z], place)
+        there = place > 0
+        there[: a - back] = False
+        yield g[there], np.repeat(np.arange(first, last + 1), sizes)[there]
+
+
+def word_keys(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, documents) of a stream's words and end marks."""
+    s, e = spans(buf, np.zeros(0, np.int64))
+    h = np.empty(len(s), np.uint64)
+    long = np.flatnonzero(e - s > LONG_WORD)
+    for i in long.tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(buf[s[i] : e[i]].tobytes(), digest_size=8).digest(), "little")
+    for a, z in zip(np.r_[0, long + 1].tolist(), np.r_[long, len(s)].tolist(), strict=True):
+        while a < z:
+            to = min(z, max(a + 1, int(np.searchsorted(s, s[a] + PIECE))))
+            h[a:to] = span_hashes(buf[s[a] : e[to - 1]], s[a:to] - s[a], e[a:to] - s[a])
+            a = to
+    h[h == END] = 1
+    each = np.arange(len(ends))
+    return np.r_[h, np.full(len(ends), END)], np.r_[np.repeat(each, np.diff(np.searchsorted(s, ends), prepend=0)), each]
+
+
+def bucket_of(k: np.ndarray, buckets: int, words: bool) -> np.ndarray:
+    """Words by their hash; symbols by that of the newest LOW + 1 bytes of context."""
+    h = k if words else mix((k >> np.uint64(8)) & np.uint64((1 << 8 * (LOW + 1)) - 1))
+    return ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
+
+
+HELD = "bucket int, part int, home long, keys binary, n binary"
+
+
+def _held(n_grams: int, n_words: int, parts: int):
+    """Rows (bucket, part, home, keys, n): each distinct symbol with its longest context, and each word, of a chunk, with its training count."""
+
+    def counted_once(g: np.ndarray, trains: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        yield np.unique(g[trains], return_counts=True)
+        other = np.unique(g[~trains])
+        yield other, np.zeros(len(other), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                get = lambda name, b=b, i=i: b.column(name)[i].values
-                trains = get("trains").to_numpy()
-                distinct, n = np.zeros(0, np.uint64), [np.zeros(0, np.int64)] * k
-                for first, g, owner in _pieces(get("words").to_pylist(), get("word").to_numpy(), get("stops").to_numpy()):
-                    own, back = np.unique(g, return_inverse=True)
-                    kind = trains[first + owner]
-                    more = [np.bincount(back[kind == j], minlength=len(own)) for j in range(k)]
-                    distinct, back = np.unique(np.concatenate([distinct, own]), return_inverse=True)
-                    n = [np.bincount(back, np.concatenate([x, y]), len(distinct)).astype(np.int64) for x, y in zip(n, more, strict=True)]
-                home = np.full(len(distinct), b.column("chunk")[i].as_py())
-                found = pa.table([pa.array(home), pa.array(distinct.view(np.int64)), *map(pa.array, n)], names=["home", "gram", *[f"n{j}" for j in range(k)]])
-                yield from found.to_batches(max_chunksize=100_000)
+        for home, buf, _, held, ends in _chunks(batches):
+            pieces = (part for g, owner in symbols(buf, ends) for part in counted_once(g, ~held[owner]))
+            words, owner = word_keys(buf, ends)
+            for found, buckets, base in ((merged(pieces), n_grams, 0), (merged(counted_once(words, ~held[owner])), n_words, n_grams)):
+                b = bucket_of(found[0], buckets, base > 0)
+                order = np.argsort(b.astype(np.uint16) if buckets < 1 << 16 else b, kind="stable")
+                k, n, b = found[0][order], found[1][order], b[order]
+                cuts = np.r_[np.flatnonzero(np.diff(b, prepend=-1)), len(b)]
+                rows = [(int(b[x]) + base, home % parts, home, packed_keys(k[x:z]), packed(n[x:z])) for x, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+                types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["bucket", "part", "home", "keys", "n"])
 
     return run
 
@@ -269,128 +328,116 @@ class Trie:
         return out
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows in order of their suffix, RUN or more at a time, without parting those of one suffix."""
-    held, size = [], 0
-    for b in batches:
-        suffix = b.column("suffix").to_numpy()
-        cuts = np.flatnonzero(np.diff(suffix)) + 1
-        if held and b.num_rows and held[-1].column("suffix")[-1].as_py() != suffix[0]:
-            cuts = np.r_[0, cuts]
-        if size + b.num_rows >= RUN and len(cuts):
-            cut = int(cuts[-1])
-            if size + cut:
-                yield pa.Table.from_batches([*held, b.slice(0, cut)])
-            held, size, b = [], 0, b.slice(cut)
-        if b.num_rows:
-            held.append(b)
-            size += b.num_rows
-    if held:
-        yield pa.Table.from_batches(held)
+def _tables(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Trained keys and their counts of each row."""
+    for k, n in zip(t.column("keys"), t.column("n"), strict=True):
+        found, counts = unpacked_keys(k.as_py()), unpacked(n.as_py(), np.int64)
+        yield found[counts > 0], counts[counts > 0]
 
 
-def _trained(run: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    n = run.column(f"n{kind}").to_numpy()
-    return run.column("gram").to_numpy()[n > 0].view(np.uint64), n[n > 0]
+def _merged(key, t):
+    found, n = merged(_tables(t))
+    return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "keys": [packed_keys(found)], "n": [packed(n)]})
 
 
-COUNTED = "what int, kind int, at long, x long, y long"
+TRAINED = "bucket int, keys binary, n binary, what int, at array<long>, x array<long>, y array<long>"
+#: Rows of a bucket besides its table: counts of symbols of the shortest contexts; words in all and distinct ones; outcomes of an order's states (the order).
+TABLE, SHORT, WORDS = -1, -2, -3
 
 
-def _counted(k: int):
-    """States' outcomes (what: the order, at: the state), and counts of symbols with LOW bytes of context or less (what: -1, at: the gram)."""
+def _trained(n_grams: int):
+    """A bucket's merged table; what its symbols add to shorter contexts; its states' outcomes by order, or its words' totals."""
 
-    def rows(what: int, kind: int, at: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-        fixed = [pa.array(np.full(len(at), v, np.int32)) for v in (what, kind)]
-        return pa.RecordBatch.from_arrays([*fixed, *(pa.array(v.astype(np.int64)) for v in (at, x, y))], names=["what", "kind", "at", "x", "y"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _runs(batches):
-            for j in range(k):
-                grams, n = _trained(part, j)
-                tables, (new, times) = counted(grams, n, ORDER, LOW + 1)
-                short = grams >> np.uint64(56) <= LOW + 1
-                yield rows(-1, j, np.concatenate([new, grams[short]]), np.concatenate([times, n[short]]), np.zeros(len(new) + short.sum()))
-                for order, (g, c) in tables.items():
-                    if len(g):
-                        yield rows(order, j, *outcomes(*totals(g, c, order)[2:]))
+    def run(key, t):
+        bucket = key[0].as_py()
+        found, n = merged(_tables(t))
+        rows = [(TABLE, packed_keys(found), packed(n), [], [], [])]
+        more = lambda what, *columns: rows.append((what, None, None, *(c.astype(np.int64).tolist() for c in columns)))
+        if bucket >= n_grams:
+            more(WORDS, np.zeros(1), np.array([n.sum()]), np.array([len(n)]))
+        else:
+            tables, (new, times) = counted(found, n, ORDER, LOW + 1)
+            short = found >> np.uint64(56) <= LOW + 1
+            more(SHORT, np.r_[new, found[short]].view(np.int64), np.r_[times, n[short]], np.zeros(len(new) + short.sum()))
+            for order, (g, c) in tables.items():
+                if len(g):
+                    more(order, *outcomes(*totals(g, c, order)[2:]))
+        what, k, c, at, x, y = zip(*rows)
+        lists = lambda v: pa.array(v, pa.list_(pa.int64()))
+        return pa.table({"bucket": pa.array([bucket] * len(rows), pa.int32()), "keys": pa.array(k, pa.binary()), "n": pa.array(c, pa.binary()), "what": pa.array(what, pa.int32()), "at": lists(at), "x": lists(x), "y": lists(y)})
 
     return run
 
 
-def _gram_scores(known):
-    """(gram, s0, s1, ...): log10 probability of each symbol after its longest context, by each kind's trie."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _runs(batches):
-            g = part.column("gram").to_numpy().view(np.uint64)
-            length = (g >> np.uint64(56)).astype(np.int64)
-            out = []
-            for j, (low, learned) in enumerate(known.value):
-                grams, n = _trained(part, j)
-                far = grams >> np.uint64(56) > LOW + 1
-                trie, s = Trie(grams[far], n[far], ORDER, low, learned), np.zeros(len(g), np.float32)
-                for order in range(1, ORDER + 1):
-                    at = np.flatnonzero(length == order + 1)
-                    s[at] = trie.log_p(g[at], order, order) / np.log(10)
-                out.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), *map(pa.array, out)], names=["gram", *[f"s{j}" for j in range(len(out))]])
+def _short_trie(rows: pa.Table) -> tuple[Trie, dict]:
+    """The trie of contexts of LOW bytes or less, and the outcomes of states of each longer order."""
+    what, at, x, y = (rows.column(c).to_numpy() for c in ("what", "at", "x", "y"))
+    learned = {}
+    for order in range(LOW + 1, ORDER + 1):
+        mine = np.flatnonzero(what == order)
+        mine = mine[np.argsort(at[mine])]
+        learned[order] = at[mine], x[mine], y[mine]
+    own = what == SHORT
+    return Trie(at[own].view(np.uint64), x[own], LOW), learned
+
+
+SCORED = "home long, words boolean, keys binary, scores binary"
+
+
+def _scores(known, n_grams: int):
+    """Rows (home, words, keys, scores) for a bucket's rows of some chunks: words' training counts, or natural log probabilities of symbols after their longest contexts."""
+
+    def run(key, t: pa.Table, table: pa.Table) -> pa.Table:
+        words = key[0].as_py() >= n_grams
+        trained, n = merged(_tables(table))
+        each = [unpacked_keys(k.as_py()) for k in t.column("keys")]
+        every = np.unique(np.concatenate(each)) if each else np.zeros(0, np.uint64)
+        value = np.zeros(len(every))
+        if words:
+            _, here, there = np.intersect1d(every, trained, assume_unique=True, return_indices=True)
+            value[here] = n[there]
+        else:
+            low, learned = known.value
+            far = trained >> np.uint64(56) > LOW + 1
+            trie, length = Trie(trained[far], n[far], ORDER, low, learned), (every >> np.uint64(56)).astype(np.int64)
+            for order in range(1, ORDER + 1):
+                at = np.flatnonzero(length == order + 1)
+                value[at] = trie.log_p(every[at], order, order)
+        out = [packed(value[np.searchsorted(every, k)]) if words else value[np.searchsorted(every, k)].astype(np.float32).tobytes() for k in each]
+        return pa.table({"home": t.column("home"), "words": pa.array([words] * len(each), pa.bool_()), "keys": t.column("keys"), "scores": pa.array(out, pa.binary())})
 
     return run
 
 
-def _by_suffix(grams: DataFrame) -> DataFrame:
-    """Grams with the same newest LOW + 1 bytes of context in one partition, side by side."""
-    suffix = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * (LOW + 1)) - 1))
-    return grams.withColumn("suffix", suffix).repartition("suffix").sortWithinPartitions("suffix")
-
-
-def _short_tries(rows: pa.Table, k: int) -> list[tuple[Trie, dict]]:
-    """For each kind, the trie of contexts of LOW bytes or less, and the outcomes of states of each longer order."""
-    what, kind, at, x, y = (rows.column(c).to_numpy() for c in ("what", "kind", "at", "x", "y"))
-    out = []
-    for j in range(k):
-        own = (kind == j) & (what == -1)
-        learned = {}
-        for order in range(LOW + 1, ORDER + 1):
-            mine = np.flatnonzero((kind == j) & (what == order))
-            mine = mine[np.argsort(at[mine])]
-            learned[order] = at[mine], x[mine], y[mine]
-        out.append((Trie(at[own].view(np.uint64), x[own], LOW), learned))
-    return out
+def _documents(n: int, v: int):
+    """Scores of a chunk's documents: their words' base and their symbols' code lengths, summed."""
 
-
-def _documents(n: int, v: int, shares: list[float]):
-    """Scores of a chunk's documents: their words' base and their symbols' code lengths, summed, and mixed over the kinds."""
+    def looked_up(found: pa.Table, words: bool) -> tuple[np.ndarray, np.ndarray]:
+        mine = found.filter(found.column("words") if words else pc.invert(found.column("words")))
+        k = [unpacked_keys(x.as_py()) for x in mine.column("keys")]
+        s = [unpacked(x.as_py(), np.float64) if words else np.frombuffer(x.as_py(), np.float32) for x in mine.column("scores")]
+        k, s = np.concatenate(k) if k else np.zeros(0, np.uint64), np.concatenate(s) if s else np.zeros(0)
+        order = np.argsort(k)
+        return k[order], s[order]
 
     def run(key, coded: pa.Table, found: pa.Table) -> pa.Table:
-        at, c = found.column("at").to_numpy(), found.column("c").to_numpy()
-        of_words = np.flatnonzero(c >= 0)
-        known = np.zeros(len(of_words), np.int64)
-        known[at[of_words]] = c[of_words]
-        base = np.log10((known + 1) / (n + v + 1))
-        of_grams = np.flatnonzero(c < 0)
-        of_grams = of_grams[np.argsort(at[of_grams])]
-        grams = at[of_grams].view(np.uint64)
-        values = [found.column(f"s{j}").to_numpy()[of_grams] for j in range(len(shares))]
+        names, log_p = looked_up(found, False)
+        words, counts = looked_up(found, True)
         out = []
-        for i in range(coded.num_rows):
-            get = lambda name, i=i: coded.column(name)[i].values
-            word, stops = get("word").to_numpy(), get("stops").to_numpy()
-            if not len(stops):
-                continue
-            each = np.repeat(np.log10(shares)[:, None], len(stops), axis=1)
-            for first, g, owner in _pieces(get("words").to_pylist(), word, stops):
-                where = np.searchsorted(grams, g)
-                for j, s in enumerate(values):
-                    sums = np.bincount(owner, s[where])
-                    each[j, first : first + len(sums)] += sums
-            owner = np.repeat(np.arange(len(stops)), np.diff(stops, prepend=0))
-            add = lambda x: np.bincount(owner, x[word], len(stops))
-            best = each.max(axis=0)
+        for _, buf, ids, held, ends in _chunks(coded.to_batches()):
+            score = np.zeros(len(ends))
+            for g, owner in symbols(buf, ends):
+                if not len(g):
+                    continue
+                order = np.argsort(g)
+                sums = np.bincount(owner[order] - owner[0], log_p[np.searchsorted(names, g[order])])
+                score[owner[0] : owner[0] + len(sums)] += sums
+            k, owner = word_keys(buf, ends)
+            c = counts[np.searchsorted(words, k)]
+            add = lambda x, owner=owner, m=len(ends): np.bincount(owner, x, m)
             out.append(pa.table({
-                "doc_id": get("doc_id"), "held_out": get("held_out"), "n_tokens": get("n_tokens"), "n_known": add((known > 0).astype(float)).round().astype(np.int64),
-                "train_tokens": np.full(len(stops), n), "base_score": add(base), "score": best + np.log10((10 ** (each - best)).sum(axis=0)),
+                "doc_id": pa.array(ids, pa.int64()), "held_out": held, "n_tokens": np.bincount(owner, minlength=len(ends)), "n_known": add((c > 0).astype(float)).round().astype(np.int64),
+                "train_tokens": np.full(len(ends), n), "base_score": add(np.log10((c + 1) / (n + v + 1))), "score": score / math.log(10),
             }))
         return pa.concat_tables(out)
 
@@ -401,50 +448,37 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 
 def scored(docs: DataFrame) -> DataFrame:
-    """Trains on the rows of docs (doc_id long, text string, held_out boolean, kind string) that aren't held out; scores all."""
+    """Trains on the rows of docs (doc_id long, text string, held_out boolean) that aren't held out; scores all."""
     spark = docs.sparkSession
-    train = docs.where("NOT held_out").groupBy("kind").agg(F.count("*").alias("n"))
-    counts = train.orderBy(F.desc("n"), F.col("kind").asc_nulls_last()).limit(KINDS).collect()
-    k = len(counts) + 1
-    rest = train.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] - sum(r["n"] for r in counts)
-    sizes = np.array([*(r["n"] for r in counts), rest], float) + 0.5
-    kind = F.lit(k - 1)
-    for j, r in enumerate(counts):
-        kind = F.when(F.col("kind").eqNullSafe(F.lit(r["kind"])), j).otherwise(kind)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out", kind.cast("int").alias("kind"))
-    coded = written(rows.mapInArrow(_coded, CODED), "ppm-coded", compression="zstd")
-    words = coded.select(F.explode(F.arrays_zip("words", "c")).alias("w")).groupBy(F.col("w.words").alias("word")).agg(F.sum("w.c").alias("c"))
-    known = written(words.select(F.xxhash64("word").alias("h"), "c"), "ppm-known")
-    settle(spark)  # the shuffle of the chunks' words is done with
-    n, v = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    scores = [f"s{j}" for j in range(k)]
-    ns = [f"n{j}" for j in range(k)]
-    held = written(coded.select("chunk", "words", "trains", "stops", "word").mapInArrow(_grams(k), "home long, gram long" + "".join(f", {x} long" for x in ns)), "ppm-held", compression="zstd")
-    grams = written(held.groupBy("gram").agg(*[F.sum(x).alias(x) for x in ns]), "ppm-grams", compression="zstd")
-    settle(spark)
-    counts = _by_suffix(grams).mapInArrow(_counted(k), COUNTED).groupBy("what", "kind", "at").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    short = spark.sparkContext.broadcast(_short_tries(counts.toArrow(), k))
-    del counts
-    floats = "".join(f", {x} float" for x in scores)
-    gram_scores = written(_by_suffix(grams).mapInArrow(_gram_scores(short), "gram long" + floats), "ppm-gram-scores", compression="zstd")
-    drop(grams)
-    settle(spark)
-    # Written between its two shuffles, so that the first one's files can go.
-    found = written(held.select("home", "gram").join(gram_scores, "gram").select("home", F.col("gram").alias("at"), F.lit(-1).cast("long").alias("c"), *scores), "ppm-found", compression="zstd")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out")
+    coded = written(rows.mapInArrow(_coded, CODED), "ppm-coded", compression="none")
+    size, chunks = coded.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    n_grams, n_words = (least + size // each for least, each in zip(LEAST, BUCKET, strict=True))
+    parts = math.ceil((chunks + 1) / GROUP)
+    cores = spark.sparkContext.defaultParallelism
+    tasks = lambda units, each: max(2, min(units, max(3 * cores, math.ceil(units / each))))
+    dealt = tasks((n_grams + n_words) * parts, 4)
+    held = written(coded.mapInArrow(_held(n_grams, n_words, parts), HELD), "ppm-held", compression="none")
+    whole = held.select("bucket", "part", "keys", "n")
+    if parts > 1:
+        whole = whole.repartition(dealt, "bucket", "part").groupBy("bucket", "part").applyInArrow(_merged, "bucket int, keys binary, n binary")
+    trained = written(whole.repartition(dealt, "bucket").groupBy("bucket").applyInArrow(_trained(n_grams), TRAINED), "ppm-trained", compression="none")
+    added = trained.where(F.col("what") != TABLE).select("what", F.explode(F.arrays_zip("at", "x", "y")).alias("r")).groupBy("what", F.col("r.at").alias("at")).agg(F.sum("r.x").alias("x"), F.sum("r.y").alias("y"))
+    stats = added.toArrow()
+    n, v = next(((r["x"], r["y"]) for r in stats.filter(pc.equal(stats.column("what"), WORDS)).to_pylist()), (0, 0))
+    short = spark.sparkContext.broadcast(_short_trie(stats))
+    tables = trained.where(F.col("what") == TABLE).select("bucket", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "keys", "n")
+    left = held.select("bucket", "part", "home", "keys").repartition(dealt, "bucket", "part").groupBy("bucket", "part")
+    right = tables.repartition(dealt, "bucket", "part").groupBy("bucket", "part")
+    scores = written(left.cogroup(right).applyInArrow(_scores(short, n_grams), SCORED), "ppm-scores", compression="none")
     drop(held)
-    drop(gram_scores)
-    settle(spark)
-    # Words meet by a 64-bit hash, which is shorter than most of them.
-    each = coded.select(F.col("chunk").alias("home"), F.posexplode("words").alias("place", "word")).select("home", "place", F.xxhash64("word").alias("h"))
-    each = each.join(known, "h").select("home", F.col("place").cast("long").alias("at"), "c", *[F.lit(0).cast("float").alias(x) for x in scores])
-    found = found.union(written(each, "ppm-known-at", compression="zstd"))
-    drop(known)
-    settle(spark)
-    light = coded.drop("c", "trains")
-    return light.groupBy("chunk").cogroup(found.groupBy("home")).applyInArrow(_documents(n, v, (sizes / sizes.sum()).tolist()), SCORES)
+    drop(trained)
+    back = tasks(chunks, 4)
+    texts = coded.withColumnRenamed("chunk", "home").withColumn("chunk", F.col("home")).repartition(back, "home").groupBy("home")
+    return texts.cogroup(scores.repartition(back, "home").groupBy("home")).applyInArrow(_documents(n, v), SCORES)
 
 
 def op3_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.col("lang").alias("kind"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
     return scored(docs.withColumn("held_out", held))
