@@ -455,9 +455,7 @@ def scored(docs: DataFrame) -> DataFrame:
     size, chunks = coded.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     n_grams, n_words = (least + size // each for least, each in zip(LEAST, BUCKET, strict=True))
     parts = math.ceil((chunks + 1) / GROUP)
-    cores = spark.sparkContext.defaultParallelism
-    tasks = lambda units, each: max(2, min(units, max(3 * cores, math.ceil(units / each))))
-    dealt = tasks((n_grams + n_words) * parts, 4)
+    dealt, back = (n_grams + n_words) * parts, max(1, chunks)  # a task for each bucket of a group of chunks, and for each chunk
     held = written(coded.mapInArrow(_held(n_grams, n_words, parts), HELD), "ppm-held", compression="none")
     whole = held.select("bucket", "part", "keys", "n")
     if parts > 1:
@@ -473,7 +471,6 @@ def scored(docs: DataFrame) -> DataFrame:
     scores = written(left.cogroup(right).applyInArrow(_scores(short, n_grams), SCORED), "ppm-scores", compression="none")
     drop(held)
     drop(trained)
-    back = tasks(chunks, 4)
     texts = coded.withColumnRenamed("chunk", "home").withColumn("chunk", F.col("home")).repartition(back, "home").groupBy("home")
     return texts.cogroup(scores.repartition(back, "home").groupBy("home")).applyInArrow(_documents(n, v), SCORES)
 
