@@ -118,17 +118,20 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     info = F.struct("next_row", "doc_id", "n_chars", "edited_sha256", "a_all", "b_all")
     each = both.select("row", info.alias("info"), F.explode(every).alias("word")).select("row", "word", F.when(F.col("word") == -1, F.col("info")).alias("info"), F.shiftright("word", 2).alias("h"))
     rows = written(each.join(F.broadcast(common), "h", "left_anti").select("row", "word", "info"), "imatch-rows", compression="zstd")
-    held = rows.where("word >= 0").select("row", "word", F.shiftright("word", 2).alias("h")).join(band, "h")
+    infos = written(rows.where("word = -1").select("row", "info.*"), "imatch-infos", compression="zstd")
+    held = written(rows.where("word >= 0").select("row", "word").join(band, F.shiftright("word", 2) == F.col("h")).select("row", "word"), "imatch-held", compression="zstd")
+    drop(rows)
     found = held.groupBy("row").agg(F.sort_array(F.collect_list("word")).alias("found"))
     of = lambda bit: F.transform(F.filter("found", lambda x: x.bitwiseAND(F.lit(bit)) != 0), lambda x: F.shiftright(x, 2))
     marks = written(found.select(F.col("row").alias("at"), prints(of(1)).alias("a"), prints(of(2)).alias("b")), "imatch-prints", compression="zstd")
     none = F.array_repeat(F.lit(0), SLOTS * LEVELS)
-    info = rows.where("word = -1").select("row", "info.*").join(marks, F.col("row") == F.col("at"), "left").withColumn("a", F.coalesce("a", none)).withColumn("b", F.coalesce("b", none))
+    drop(held)
+    info = infos.join(marks, F.col("row") == F.col("at"), "left").withColumn("a", F.coalesce("a", none)).withColumn("b", F.coalesce("b", none))
     alike = lambda x, x_all, y, y_all: F.when((x == y) & ((F.array_max(x) > 0) | (x_all == y_all)), 1.0).otherwise(likeness(x, y))
     info = info.withColumn("near_edited", alike(F.col("a"), F.col("a_all"), F.col("b"), F.col("b_all")))
     info = info.select("row", "next_row", "doc_id", "n_chars", "edited_sha256", "a", "a_all", "near_edited", shown(F.col("a"), F.col("a_all")).alias("fingerprint"), shown(F.col("b"), F.col("b_all")).alias("edited_fingerprint"))
     info = written(info, "imatch-info", compression="zstd")
-    drop(rows)
+    drop(infos)
     drop(marks)
     after = info.select(F.col("row").alias("n_row"), F.col("a").alias("n_a"), F.col("a_all").alias("n_all"))
     return info.join(after, F.col("next_row") == F.col("n_row")).select(
