@@ -101,11 +101,24 @@ def _cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(ids[at]), pa.array(np.full(len(at), k == 0))], names=["cell", "cid", "own"])
 
 
+#: Cosines so close to the threshold are summed again, exactly, so that each pair is decided alike wherever it is met.
+CLOSE = 1e-9
+
+
+def linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether each unit vector of a (rows) links with each of b."""
+    cosine = a @ b.T
+    hit = cosine >= COSINE
+    for i, j in zip(*np.nonzero(np.abs(cosine - COSINE) < CLOSE), strict=True):
+        hit[i, j] = math.fsum((a[i] * b[j]).tolist()) >= COSINE
+    return hit
+
+
 def _verify(t: pa.Table) -> pa.Table:
     """Of rows (a, cid, unit) with the vector of a among them, the pairs that link."""
     ids, hub, units = t.column("cid").to_numpy(), t.column("a").to_numpy(), _matrix(t.column("unit"))
     home = {int(h): units[i] for i, (h, c) in enumerate(zip(hub, ids, strict=True)) if h == c}
-    pairs = [(int(h), int(c)) for h, c, u in zip(hub, ids, units, strict=True) if h != c and len(u) == len(home[int(h)]) and u @ home[int(h)] >= COSINE]
+    pairs = [(int(h), int(c)) for h, c, u in zip(hub, ids, units, strict=True) if h != c and len(u) == len(home[int(h)]) and linked(u[None], home[int(h)][None])[0, 0]]
     a = np.array(pairs, np.int64).reshape(-1, 2)
     return pa.table({"a": a[:, 0], "b": a[:, 1]})
 
@@ -129,11 +142,11 @@ def _count_block(t: pa.Table) -> pa.Table:
             continue
         a = np.stack([units[i] for i in zero])
         if len(one):
-            hit = a @ np.stack([units[i] for i in one]).T >= COSINE
+            hit = linked(a, np.stack([units[i] for i in one]))
             out_id += [ids[zero], ids[one]]
             out_n += [hit @ weight[one], hit.T @ weight[zero]]
         else:
-            hit = a @ a.T >= COSINE
+            hit = linked(a, a)
             np.fill_diagonal(hit, False)
             out_id.append(ids[zero])
             out_n.append(hit @ weight[zero])

@@ -339,12 +339,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     gone = named.where("set_id IS NOT NULL").join(first, represents, "left_anti").select(F.col("doc_id").alias("seen"))
     gone = written(gone.union(repeated).distinct(), "ngram-gone")
     doc_id = F.col("doc_id").cast("long")
-    lone = docs.where(doc_id.isNotNull()).join(small(gone), doc_id == F.col("seen"), "left_anti")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), doc_id.alias("named"))  # columns of docs may have any names
+    lone = whole.where("named IS NOT NULL").join(small(gone), F.col("named") == F.col("seen"), "left_anti").select("doc.*")
     if repeated.isEmpty() and found.where("doc_id IS NULL").isEmpty():
         return lone
     # Rows whose id doesn't tell them apart: their sets are made again, by text.
-    of_repeated = docs.where(doc_id.isNotNull()).join(small(repeated), doc_id == F.col("seen"), "left_semi")
-    again = docs.where(doc_id.isNull()).union(of_repeated).select(F.struct(*docs.columns).alias("doc"), doc_id.alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    of_repeated = whole.where("named IS NOT NULL").join(small(repeated), F.col("named") == F.col("seen"), "left_semi")
+    again = whole.where("named IS NULL").union(of_repeated).select("doc", F.col("named").alias("doc_id"), F.col("doc.text").alias("text"), F.xxhash64("doc.text").alias("h"))
     again = written(again, "ngram-again")
     made = written(sets(again.select(F.col("h").alias("doc_id"), "text").dropDuplicates(["doc_id"])).select(F.col("doc_id").alias("h"), "set_id"), "ngram-made")
     again = again.join(small(made), "h")

@@ -5,6 +5,8 @@ blocks of bounded size by a hash of their row, so no key can fill a block, and e
 on its own: pieces in descending length, each into the open bin it leaves least room in. If none
 fits, a bin is opened whose length costs least for each token it is going to hold, judged by the
 pieces still to come; at last each bin is cut down to the shortest permitted length that holds it.
+The lengths are chosen jointly: a block is packed with this rule over each set of the permitted lengths
+from the shortest up, and with every bin opened at one of them, and the packing of least cost stays.
 
 Defined cases: a null or empty text is one piece of one token (its end mark); repeated rows and
 null ids are packed as rows of their own; an empty table gives no bins; other columns are ignored.
@@ -28,10 +30,10 @@ LENGTHS = (512, 1024, 2048, 4096, 8192)
 OVERHEAD, BLOCK = 16, 4096
 
 
-def opening(size: int, waiting: list[int], lengths: tuple[int, ...] = LENGTHS) -> int:
-    """The permitted length whose bin costs least for each token, if size is put in and then, greedily, what waits."""
-    best, pick = math.inf, lengths[-1]
-    for c in lengths:
+def opening(size: int, waiting: list[int], opened: tuple[int, ...] = LENGTHS, lengths: tuple[int, ...] = LENGTHS) -> int:
+    """The length of opened whose bin costs least for each token once cut down, if size is put in and then, greedily, what waits."""
+    best, pick = math.inf, opened[-1]
+    for c in opened:
         if c < size:
             continue
         room, top = c - size, len(waiting)
@@ -40,13 +42,25 @@ def opening(size: int, waiting: list[int], lengths: tuple[int, ...] = LENGTHS) -
             room -= waiting[top]
         held = c - room
         down = lengths[bisect_left(lengths, held)]
-        if (cost := (down + OVERHEAD) / held) < best:
-            best, pick = cost, c
+        if (each := (down + OVERHEAD) / held) < best:
+            best, pick = each, c
     return pick
 
 
+def cost(put: list[tuple[int, int, int]]) -> int:
+    """Lengths of all bins and what each costs besides."""
+    return sum(c + OVERHEAD for c in {b: c for b, _, c in put}.values())
+
+
 def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS) -> list[tuple[int, int, int]]:
-    """(bin, offset, bin's length) for each size, none above the largest length."""
+    """(bin, offset, bin's length) for each size, none above the largest length: the least cost of the ways to open bins; of equals the first."""
+    upto = [tuple(lengths[: i + 1]) for i in reversed(range(len(lengths)))]
+    alone = [(c,) for c in lengths]
+    return min((best_fit(sizes, lengths, opened) for opened in [*upto, *alone[1:]]), key=cost)
+
+
+def best_fit(sizes: list[int], lengths: tuple[int, ...], opened: tuple[int, ...]) -> list[tuple[int, int, int]]:
+    """(bin, offset, bin's length) for each size, with bins opened at the lengths of opened, or at the shortest one that holds the piece."""
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
     waiting = sorted(sizes)
     rooms: list[tuple[int, int]] = []
@@ -59,7 +73,7 @@ def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS) -> list[tuple[int
         if at < len(rooms):
             room, b = rooms.pop(at)
         else:
-            b, room = len(fill), opening(size, waiting, lengths)
+            b, room = len(fill), opening(size, waiting, opened, lengths) if size <= opened[-1] else lengths[bisect_left(lengths, size)]
             fill.append(0)
         put[i] = (b, fill[b])
         fill[b] += size

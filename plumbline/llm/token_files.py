@@ -6,9 +6,11 @@ else binary-packed deltas (format version 2). Readers take the metadata columns
 ids, or the ids of some documents by the column and page indexes. Files are written by Spark's own
 committer, so a lost executor leaves no half-written file behind.
 
-The tokenizer's pre-split never joins a space with what stands before it, so a text may be cut before
+A byte-level pre-split never joins a space with what stands before it, so a text may be cut before
 any space that an ASCII sign or a Latin-1 letter follows. A worker encodes each distinct piece once
-and then looks it up by its hash; the pieces it remembers are bounded.
+and then looks it up by its 64-bit hash; the pieces it remembers are bounded. Texts that
+hold an added token, which the library takes out before the pre-split, are encoded as a whole, as all
+texts are with a tokenizer whose pre-split isn't this one.
 
 Defined cases: a null or empty text has the end mark alone; null ids come first; repeated ids are
 in order of their texts' hash; an empty table gives an empty result; other columns are ignored.
@@ -16,6 +18,7 @@ in order of their texts' hash; an empty table gives an empty result; other colum
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -119,15 +122,25 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab()
         self.widths = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each id; a vocabulary string has a sign for each
         self.widths[list(vocabulary.values())] = [len(x) for x in vocabulary]
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        split, added = rules.get("pre_tokenizer") or {}, rules.get("added_tokens") or []
+        #: Whether texts may be cut into pieces.
+        self.cuts = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not rules.get("normalizer")
+        self.cuts = self.cuts and not any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip"))
+        self.added = re.compile(b"|".join(sorted((re.escape(t["content"].encode()) for t in added), key=len, reverse=True)) or rb"(?!)")
         self.forget()
 
     def forget(self) -> None:
         self.known = Pieces()
 
+    def whole(self, text: bytes) -> bool:
+        """Whether the text has to be encoded as it is."""
+        return not self.cuts or self.added.search(text) is not None
+
     def raw(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -180,6 +193,8 @@ class Encoder:
         return ids, np.diff(edges)
 
     def long_text(self, text: bytes) -> np.ndarray:
+        if self.whole(text):
+            return np.array(self.raw([text.decode("utf-8")])[0], np.int32)
         parts, at = [], 0
         while at < len(text):
             cut = _CUT.search(text, at + RUN)
@@ -233,6 +248,10 @@ def _encoded(path: str):
 def _by_text(encoder: Encoder, buf: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     full = np.flatnonzero(np.diff(edges))
     lengths = np.zeros(len(edges) - 1, np.int64)
+    if encoder.whole(buf.tobytes()):
+        found = encoder.raw([buf[a:z].tobytes().decode("utf-8") for a, z in zip(edges[:-1][full].tolist(), edges[1:][full].tolist(), strict=True)])
+        lengths[full] = [len(x) for x in found]
+        return np.array([i for x in found for i in x], np.int32), lengths
     values, lengths[full] = encoder.encode(buf, edges[:-1][full])
     return values, lengths
 

@@ -13,8 +13,9 @@ documents), and counts if that is at most ``SIGNIFICANT``. A document's features
 segment's S - ln(K * n), the sum of its counting segments, that of all its segments, and the latter for each word, from which
 a logistic calibration makes a probability.
 
-The fit takes at most ``FIT_ROWS`` labelled rows, those with the least hash of their id; the lexicon
-holds at most ``LEXICON`` words, so it can be broadcast. Scoring reads whole texts of all documents.
+The fit takes at most ``FIT_ROWS`` labelled rows, those with the least hash of their id. The lexicon
+holds every significant word of these rows, so its size is bounded by theirs and it can go to each
+task. Scoring reads whole texts of all documents.
 
 Defined cases: a null, empty or white-space text has no segment and the score of a document without
 hits; rows without a label or an id aren't fitted; labels without any toxic or any clean row,
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from plumbline.llm.store import written
 from plumbline.llm.textkit import word_hashes
 
-FIT_ROWS, LEXICON = 20_000, 4096
+FIT_ROWS = 20_000
 #: The Dirichlet prior of a word: a count, and a share of the word's own counts; the least z-value of a
 #: lexicon word; the largest E-value that counts.
 PRIOR_COUNT, PRIOR_SHARE, LEAST_Z, SIGNIFICANT = 0.5, 0.005, 2.5, 0.05
@@ -62,25 +63,30 @@ class Model:
 def segments(at: list[int], odds: list[float], other: float) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (first, last word, score), in order.
 
-    Word at[i] scores odds[i] > 0 and each word between scores other < 0: one pass over the hits.
+    Word at[i] scores odds[i] > 0 and each word between scores other < 0: one pass over the hits. Each
+    open segment knows the last one before it whose sum before is lower, so a search passes over the ones
+    between; where none is lower, no later segment can reach back and all open ones are done.
     """
-    found: list[list] = []  # first, last, sum before, sum after
+    done: list[tuple[int, int, float]] = []
+    held: list[tuple[int, int, float, float, int]] = []  # first, last, sum before, sum after, the one with a lower sum before
     total, last = 0.0, -1
     for p, s in zip(at, odds, strict=True):
         total += other * (p - last - 1)
-        last = p
-        new = [p, p, total, total + s]
+        last, first, before = p, p, total
         total += s
         while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= new[3]:
-                found.append(new)
+            j = len(held) - 1
+            while j >= 0 and held[j][2] >= before:
+                j = held[j][4]
+            if j < 0:
+                done += [(a, z, y - x) for a, z, x, y, _ in held]
+                held.clear()
+            if j < 0 or held[j][3] >= total:
+                held.append((first, p, before, total, j))
                 break
-            new = [found[j][0], p, found[j][2], new[3]]
-            del found[j:]
-    return [(a, z, after - before) for a, z, before, after in found]
+            first, before = held[j][0], held[j][2]
+            del held[j:]
+    return done + [(a, z, y - x) for a, z, x, y, _ in held]
 
 
 def _hits(batches: Iterator[pa.RecordBatch], m: Model) -> Iterator[tuple[pa.RecordBatch, int, list[int], list]]:
@@ -182,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     a, mass = PRIOR_COUNT + PRIOR_SHARE * (y1 + y0), PRIOR_COUNT * v + PRIOR_SHARE * (n1 + n0)
     odds = F.log((y1 + a) / (n1 + mass - y1 - a)) - F.log((y0 + a) / (n0 + mass - y0 - a))
     z = odds / F.sqrt(1 / (y1 + a) + 1 / (y0 + a))
-    significant = lambda df: df.select("word", "y1", "y0", odds.alias("odds"), z.alias("z")).where((z >= LEAST_Z) & (odds > 0.5)).orderBy(F.desc("z"), "word").limit(LEXICON).toArrow()
+    significant = lambda df: df.select("word", "y1", "y0", odds.alias("odds"), z.alias("z")).where((z >= LEAST_Z) & (odds > 0.5)).toArrow()
     first = np.sort(significant(counts).column("word").to_numpy().view(np.uint64))
     if not len(first):
         return empty

@@ -250,7 +250,7 @@ def write_archives(pages: DataFrame, min_bytes: int = 1000) -> tuple[str, DataFr
     folder = new_path(spark, "warc")
     jvm = spark._jvm.org.apache.hadoop.fs.Path(folder)
     jvm.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(jvm)
-    sample = [bytes(r[0]) for r in pages.select(body.alias("b")).where(F.length("b").between(1, DICT_PAGE_BYTES)).limit(DICT_PAGES).collect()]
+    sample = [bytes(r[0]) for r in pages.select(body.alias("b")).where(F.length("b").between(1, DICT_PAGE_BYTES)).orderBy(F.xxhash64("b"), "b").limit(DICT_PAGES).collect()]
     manifest = written(marked.mapInArrow(_writer(folder, train_dictionary(sample)), "archive string, records long"), "warc-manifest")
     return folder, manifest
 

@@ -134,8 +134,10 @@ def test_one_row_of_each_component_stays(spark):
         (5, " ".join(a)), (5, near(b, 0)), (5, ""), (5, None), (2, " ".join(b)), (7, near(a, 59)), (8, near(a, 0)), (7, "a text of its own that nothing else is near to"),
         (None, " ".join(c)), (None, near(c, 0)), (None, near(b, 59)), (None, ""), (9, "x y"), (9, "x y"), (9, "X  y"),
     ]
-    kept = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
-    have = Counter(map(tuple, kept.collect()))
+    clash = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], "doc_id long, text string, seen int, other int, named int, doc int")
+    kept = ngram_join.one_of_each(clash)
+    assert kept.columns == clash.columns
+    have = Counter(map(tuple, kept.select("doc_id", "text").collect()))
     assert sum(n for (i, t), n in have.items() if i is None and t) == 1
     assert have[9, "x y"] + have[9, "X  y"] == (1 if brute_sets(["x y"])[0] else 3)
     rest = Counter({k: n for k, n in have.items() if k[0] != 9 and not (k[0] is None and k[1])})
@@ -298,6 +300,21 @@ def test_packing(spark, docs):
         x.sort()
         assert x[0][0] == 0 and all(a[1] == b[0] for a, b in zip(x, x[1:]))
     assert packing.pack([]) == []
+    assert packing.cost(put) <= min(packing.cost(packing.best_fit(sizes, packing.LENGTHS, o)) for o in [packing.LENGTHS, (1024,), (8192,)])
+    for _ in range(30):  # against every way to part a few pieces
+        few = [rng.choice([100, 300, 400, 600, 900, 2000]) for _ in range(5)]
+
+        def parted(rest):
+            if not rest:
+                yield []
+                return
+            for groups in parted(rest[1:]):
+                yield [[rest[0]], *groups]
+                for i in range(len(groups)):
+                    yield [*groups[:i], [rest[0], *groups[i]], *groups[i + 1 :]]
+
+        least = min(sum(min(c for c in packing.LENGTHS if c >= sum(g)) + packing.OVERHEAD for g in groups) for groups in parted(few) if all(sum(g) <= 8192 for g in groups))
+        assert least <= packing.cost(packing.pack(few)) <= 1.4 * least
     got = packing.packed(docs).collect()
     want = Counter({i: n for i, n in Counter().items()})
     for r in docs.collect():
@@ -315,8 +332,8 @@ def test_tokens(spark, docs):
 
     path = public.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    odd = [(900, "a  b  c\n\n d  \t e "), (901, "<|endoftext|> it's 3.5  x"), (902, "日本 語 " * 50), (903, " word" * 300_000), (904, "y" * 700_000)]
+    assert tokenizer.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    odd = [(905, "z  <|endoftext|>" + " word" * 200_000), (906, "<|endof text|>  "), (907, "a  <|endoftext|>  <|endoftext|> b"), (900, "a  b  c\n\n d  \t e "), (901, "<|endoftext|> it's 3.5  x"), (902, "日本 語 " * 50), (903, " word" * 300_000), (904, "y" * 700_000)]
     all_docs = docs.select("doc_id", "text").union(spark.createDataFrame(odd, "doc_id long, text string"))
     tokens = token_files.read_tokens(spark, token_files.write_tokens(all_docs, path))
     got = Counter((r["doc_id"], r["n_tokens"], tuple(r["ids"])) for r in tokens.collect())
@@ -388,6 +405,16 @@ def test_segments_against_brute_force():
         assert all(a[1] < b[0] for a, b in zip(got, got[1:]))
 
 
+def test_segments_take_linear_time():
+    """Hits so far apart that each sum before is lower than the last; and nested ones that link far back."""
+    import time
+
+    for gap, n in ((4, 200_000), (1, 200_000)):
+        began = time.time()
+        got = toxicity.segments(list(range(0, gap * n, gap)), [1.0] * n, -0.75)
+        assert time.time() - began < 5 and len(got) == (n if gap == 4 else 1)
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     rows, labels = [], []
@@ -484,6 +511,24 @@ def test_imatch_buckets(spark):
     assert got == {k: max(0, sum(f >= k for f in firsts) - 1) for k in keys}
 
 
+def test_lattice_ties_and_clashing_names(spark):
+    rng = np.random.default_rng(5)
+    c = rng.normal(size=8)
+    near = c + rng.normal(size=8) * 0.01
+    rows = [(None, c.tolist()), (7, c.tolist()), (7, c.tolist()), (9, near.tolist()), (None, [1.0] * 8), (-3, None)]
+    names = "vec_id long, embedding array<double>, cid long, key string, unit int, cell int, component int, label int"
+    got = sorted(map(tuple, lattice.near_duplicates(spark.createDataFrame([(*r, 1, "k", 1, 1, 1, 1) for r in rows], names)).select("vec_id", "n_links", "component_id", "kept").collect()), key=str)
+    assert got == sorted([(None, 3, 7, False), (7, 3, 7, True), (7, 3, 7, True), (9, 3, 7, False), (None, 0, None, True), (-3, 0, -3, True)], key=str)
+
+
+def test_a_pair_is_decided_alike_in_every_block():
+    rng = np.random.default_rng(6)
+    a = np.array([1.0, 0.0, 0.0, 0.0])
+    b = np.stack([np.array([lattice.COSINE, *(np.sqrt(1 - lattice.COSINE**2) * (v := rng.normal(size=3)) / np.linalg.norm(v))]) for _ in range(200)])
+    alone = [bool(lattice.linked(a[None], x[None])[0, 0]) for x in b]
+    assert lattice.linked(b, np.stack([a, a]))[:, 0].tolist() == alone == lattice.linked(a[None], b)[0].tolist()
+
+
 def test_lattice(spark):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(30, 24))
