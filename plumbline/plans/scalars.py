@@ -76,7 +76,7 @@ ORACLES = {
     "edge_classes": """SELECT coalesce(nullif(CASE WHEN y < 0.25 THEN 'T' ELSE '' END || CASE WHEN y > 0.75 THEN 'B' ELSE '' END || CASE WHEN x < 0.25 THEN 'L' ELSE '' END || CASE WHEN x > 0.75 THEN 'R' ELSE '' END, ''), 'center') AS edge, count(*) AS n
 FROM (SELECT l_quantity / 50 AS x, l_linenumber / 7 AS y FROM lineitem) GROUP BY 1""",
     "flat_distances": f"""SELECT {_KEY}, round(sqrt(pow((l_discount - 0.05) * 111320 * cos(radians((40 + l_tax + 40 + l_quantity / 1000) / 2)), 2) + pow((40 + l_tax - (40 + l_quantity / 1000)) * 110540, 2)), 3) AS metres FROM lineitem""",
-    "bearing_folds": f"""SELECT {_KEY}, 180 - (((180 - d) % 360) + 360) % 360 AS wrapped, (((d + 90) % 180) + 180) % 180 - 90 AS axis, least(f, 1 - f) AS fold,
+    "bearing_folds": f"""SELECT {_KEY}, (((d + 180) % 360) + 360) % 360 - 180 AS wrapped, (((d + 90) % 180) + 180) % 180 - 90 AS axis, least(f, 1 - f) AS fold,
   CASE WHEN r BETWEEN 0.75 AND 1.25 OR r BETWEEN 0.4 AND 0.6 OR r BETWEEN 1.8 AND 2.2 THEN 0 ELSE 1 END AS outlier
 FROM (SELECT *, l_quantity * 37 - l_suppkey * 11 AS d, abs(l_quantity / 8 - l_linenumber / 4) % 1 AS f, l_quantity / 25 AS r FROM lineitem)""",
     "affine_round_trip": """SELECT l_orderkey, l_linenumber, l_quantity * 5 + 9 + l_linenumber AS x, -5 + (l_quantity + 1) * 9 + 3 AS y, 5.0::DOUBLE AS back_x, 9.0::DOUBLE AS back_y FROM lineitem""",
