@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from plumbline.operators import adjacency, fits, graph, greedy, polygons
+from plumbline.operators import adjacency, fits, graph, greedy, polygons, solvers
 from plumbline.plans import decisions, figures, linkage, names, rules, scalars, scoring
 from plumbline.streaming import upsert
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (scoring, linkage, rules, scalars, names, figures, decisions, adjacency, greedy, graph, fits, polygons, upsert):
+for _module in (scoring, linkage, rules, scalars, names, figures, decisions, adjacency, greedy, graph, fits, polygons, solvers, upsert):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
