@@ -38,7 +38,8 @@ def by_page(df: DataFrame, page: str, order: list, made: Callable[[pd.DataFrame]
 
 
 def edges(pages: pd.Series) -> list[tuple[int, int]]:
-    cuts = np.flatnonzero(np.diff(pages.to_numpy())) + 1
+    p = pages.to_numpy()
+    cuts = np.flatnonzero(p[1:] != p[:-1]) + 1
     return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(pages)]))
 
 
