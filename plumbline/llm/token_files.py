@@ -125,13 +125,12 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.widths = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each id; a vocabulary string has a sign for each
         self.widths[list(vocabulary.values())] = [len(x) for x in vocabulary]
-        with open(path, encoding="utf-8") as f:
-            rules = json.load(f)
-        split, added = rules.get("pre_tokenizer") or {}, rules.get("added_tokens") or []
+        split = json.loads(self.tokenizer.pre_tokenizer.__getstate__()) if self.tokenizer.pre_tokenizer else {}
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
         #: Whether texts may be cut into pieces.
-        self.cuts = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not rules.get("normalizer")
-        self.cuts = self.cuts and not any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip"))
-        self.added = re.compile(b"|".join(sorted((re.escape(t["content"].encode()) for t in added), key=len, reverse=True)) or rb"(?!)")
+        self.cuts = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and self.tokenizer.normalizer is None
+        self.cuts = self.cuts and not any(t.single_word or t.lstrip or t.rstrip for t in added)
+        self.added = re.compile(b"|".join(sorted((re.escape(t.content.encode()) for t in added), key=len, reverse=True)) or rb"(?!)")
         self.forget()
 
     def forget(self) -> None:
