@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from plumbline.operators import adjacency, fits, graph, greedy, polygons, solvers, spatial
-from plumbline.plans import decisions, figures, linkage, names, rules, scalars, scoring
-from plumbline.streaming import upsert
+from plumbline.operators import adjacency, fits, graph, greedy, labels, polygons, solvers, spatial
+from plumbline.plans import decisions, extensions, figures, linkage, names, rules, scalars, scoring
+from plumbline.streaming import stateful, upsert
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (scoring, linkage, rules, scalars, names, figures, decisions, adjacency, greedy, graph, fits, polygons, solvers, spatial, upsert):
+for _module in (scoring, linkage, rules, scalars, names, figures, decisions, adjacency, greedy, graph, fits, polygons, solvers, spatial, labels, extensions, upsert, stateful):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
