@@ -400,6 +400,12 @@ def test_segments_against_brute_force():
             return [*whole(a, i), (i, j - 1), *whole(j, z)]
 
         got = toxicity.segments(hits, odds, -0.75)
+        apart = [o + rng.random() for o in odds]  # no two sums are the same: the places are determined
+        for i, s in zip(hits, apart):
+            scores[i] = s
+        assert [(a, z) for a, z, _ in toxicity.segments(hits, apart, -0.75)] == whole(0, n)
+        for i, s in zip(hits, odds):
+            scores[i] = s
         assert math.isclose(max((s for *_, s in got), default=0), max([0, *(sum(scores[i:j]) for i in range(n) for j in range(i + 1, n + 1))]), abs_tol=1e-9)
         assert sum(s for *_, s in got) == pytest.approx(sum(sum(scores[a : z + 1]) for a, z in whole(0, n)))
         assert all(a[1] < b[0] for a, b in zip(got, got[1:]))
@@ -545,6 +551,19 @@ def test_lattice(spark):
     for k, (i, _) in enumerate(good):
         assert got[i][0] <= hit[k].sum()
     assert all(got[i] == (0, i, True) for i in (1001, 1002, 1003, 1004, 1005, 1006))
+    assert links == hit.sum()  # then the components are those of all links
+    up = list(range(len(good)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in zip(*np.nonzero(np.triu(hit))):
+        a, b = sorted((root(a), root(b)))
+        up[b] = a
+    for k, (i, _) in enumerate(good):
+        assert got[i][1:] == (good[root(k)][0], root(k) == k)
     assert lattice.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
