@@ -30,7 +30,7 @@ from plumbline.llm.store import small, written
 from plumbline.llm.textkit import mix
 
 COSINE = 0.95
-TABLES, BLOCKS, SCALE, SEED = 12, 2, 0.25, 17
+TABLES, BLOCKS, SCALE, SEED = 16, 2, 0.2, 17
 #: Vectors of a component that are compared with as many others at a time.
 SIDE = 256
 
