@@ -326,6 +326,40 @@ def test_packing(spark, docs):
     assert packing.packed(empty(spark)).count() == 0
 
 
+def test_packed_contents(spark, docs):
+    """Bins hold every token once, in order, and the pieces' texts are those of the documents."""
+    long = spark.createDataFrame([(7000, " ".join(f"w{i}" for i in range(20_000)))], "doc_id long, text string")
+    some = docs.select("doc_id", "text").union(long)
+    plan = packing.packed(some, texts=True).collect()
+    parts = defaultdict(list)
+    for r in plan:
+        parts[r["doc_id"]].append((r["piece"], r["text"], r["length"]))
+    assert [n for _, _, n in sorted(parts[7000])] == [8192, 8192, 20_001 - 2 * 8192]
+    assert " ".join(t for _, t, _ in sorted(parts[7000])) == long.first()["text"]
+    texts_of = defaultdict(Counter)
+    for r in some.collect():
+        texts_of[r["doc_id"]][r["text"]] += 1
+    assert all(Counter(t for _, t, _ in parts[i]) == c for i, c in texts_of.items() if all(len((t or "").split()) < 8192 for t in c))
+    rows = some.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", F.split(F.coalesce("text", F.lit("")), " ").alias("tokens"))
+    rows = written(rows, "test-lists")
+    back, lengths = defaultdict(list), (64, 256, 1024)
+    for b in packing.bins(rows, lengths).collect():
+        assert b["n_tokens"] == len(b["tokens"]) <= b["capacity"] and b["capacity"] in lengths
+        at = 0
+        for p in b["parts"]:
+            assert p["offset"] == at
+            at += p["length"]
+            back[p["doc_id"]].append((p["piece"], b["tokens"][p["offset"] : at]))
+    want, have = defaultdict(list), {i: sorted(t for _, x in ps for t in x) for i, ps in back.items()}
+    for r in rows.collect():
+        want[r["doc_id"]] += r["tokens"]
+    assert have == {i: sorted(t) for i, t in want.items()}
+    assert [t for _, x in sorted(back[7000]) for t in x] == long.first()["text"].split(" ")
+    full = packing.filling(packing.packed(docs)).first()
+    assert 0.5 < full["fill"] <= 1 and full["least"] <= full["cost"] <= 1.3 * full["least"]
+    assert packing.bins(rows.limit(0)).count() == 0 and packing.filling(packing.packed(empty(spark))).first()["fill"] == 1.0
+
+
 def test_tokens(spark, docs):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
