@@ -30,7 +30,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     importable(spark)
-    return packing.packed(docs)
+    return packing.packed(docs, texts=True)
 
 
 STAGES = [("toxicity", drop_toxic), ("ngram_jaccard", drop_near_duplicates), ("mixing", mix_sources), ("packing", pack_documents)]
