@@ -6,15 +6,16 @@ from functools import wraps
 
 import corpus_pipeline
 from plumbline.llm import chat, imatch, lattice, mixing, ngram_join, packing, ppm, token_files, toxicity, warc
-from plumbline.session import importable
+from plumbline.llm.store import shared_dir
 
 
 def ready(query):
-    """The query, in a session whose workers can import this package: no DataFrame is made before that."""
+    """The query, in a session whose workers can import this package and get bounded batches: no DataFrame is made before that."""
 
     @wraps(query)
     def run(spark, sf_dir):
-        return query(importable(spark), sf_dir)
+        shared_dir(spark)
+        return query(spark, sf_dir)
 
     return run
 

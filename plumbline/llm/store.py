@@ -18,12 +18,15 @@ from plumbline.session import importable
 
 #: Ids that a broadcast may hold; more of them are joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: Bytes of a batch that a Python worker is given at a time, whatever the length of its rows.
+ARROW_BYTES = 8 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the session names; where it names none (tests), one of our own."""
+    """The shared folder the session names; where it names none (tests), one of our own. Batches for Python are bounded from then on."""
     importable(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = f"file://{tempfile.mkdtemp(prefix='shared-')}"
