@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from plumbline.functions import keys
+from plumbline.functions import documents as tags, keys
 
 RING = "ARRAY<ARRAY<DOUBLE>>"
 STREET = f"STRUCT<polygon: {RING}, text: STRING, confidence: DOUBLE, angle: INT, dir_pix: DOUBLE, long_side: DOUBLE, short_side: DOUBLE, ignore: BOOLEAN, hint: BOOLEAN, fallback: BOOLEAN>"
@@ -74,12 +74,14 @@ def newest_lines(spark: SparkSession, pattern: str, schema: str, page: str) -> D
 
 
 def ways(spark: SparkSession, pattern: str) -> DataFrame:
-    """(way, name, ring of [lon, lat]): named ways of an OSM file joined to their nodes; a way with under two known nodes is left out."""
+    """(way, name, ring of [lon, lat]): named streets of an OSM file joined to their nodes; ways that are no streets, lack a node, or have under two are left out."""
     each = spark.read.schema(SCHEMAS["osm"]).option("multiLine", True).json(pattern).select(F.explode("elements").alias("e")).select("e.*")
     nodes = each.where("type = 'node' AND lon IS NOT NULL AND lat IS NOT NULL").select(F.col("id").alias("ref"), "lon", "lat")
-    used = each.where("type = 'way' AND tags['name'] IS NOT NULL").select(F.col("id").alias("way"), F.col("tags")["name"].alias("name"), F.posexplode("nodes").alias("at", "ref"))
-    met = used.join(nodes.dropDuplicates(["ref"]), "ref").groupBy("way", "name").agg(F.sort_array(F.collect_list(F.struct("at", "lon", "lat"))).alias("p"))
-    return met.where("size(p) >= 2").select("way", "name", F.transform("p", lambda p: F.array(p["lon"], p["lat"])).alias("ring"))
+    tag = lambda name: F.try_element_at("tags", F.lit(name))
+    named = each.where(F.col("type") == "way").where((F.coalesce(tag("name"), F.lit("")) != "") & ~tags.should_drop(tag("highway"), tag("service")))
+    used = named.select(F.col("id").alias("way"), tag("name").alias("name"), F.size("nodes").alias("n"), F.posexplode("nodes").alias("at", "ref"))
+    met = used.join(nodes.dropDuplicates(["ref"]), "ref").groupBy("way", "name", "n").agg(F.sort_array(F.collect_list(F.struct("at", "lon", "lat"))).alias("p"))
+    return met.where("size(p) >= 2 AND size(p) = n").select("way", "name", F.transform("p", lambda p: F.array(p["lon"], p["lat"])).alias("ring"))
 
 
 def annotations(spark: SparkSession, pattern: str) -> DataFrame:
@@ -93,9 +95,22 @@ def annotations(spark: SparkSession, pattern: str) -> DataFrame:
     )
 
 
-def write_features(df: DataFrame, path: str, ring: str = "ring") -> None:
-    """Rows as GeoJSON features, a JSON line each: the ring as a closed Polygon, the other columns as properties."""
+def features(df: DataFrame, ring: str = "ring", kind: str = "Polygon") -> DataFrame:
+    """(type, properties, geometry): rows as GeoJSON features: the ring as a closed Polygon, a LineString, or its first point; the other columns as properties."""
     closed = F.when(F.element_at(ring, 1) == F.element_at(ring, -1), F.col(ring)).otherwise(F.concat(F.col(ring), F.slice(ring, 1, 1)))
     rest = [c for c in df.columns if c != ring]
-    geometry = F.struct(F.lit("Polygon").alias("type"), F.array(closed).alias("coordinates"))
-    df.select(F.lit("Feature").alias("type"), F.struct(*rest).alias("properties"), geometry.alias("geometry")).write.json(path)
+    shape = {"Polygon": F.array(closed), "LineString": F.col(ring), "Point": F.element_at(ring, 1)}[kind]
+    geometry = F.struct(F.lit(kind).alias("type"), shape.alias("coordinates"))
+    return df.select(F.lit("Feature").alias("type"), F.struct(*rest).alias("properties"), geometry.alias("geometry"))
+
+
+def write_features(df: DataFrame, path: str, ring: str = "ring", kind: str = "Polygon") -> None:
+    """Rows as GeoJSON features, a JSON line each."""
+    features(df, ring, kind).write.json(path)
+
+
+def scale_notes(labels: DataFrame) -> DataFrame:
+    """(page, feet, confidence): the surest scale note among a page's labels (page, text, confidence)."""
+    feet = keys.scale_note(F.col("text"), F.col("confidence"))
+    noted = labels.withColumn("feet", feet).where("feet IS NOT NULL")
+    return noted.groupBy("page").agg(F.max(F.struct("confidence", (-F.col("feet")).alias("less"), "feet")).alias("b")).select("page", "b.feet", "b.confidence")

@@ -31,6 +31,8 @@ def test_detections_wrapped_or_bare(spark, tmp_path):
     assert sorted((r["page"], r["i"], r["text"]) for r in rows.collect()) == [("p1", 0, "MAIN ST"), ("p1", 1, "50 FT. TO ONE INCH"), ("p2", 0, "MAIN ST")]
     notes = rows.select("page", keys.scale_note(F.col("text"), F.col("confidence")).alias("ft")).where("ft IS NOT NULL").collect()
     assert [tuple(r) for r in notes] == [("p1", 50)]
+    more = rows.select("page", "text", "confidence").union(spark.createDataFrame([("p1", "SCALE 100 FT. TO ONE INCH", 0.7), ("p1", "70 FT TO ONE INCH", 0.9)], "page string, text string, confidence double"))
+    assert [tuple(r) for r in sidecars.scale_notes(more).collect()] == [("p1", 100, 0.7)]
 
 
 def test_panels_centerlines_and_features(spark, tmp_path):
@@ -56,7 +58,7 @@ def test_last_line_wins_and_cut_lines_go(spark, tmp_path):
 def test_ways_and_annotations(spark, tmp_path):
     node = lambda i: {"type": "node", "id": i, "lon": i / 10, "lat": 1.0}
     way = lambda i, ns, **t: {"type": "way", "id": i, "nodes": ns, "tags": t}
-    put(tmp_path / "o", "osm.json", {"elements": [node(1), node(2), way(7, [2, 1, 2], name="ELM"), way(8, [1, 99], name="GONE"), way(9, [1, 2])]})
+    put(tmp_path / "o", "osm.json", {"elements": [node(1), node(2), way(7, [2, 1, 2], name="ELM"), way(8, [1, 2, 99], name="GONE"), way(9, [1, 2]), way(10, [1, 2], name="PATH", highway="footway"), way(11, [1, 2], name="YARD", highway="service", service="driveway")]})
     assert [(r["way"], r["name"], r["ring"]) for r in sidecars.ways(spark, f"{tmp_path}/o/*").collect()] == [(7, "ELM", [[0.2, 1.0], [0.1, 1.0], [0.2, 1.0]])]
     target = {"source": {"id": "s", "width": 5, "height": 6}, "selector": {"value": '<svg><polygon points="0,0 4,0 bad 4,4.5"/></svg>'}}
     put(tmp_path / "i", "a.json", {"items": [{"id": "x/p1__2/a", "label": "p1 [3]", "target": target}, {"id": "x/p2", "label": "p2 [4]", "target": target}, {"id": "x/p3", "target": target}]})
@@ -80,4 +82,4 @@ def test_folds_and_filters(spark):
         keys.matches_query(F.lit("corner of O'Neil St."), " , o'neil").alias("m"), keys.matches_query(F.lit("Astor"), "st").alias("n"), keys.split_index(F.lit("p5__x")).alias("i"),
         geo.bilinear(F.array(*[F.array(F.lit(float(x)), F.lit(float(y))) for x, y in ((0, 0), (2, 0), (2, 2), (0, 2))]), F.lit(0.5), F.lit(0.25))[1].alias("y"),
     ).first()
-    assert tuple(r) == (180.0, 20.0, "poor", True, False, None, 0.5)
+    assert tuple(r) == (-180.0, 20.0, "poor", True, False, None, 0.5)
