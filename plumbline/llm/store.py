@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.session import importable
 
-#: Ids that a broadcast may hold; more of them are joined by shuffle.
-BROADCAST_ROWS = 500_000
+#: Bytes that a broadcast table may hold, by its counted rows and the widths of its columns; more are joined by shuffle. Text is taken to be so wide.
+BROADCAST_BYTES, TEXT_BYTES = 8 << 20, 256
 #: Bytes of a batch that a Python worker is given at a time, whatever the length of its rows.
 ARROW_BYTES = 8 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -67,8 +67,9 @@ def drop(df: DataFrame) -> None:
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df, marked for broadcast if it is a counted table of few rows; otherwise left to a shuffle join."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+    """df, marked for broadcast if it is a counted table of few bytes; otherwise left to a shuffle join."""
+    width = sum({"bigint": 8, "double": 8, "int": 4, "boolean": 1, "tinyint": 1}.get(f.dataType.simpleString(), TEXT_BYTES) for f in df.schema)
+    return F.broadcast(df) if (df.count() if rows is None else rows) * width <= BROADCAST_BYTES else df
 
 
 def settle(spark: SparkSession) -> None:

@@ -85,6 +85,22 @@ def test_warc(spark):
     assert warc.read_archives(spark, *warc.write_archives(pages.limit(0))).count() == 0
 
 
+def test_many_archives(spark):
+    rng = random.Random(13)
+    rows = [(i, f"http://{i}", "".join(rng.choices("ab <>é", k=rng.choice([0, 10, 1500])))) for i in range(300)]
+    rows += [(1000 + i, None, rows[i][2]) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(9)
+    folder, manifest = warc.write_archives(pages)
+    assert manifest.count() >= 2
+    got = {r["page_id"]: r for r in warc.read_archives(spark, folder, manifest).collect()}
+    largest = {}
+    for i, _, html in rows:
+        largest[html] = max(i, largest.get(html, i))
+    for i, _, html in rows:
+        copy = len(html.encode()) >= 1000 and largest[html] != i
+        assert got[i]["payload_digest"] == hashlib.sha1(html.encode()).hexdigest() and (got[i]["record_type"], got[i]["refers_to"]) == (("revisit", largest[html]) if copy else ("response", None))
+
+
 def test_warc_rejects_broken_archives():
     body = b"payload"
     raw = warc.record(9, "u", body, hashlib.sha1(body).hexdigest(), len(body), None, False)
@@ -611,6 +627,22 @@ def test_e8_decoding_is_nearest():
     assert (((x - p) ** 2).sum(axis=1) <= 1 + 1e-9).all()  # the covering radius is 1
 
 
+def test_pipeline_of_nothing(spark, tmp_path):
+    """Each stage on a table without rows, and on one of texts without words under odd column names."""
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, seen int, h int, size long, target double, block long"
+    blank = [(i, t, None, s, 0, 1, 1, 1, 1.0, 1) for i, (t, s) in enumerate([(None, "a"), ("", None), (" \n", "b"), ("", "a")])]
+    for data in ([], blank, [(None, "x y", "en", "a", 3, 1, 1, 1, 1.0, 1)]):
+        current = spark.createDataFrame(data, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            after = stage(spark, current, str(tmp_path))
+            assert name == "packing" or after.columns == current.columns
+            assert after.count() == len(data), name
+            current = written(after, "test-stage")
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
