@@ -21,6 +21,8 @@ ONE_SIDED, RELABEL_MUTUAL, GAP_MUTUAL, GAP_SUPPORT = 0.25, 2, 1, 1.5
 NEAR_PITCHES, SPREAD_PITCHES, LEAST_SIDE = 1.5, 3.0, 20.0
 #: Bands of a claim's height about the confirmed ones' upper median, and degrees off the axes it may have.
 SIZE_BAND, HEIGHT_SHARE, TILT = (0.65, 1.4), 0.75, 5.0
+#: What an unheard-of number counts, the least margin of a repair and what it may concede, neighbours of a read, and steps of numbers that a repair may be off theirs.
+UNSURE, FLOOR, CONCEDE, NEAR_READS, GATE_STEPS = -1e9, -1.5, 1.0, 4, 6.0
 #: Shared keys that make two key maps one, and the gap of foreign keys that tells which one goes.
 SAME_KEYS, FOREIGN_GAP = 0.5, 0.2
 
@@ -148,6 +150,44 @@ def sheet_repairs(labels: DataFrame, touching: DataFrame, mutual: DataFrame, one
     return found.groupBy("sheet").applyInPandas(chosen, "sheet long, index long, old string, new string, support double, evidence array<string>")
 
 
+def number_repairs(reads: DataFrame, margins: DataFrame, pages: DataFrame) -> DataFrame:
+    """(sheet, index, old, new): reads (sheet, index, text, x, y) that are no page, or repeat one, and the missing pages (sheet, key) that the recogniser thinks best of.
+
+    margins (sheet, index, number, margin): what it thinks of a number at each read. Of reads of one page the
+    surest stays. A page must lie near the numbers of its neighbours, and concede little to a read that is a
+    page; in order of texts, each takes the best that none took before.
+    """
+    own = reads.withColumn("stem", keys.key_stem(F.col("text")))
+    sure = margins.select("sheet", "index", F.col("number").alias("stem"), "margin")
+    own = own.join(sure, ["sheet", "index", "stem"], "left").withColumn("margin", F.coalesce("margin", F.lit(UNSURE)))
+    number = lambda c: F.when(F.col(c).rlike(r"^\d+$"), F.col(c).cast("long"))
+    other = own.select("sheet", F.col("index").alias("j"), F.col("x").alias("u"), F.col("y").alias("v"), number("stem").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("sheet", "index").orderBy(F.hypot(F.col("x") - F.col("u"), F.col("y") - F.col("v")), "j"))
+    near = own.join(other, "sheet").where("index <> j").withColumn("rank", rank).where((F.col("rank") <= NEAR_READS) & F.col("n").isNotNull())
+    around = near.groupBy("sheet", "index").agg(F.percentile("n", 0.5).alias("middle"))
+    steps = near.groupBy("sheet").agg(F.greatest(F.lit(1.0), F.coalesce(F.percentile(F.abs(number("stem") - F.col("n")), 0.5), F.lit(1.0))).alias("step"))
+    known = pages.select("sheet", F.col("key").alias("text"), F.lit(True).alias("page")).distinct()
+    stems = pages.select("sheet", keys.key_stem(F.col("key")).alias("stem"), F.lit(True).alias("family")).distinct()
+    w = Window.partitionBy("sheet", "text")
+    judged = own.join(known, ["sheet", "text"], "left").join(stems, ["sheet", "stem"], "left").withColumn("n", F.count("*").over(w)).withColumn("place", F.row_number().over(w.orderBy(F.desc("margin"), "index")))
+    suspects = judged.where((F.col("page").isNull() & F.col("family").isNull()) | (F.col("page") & (F.col("n") > 1) & (F.col("place") > 1)))
+    missing = pages.select("sheet", "key").distinct().join(reads.select("sheet", F.col("text").alias("key")).distinct(), ["sheet", "key"], "left_anti").withColumn("number", keys.key_stem(F.col("key")))
+    options = suspects.select("sheet", "index", "text", "stem", "page", F.col("margin").alias("held")).join(margins, ["sheet", "index"]).join(missing, ["sheet", "number"]).where("number <> stem")
+    options = options.where((F.col("margin") > FLOOR) & (F.col("page").isNull() | (F.col("margin") >= F.col("held") - CONCEDE)))
+    options = options.join(around, ["sheet", "index"], "left").join(steps, "sheet", "left").where(F.col("middle").isNull() | (F.abs(F.col("number").cast("double") - F.col("middle")) <= GATE_STEPS * F.coalesce("step", F.lit(1.0))))
+
+    def taken(rows: pd.DataFrame) -> pd.DataFrame:
+        used, out = set(), []
+        for (text, index), g in rows.sort_values(["text", "index", "margin", "key"], ascending=[True, True, False, False]).groupby(["text", "index"], sort=False):
+            best = next((k for k in g["key"] if k not in used), None)
+            if best is not None:
+                used.add(best)
+                out.append((g["sheet"].iloc[0], index, text, best))
+        return pd.DataFrame(out, columns=["sheet", "index", "old", "new"])
+
+    return options.select("sheet", "index", "text", "margin", "key").groupBy("sheet").applyInPandas(taken, "sheet long, index long, old string, new string")
+
+
 def cross_sheet_repairs(labels: DataFrame, touching: DataFrame, mutual: DataFrame, one_sided: DataFrame, panels: DataFrame) -> DataFrame:
     """(sheet, index, old, support, evidence): labels to strip, where a key stands on several sheets and only some of them have it vouched for.
 

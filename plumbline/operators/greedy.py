@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from itertools import takewhile
 
 import numpy as np
 import pandas as pd
@@ -85,6 +84,10 @@ def first_match(points: np.ndarray, radius: float, by: str = "any", closed: bool
     itself only if closed. Clusters never merge.
     """
     out, n = np.zeros(len(points), np.int64), 0
+    if by == "any" and len(points) <= 512:  # points that all lie apart are clusters of their own
+        away = np.hypot(*np.moveaxis(points[:, None] - points[None], 2, 0))
+        if (away <= radius if closed else away < radius).sum() <= len(points):
+            return np.arange(len(points))
     sums, sizes, first = np.zeros((len(points), 2)), np.zeros(len(points)), np.zeros((len(points), 2))
     within = lambda q, p: np.hypot(*(q - p).T) <= radius if closed else np.hypot(*(q - p).T) < radius
     for i, p in enumerate(points):
@@ -125,7 +128,7 @@ def angle_clusters(angles: np.ndarray, tolerance: float) -> list[tuple[float, in
     return sorted(((float(np.median(c)), len(c)) for c in clusters), key=lambda c: -c[1])
 
 
-def joined_segments(lines: np.ndarray, gap: float, angle: float = 3.0, aside: float = 4.0) -> np.ndarray:
+def joined_segments(lines: np.ndarray, gap: float, angle: float = 5.0, aside: float = 20.0) -> np.ndarray:
     """Segments (x0, y0, x1, y1) with those that go on in the same line (within angle, aside and gap) joined to the first of them."""
     turn = np.degrees(np.arctan2(lines[:, 3] - lines[:, 1], lines[:, 2] - lines[:, 0])) % 180 if len(lines) else np.zeros(0)
     used, out = np.zeros(len(lines), bool), []
@@ -189,42 +192,6 @@ def irregularity(areas: np.ndarray, seeds: int) -> float:
     return float(np.abs(np.log2(areas / np.median(areas))).mean() + 2 * (1 - len(areas) / max(1, seeds))) if len(areas) else math.inf
 
 
-def number_repairs(texts: list[str], centres: np.ndarray, margins: list[dict[str, float]], pages: list[str], floor: float = -8.0, concede: float = 2.0, near: int = 4, gate: float = 6.0) -> list[tuple[int, str]]:
-    """(place, page): reads of a sheet that are no page, or repeat one, as the missing pages that the recogniser thinks best of.
-
-    Of repeated reads the surest stays. A page must lie near its neighbours' numbers, be surer than floor,
-    and concede little to the read; each is taken once, in order of texts.
-    """
-    stem = lambda t: "".join(takewhile(str.isdigit, t)) or t
-    sure = lambda i, t: margins[i].get(stem(t), -1e9)
-
-    def beside(i: int) -> list[int]:
-        order = sorted((float(((centres[j] - centres[i]) ** 2).sum()), j) for j in range(len(texts)) if j != i)[:near]
-        return [int(stem(texts[j])) for _, j in order if stem(texts[j]).isdigit()]
-
-    steps = [abs(int(stem(t)) - n) for i, t in enumerate(texts) if stem(t).isdigit() for n in beside(i)]
-    step = max(1.0, float(np.median(steps))) if steps else 1.0
-    missing, stems = [p for p in pages if p not in texts], {stem(p) for p in pages}
-    out = []
-    for text in sorted(set(texts)):
-        members = [i for i, t in enumerate(texts) if t == text]
-        if text not in pages and stem(text) not in stems:
-            suspects = members
-        elif len(members) > 1 and text in pages:
-            keeper = max(members, key=lambda i: sure(i, text))
-            suspects = [i for i in members if i != keeper]
-        else:
-            continue
-        for i in suspects:
-            around = beside(i)
-            fits = lambda p, around=around: not around or abs(int(stem(p)) - float(np.median(around))) <= gate * step
-            options = [(sure(i, p), p) for p in missing if stem(p) != stem(text) and sure(i, p) > floor and fits(p)]
-            if options and not (text in pages and max(options)[0] < sure(i, text) - concede):
-                out.append((i, max(options)[1]))
-                missing.remove(max(options)[1])
-    return out
-
-
 def first_match_clusters(df: DataFrame, page: str, key: str, x: str, y: str, radius: float, by: str = "any", closed: bool = False) -> DataFrame:
     """(page, cluster, n, x, y): clusters of each page's points in order of key; x and y are the centroid."""
 

@@ -16,7 +16,7 @@ from plumbline.functions import streets
 from plumbline.session import table
 
 #: Pixels across within which labels are in line, the gap of words by the longer one, least confidences of a word and its partner, pixels within which letters are one, and of a hint.
-ACROSS, WORD_GAP, SURE, WEAK, SAME_LETTER, HINT_REACH, SQUARE = 20.0, 0.7, 0.5, 0.35, 10.0, 200.0, 1.5
+ACROSS, WORD_GAP, SURE, WEAK, SAME_LETTER, HINT_REACH, SQUARE = 20.0, 0.7, 0.5, 0.05, 10.0, 200.0, 1.5
 BUCKETS = 12
 
 
