@@ -250,7 +250,9 @@ def write_archives(pages: DataFrame, min_bytes: int = 1000) -> tuple[str, DataFr
     folder = new_path(spark, "warc")
     jvm = spark._jvm.org.apache.hadoop.fs.Path(folder)
     jvm.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(jvm)
-    sample = [bytes(r[0]) for r in pages.select(body.alias("b")).where(F.length("b").between(1, DICT_PAGE_BYTES)).orderBy(F.xxhash64("b"), "b").limit(DICT_PAGES).collect()]
+    short = pages.select(body.alias("b")).where(F.length("b").between(1, DICT_PAGE_BYTES)).withColumn("h", F.xxhash64("b"))
+    least = short.select("h").distinct().orderBy("h").limit(DICT_PAGES).agg(F.max("h")).first()[0]  # hashes first: no page goes to the driver that isn't taken
+    sample = [bytes(r["b"]) for r in short.where(F.col("h") <= least).groupBy("h").agg(F.min("b").alias("b")).orderBy("h").collect()] if least is not None else []
     manifest = written(marked.mapInArrow(_writer(folder, train_dictionary(sample)), "archive string, records long"), "warc-manifest")
     return folder, manifest
 
