@@ -133,7 +133,7 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax").distinct()
     key = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax")).cast("long")
     return lines.select(
-        c("l_orderkey").alias("sheet"), key.alias("key"), (c("l_partkey") % 7).cast("string").alias("street"), (c("l_discount") * 10).alias("confidence"), (c("l_quantity") * 4).alias("x"), (c("l_suppkey") % 30 * 3.0).alias("y"),
+        c("l_orderkey").alias("sheet"), key.alias("key"), (c("l_partkey") % 7).cast("string").alias("street"), (c("l_discount") * 10).alias("confidence"), (c("l_quantity") * 4.1).alias("x"), (c("l_suppkey") % 30 * 3.0).alias("y"),
         F.when(c("l_partkey") % 3 == 0, 0.0).otherwise(math.pi / 2).alias("dir"), (c("l_linenumber") * 3.0).alias("short_side"), (c("l_tax") * 1000 + 5).alias("long_side"), (c("l_partkey") % 11 == 0).alias("promoted"),
     )
 
@@ -153,7 +153,7 @@ def label_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"collinear_dominated": collinear_dominated, "label_admission": label_admission}
 ORACLES = {
-    "collinear_dominated": """WITH l AS (SELECT l_orderkey AS sheet, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity, l_discount, l_tax) AS key, l_partkey % 7 AS street, l_discount * 10 AS confidence, l_quantity * 4 AS x,
+    "collinear_dominated": """WITH l AS (SELECT l_orderkey AS sheet, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity, l_discount, l_tax) AS key, l_partkey % 7 AS street, l_discount * 10 AS confidence, l_quantity * 4.1 AS x,
   l_suppkey % 30 * 3.0 AS y, l_partkey % 3 = 0 AS flat, l_linenumber * 3.0 AS short_side, l_tax * 1000 + 5 AS long_side, l_partkey % 11 = 0 AS promoted FROM (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_discount, l_tax FROM lineitem))
 SELECT DISTINCT a.sheet, a.key FROM l a JOIN l b ON a.sheet = b.sheet AND a.flat = b.flat AND a.street <> b.street AND a.short_side < b.short_side AND a.confidence < b.confidence AND abs(CASE WHEN a.flat THEN b.y - a.y ELSE b.x - a.x END) <= 20
 WHERE NOT a.promoted AND (a.short_side < 10 OR a.long_side < 40)""",

@@ -16,7 +16,7 @@ def _sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rounded(places: int = 6, **columns: Column) -> list[Column]:
-    return [F.round(c, places).alias(name) for name, c in columns.items()]
+    return [(F.round(c, places) + 0.0).alias(name) for name, c in columns.items()]  # no negative zero
 
 
 def _pose(q: Column, n: Column, t: Column) -> Column:
@@ -91,7 +91,7 @@ SELECT {_K}, round((degrees(atan2(e, d)) + 360) % 360, 6) AS north, round(1 / (s
   round(a * 1000 + b * 1500 + (-80 - n), 6) AS center, CASE WHEN (txt + 360) % 360 BETWEEN 112 AND 247 THEN 1 ELSE 0 END AS upside_down,
   round(degrees(acos(greatest(-1, least(1, (a * k * b * k + d * e) / (ux * vx))))) - 90, 2) AS skew, round(ux / vx, 3) AS ratio FROM v""",
     "frame_round_trip": f"""WITH {_SHEETS}, w AS (SELECT *, t - CASE WHEN t >= pi() THEN 2 * pi() ELSE 0 END AS wt, n * 3 - q * 10 AS ex, q - n * 7 AS ey FROM s)
-SELECT {_K}, round(q * 10, 5) AS x, round(n * 7, 5) AS y, round(cos(wt) * ex + sin(wt) * ey, 5) AS dx, round(cos(wt) * ey - sin(wt) * ex, 5) AS dy, round(cos(t), 5) AS turn, 1 AS same FROM w""",
+SELECT {_K}, round(q * 10, 5) AS x, round(n * 7, 5) AS y, round(cos(wt) * ex + sin(wt) * ey, 5) + 0.0 AS dx, round(cos(wt) * ey - sin(wt) * ex, 5) + 0.0 AS dy, round(cos(t), 5) + 0.0 AS turn, 1 AS same FROM w""",
     "scale_rules": f"""WITH {_SHEETS}, w AS (SELECT *, l_discount * 10 AS conf, q / 50 AS iou, q / 30 AS ver, (CASE WHEN l_linenumber % 2 = 0 THEN 1.5 ELSE 1 END) * (CASE WHEN l_partkey % 3 = 0 THEN 1.5 ELSE 1 END) AS f FROM s)
 SELECT {_K}, round(CASE WHEN conf <= 0.2 THEN 12.0 ELSE 12.0 * pow(0.2 / least(conf, 1.0), ln(0.5) / ln(0.2)) END, 6) AS least,
   round(CASE WHEN l_linenumber <= 1 THEN CASE WHEN l_discount - 0.05 >= 0 THEN 0.69 ELSE 0 END WHEN l_linenumber <= 3 THEN CASE WHEN l_discount - 0.05 >= 0 THEN 0.68 ELSE 0.25 END ELSE CASE WHEN l_discount - 0.05 >= 0 THEN 0.94 ELSE 0.57 END END, 6)::DOUBLE AS prior,
