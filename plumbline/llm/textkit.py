@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
 LONG_WORD = 1 << 20
 
 SPACE = np.zeros(256, bool)
