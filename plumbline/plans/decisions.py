@@ -349,6 +349,16 @@ SELECT volume, {", ".join(f"sum(round(({e})::DOUBLE * 1000000)::BIGINT)::BIGINT
 c AS (SELECT volume, CASE WHEN count(note) >= 3 THEN median(px * note) WHEN median(px) * 50 BETWEEN 45 AND 100 THEN median(px) * 50 ELSE 62.5 END AS inch FROM n GROUP BY volume),
 r AS (SELECT n.volume, px / (inch / note) AS ratio FROM n JOIN c USING (volume) WHERE note IS NOT NULL)
 SELECT volume, CASE WHEN ratio BETWEEN 0.8 AND 1.25 OR ratio BETWEEN 0.4 AND 0.6 OR ratio BETWEEN 1.8 AND 2.2 THEN 'keep' ELSE 'drop' END AS verdict, count(*) AS n, round(min(ratio), 6) AS least, round(max(ratio), 6) AS most FROM r GROUP BY 1, 2""",
+    "pose_choices": f"""WITH {_PAGES}, c AS (SELECT *, verification + name AS ss, q / 10 AS scale, price / 1e6 AS lon, q / 1000 AS lat, row_number() OVER (PARTITION BY l_orderkey ORDER BY -(verification + name), l_partkey, volume, q, verification, price) AS rk,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, volume, q, verification + name, verification, name, price) AS first_rk FROM p),
+j AS (SELECT c.*, t.ss AS tss, t.verification AS tv, t.name AS tn, t.lon AS tlon, t.lat AS tlat, t.theta AS tt, i.verification AS iv, i.name AS iname, i.scale AS iscale, i.points AS ip, sqrt((t.lon - i.lon) * (t.lon - i.lon) + (t.lat - i.lat) * (t.lat - i.lat)) * 10000 AS away
+  FROM c JOIN c t ON t.l_orderkey = c.l_orderkey AND t.rk = 1 JOIN c i ON i.l_orderkey = c.l_orderkey AND i.first_rk = 1),
+d AS (SELECT *, rk > 1 AND (2 * (20925524e0 / 3.280839895e0) * asin(sqrt(least(1, pow(sin(radians(lat - tlat) / 2), 2) + cos(radians(tlat)) * cos(radians(lat)) * pow(sin(radians(lon - tlon) / 2), 2)))) > 100 OR abs((theta - tt + 540) % 360 - 180) > 10) AS rival,
+  scale / iscale BETWEEN 1.7 AND 2.3 AND ss >= 0.9 AND verification - iv >= 0.1 AND name - iname >= -0.1 AS flips FROM j),
+m AS (SELECT l_orderkey, any_value(tss) - max(ss) FILTER (rival) AS margin, any_value(tv) AS tv, any_value(tn) AS tn, any_value(tss) AS tss, any_value(iv) AS iv, any_value(iname) AS iname, any_value(ip) AS ip, any_value(away) AS away,
+  arg_min(rk - 1, -verification * 1000 + rk) FILTER (flips) AS flip FROM d GROUP BY l_orderkey)
+SELECT l_orderkey, round(margin, 6) AS margin, CASE WHEN ip >= 2 AND tv > 0 AND tv > iv + 0.05 AND away < 100 THEN 1 ELSE 0 END AS refines,
+  CASE WHEN tss >= 0.8 AND (margin IS NULL OR margin >= 0.25) AND away >= 100 AND iv < 0.1 AND tv > iv AND tn >= iname THEN 1 ELSE 0 END AS challenges, flip::INT AS flip FROM m""",
     "local_scales": """WITH p AS (SELECT c_custkey AS page, c_custkey * 53 % 1000 / 10.0::DOUBLE AS lon, c_custkey * 17 % 997 / 10.0::DOUBLE AS lat, pow(2.0, c_custkey % 3) * (1 + c_custkey % 7 / 100.0::DOUBLE) AS scale FROM customer),
 n AS (SELECT a.page, any_value(a.scale) AS scale, count(b.page) AS n, median(b.scale) AS median FROM p a LEFT JOIN p b ON a.page <> b.page AND abs(a.lon - b.lon) <= 3 AND abs(a.lat - b.lat) <= 3 GROUP BY a.page),
 r AS (SELECT *, log2(median / 2) AS f, greatest(-1, least(1, round_even(log2(median / 2), 0))) AS k FROM n)
