@@ -89,6 +89,21 @@ _LABELS = f"""parts AS (SELECT DISTINCT {_list(HEADS)}[(l_suppkey % 6 + 1)::INT]
   FROM (SELECT *, (l_partkey % 130)::INT AS n, CASE WHEN l_partkey % 130 % 100 BETWEEN 11 AND 13 THEN 'TH' ELSE ['TH', 'ST', 'ND', 'RD', 'TH', 'TH', 'TH', 'TH', 'TH', 'TH'][(l_partkey % 130 % 10 + 1)::INT] END AS e FROM lineitem)),
 labels AS (SELECT DISTINCT concat_ws(' ', nullif(h, ''), c, nullif(t, '')) AS label, concat_ws(' ', nullif(fh, ''), fc, nullif(ft, '')) AS street FROM parts)"""
 _TYPES, _DIRECTIONS = _list(streets.TYPES), _list(streets.DIRECTIONS)
+_SHORTS = {full: [full, *[s + dot for s, f in (*streets.DIRECTION_OF.items(), *streets.TYPE_OF.items()) if f == full for dot in ("", ".")]] for full in (*streets.DIRECTION_OF.values(), *streets.TYPE_OF.values())}
+_FORMS = "MAP {" + ", ".join(f"'{k}': {_list(v)}" for k, v in _SHORTS.items()) + "}"
+
+
+def _shorter(before: str, after: str, cut: str, which: str) -> str:
+    """A step of aliases: those of before, and what a cut leaves of some of them where it is one alias' alone."""
+    return f"""{after} AS (SELECT * FROM {before} UNION ALL SELECT s, min(name) FROM (SELECT array_to_string({cut}, ' ') AS s, alias, name FROM (SELECT *, string_split(alias, ' ') AS w FROM {before}) WHERE len(w) > 1 AND {which})
+  WHERE s NOT IN (SELECT alias FROM {before}) GROUP BY s HAVING count(DISTINCT alias) = 1)"""
+
+
+#: SQL of the aliases of known names, for a query on k4 (alias, name).
+ALIASES = f"WITH {_LABELS}, k0 AS (SELECT DISTINCT street AS alias, street AS name FROM labels WHERE length(label) > 8), " + ", ".join(
+    _shorter(f"k{i}", f"k{i + 1}", cut, which)
+    for i, (cut, which) in enumerate([("w[:-2]", f"list_contains({_TYPES}, w[-1])"), ("w[2:]", f"list_contains({_DIRECTIONS}, w[1])"), ("w[:-2]", f"list_contains({_DIRECTIONS}, w[-1])"), ("w[2:]", f"list_contains({_TYPES}, w[1])")])
+)
 ORACLES = {
     "street_names": f"""WITH {_LABELS}, w AS (SELECT *, string_split(street, ' ') AS ws FROM labels),
 b AS (SELECT *, CASE WHEN len(ws) > 1 AND list_contains({_DIRECTIONS}, ws[-1]) THEN ws[:-2] ELSE ws END AS bs FROM w),
@@ -103,6 +118,11 @@ met AS (SELECT DISTINCT label, name FROM l JOIN cand ON split_part(c, ' ', 1) =
   AND (letters >= 5 OR len(list_filter(string_split(substr(c, length(norm) + 2), ' '), lambda x: NOT list_contains(list_concat({_TYPES}, {_DIRECTIONS}), x))) = 0))) WHERE NOT list_contains({_DIRECTIONS}, norm)),
 al AS (SELECT * FROM alias UNION SELECT * FROM (SELECT * FROM dirs UNION SELECT * FROM met) WHERE label NOT IN (SELECT label FROM alias))
 SELECT label, count(name)::INT AS n, min(name) AS first_name FROM l LEFT JOIN al USING (label) GROUP BY label""",
+    "street_vocabulary": f"""WITH {_LABELS}, known AS (SELECT DISTINCT street AS name, string_split(street, ' ') AS w FROM labels WHERE length(label) > 8), forms AS (SELECT {_FORMS} AS f),
+p AS (SELECT name, w, len(w) > 1 AND list_contains({_DIRECTIONS}, w[1]) AS h, len(w) > 1 AND list_contains({_TYPES}, w[-1]) AS t FROM known),
+o AS (SELECT name, unnest(CASE WHEN h THEN list_append(f[w[1]], '') ELSE [''] END) AS a, w[1 + h::INT : len(w) - t::INT] AS core, t, w[-1] AS z FROM p, forms),
+v AS (SELECT name, a, core, unnest(CASE WHEN t THEN list_append(coalesce(f[z], [z]), '') ELSE [''] END) AS b FROM o, forms), x AS (SELECT name, concat_ws(' ', nullif(a, ''), nullif(array_to_string(core, ' '), ''), nullif(b, '')) AS text FROM v)
+SELECT name, count(DISTINCT text) AS ways, min(text) AS least FROM x WHERE text <> '' GROUP BY name""",
     "source_keys": """WITH o AS (SELECT o_orderkey, o_orderkey AS i, CASE WHEN o_orderkey % 5 = 0 THEN '__' || (o_orderkey % 7) ELSE '' END AS panel FROM orders)
 SELECT o_orderkey, CASE i % 4 WHEN 0 THEN 'p' || i || CASE WHEN i % 3 = 0 THEN 'N' ELSE '' END WHEN 1 THEN 'p' || (i % 100000) || CASE WHEN i % 3 = 0 THEN 's' ELSE '' END WHEN 2 THEN 'ind' || (i % 9) ELSE 'p' || i END || panel AS source_key,
   'p' || i || panel AS label_key, 'p' || i || CASE WHEN i % 3 = 0 THEN 'n' ELSE '' END || panel AS file_key FROM o""",
