@@ -203,3 +203,11 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
 
 def op10_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: Every pair compared: equal to the operator's result where no pair at the threshold escapes its cells.
+OP10_SQL = f"""WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+u AS (SELECT r, vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+l AS (SELECT a.r AS a, b.r AS b FROM u a JOIN u b ON a.r <> b.r AND len(a.e) = len(b.e) AND a.n > 0 AND b.n > 0 AND list_dot_product(a.e, b.e) / (a.n * b.n) >= {COSINE}),
+t AS (SELECT r, r AS o FROM v UNION SELECT t.r, l.b FROM t JOIN l ON l.a = t.o), m AS (SELECT t.r, min(v.vec_id) AS least FROM t JOIN v ON v.r = t.o GROUP BY t.r), c AS (SELECT a AS r, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(c.n, 0)::BIGINT AS n_links, least AS component_id, vec_id = least AS kept FROM v JOIN m USING (r) LEFT JOIN c USING (r)"""

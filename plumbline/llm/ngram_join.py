@@ -356,3 +356,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+OP2_SQL = f"""WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {WORDS} THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - {WORDS - 2}), lambda i: array_to_string(w[i:i + {WORDS - 1}], ' '))) END AS x FROM w),
+e AS (SELECT r, len(x) AS n, unnest(x) AS x FROM s), p AS (SELECT a.r AS a, b.r AS b, count(*) AS c, any_value(a.n + b.n) AS n FROM e a JOIN e b ON a.x = b.x AND a.r < b.r GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 100 * c >= 80 * (n - c)), g AS (SELECT a, b FROM l UNION SELECT b, a FROM l), t AS (SELECT r, r AS o FROM s UNION SELECT t.r, g.b FROM t JOIN g ON g.a = t.o),
+m AS (SELECT t.r, min(s.doc_id) AS least FROM t JOIN s ON s.r = t.o GROUP BY t.r)
+SELECT doc_id, len(x)::BIGINT AS n_shingles, least AS component_id FROM s JOIN m USING (r)"""

@@ -36,6 +36,8 @@ QUERIES = {
 QUERIES = {name: ready(query) for name, query in QUERIES.items()}
 ORACLES = {
     "op1_warc_roundtrip": warc.OP1_SQL,
+    "op2_ngram_jaccard": ngram_join.OP2_SQL,
     "op6_chat_format": chat.OP6_SQL,
     "op8_mix_sources": mixing.OP8_SQL,
+    "op10_lattice_dedup": lattice.OP10_SQL,
 }
