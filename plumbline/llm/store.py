@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.session import importable
 
-#: Bytes that a broadcast table may hold, by its counted rows and the widths of its columns; more are joined by shuffle. Text is taken to be so wide.
-BROADCAST_BYTES, TEXT_BYTES = 8 << 20, 256
+#: Bytes that a broadcast table may hold, by its counted rows and the widths of its columns (digests and names are taken to be so wide); more are joined by shuffle.
+BROADCAST_BYTES, TEXT_BYTES = 24 << 20, 40
 #: Bytes of a batch that a Python worker is given at a time, whatever the length of its rows.
 ARROW_BYTES = 4 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
