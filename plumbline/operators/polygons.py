@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from plumbline.operators.copies import classes, member_pairs
 from plumbline.session import table
 
 
@@ -71,12 +72,12 @@ def repaired(ring: pd.Series) -> pd.Series:
     return ring.map(lambda r: without_spikes(opened(r)).tolist())
 
 
-def overlapping(rings: DataFrame, footprints: DataFrame, cell: float, least: float) -> DataFrame:
-    """(id, fid, overlap, containment, iou) for pairs that share at least ``least`` area.
+def overlapping(rings: DataFrame, footprints: DataFrame, cell: float, least: float, decimals: int | None = None) -> DataFrame:
+    """(id, fid, overlap, containment, iou) for pairs that share at least ``least`` area; shares to so many decimals.
 
     rings: (id, ring); footprints: (fid, convex). Pairs meet on grid cells that both boxes touch, and only in the first such
     cell, so no pair is made twice; a cell should be about the size of a footprint. Pairs whose boxes are apart never reach
-    Python. The number of partitions is stated, as small tables of many pairs would be put into one task otherwise.
+    Python, and equal rings and footprints reach it once. The number of partitions is stated, as small tables of many pairs would be put into one task otherwise.
     """
     n = int(rings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -87,9 +88,12 @@ def overlapping(rings: DataFrame, footprints: DataFrame, cell: float, least: flo
         return box.select("*", cells("x").alias("cx")).select("*", cells("y").alias("cy")).repartition(n, "cx", "cy")
 
     first = lambda axis: F.floor(F.greatest(f"a{axis}0", f"b{axis}0") / cell)
-    met = boxed(rings, "ring", "a").join(boxed(footprints, "convex", "b"), ["cx", "cy"]).where((F.col("cx") == first("x")) & (F.col("cy") == first("y")))
+    one, two = classes(rings, "id", "ring"), classes(footprints, "fid", "convex")
+    met = boxed(one.drop("members"), "ring", "a").join(boxed(two.drop("members"), "convex", "b"), ["cx", "cy"]).where((F.col("cx") == first("x")) & (F.col("cy") == first("y")))
     met = met.where("ax0 <= bx1 AND bx0 <= ax1 AND ay0 <= by1 AND by0 <= ay1")
-    return met.select("id", "fid", overlay("ring", "convex").alias("o")).where(F.col("o.overlap") >= least).select("id", "fid", "o.*")
+    found = met.select("id", "fid", overlay("ring", "convex").alias("o")).where(F.col("o.overlap") >= least).select("id", "fid", "o.*")
+    share = lambda c: (F.col(c) if decimals is None else F.round(c, decimals)).alias(c)
+    return member_pairs(found.select("id", "fid", "overlap", share("containment"), share("iou")), one, two, "id", "fid")
 
 
 def _box(x, y, w: float, h: float):
@@ -101,8 +105,7 @@ def footprint_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = lambda key, m: (F.col(key) * m % 1000).cast("double")
     rings = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), _box(at("s_suppkey", 37), at("s_suppkey", 91), 40.0, 25.0).alias("ring"))
     feet = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("fid"), _box(at("c_custkey", 53), at("c_custkey", 17), 30.0, 30.0).alias("convex"))
-    found = overlapping(rings, feet, 40.0, 1.0)
-    return found.select("id", "fid", "overlap", F.round("containment", 6).alias("containment"), F.round("iou", 6).alias("iou"))
+    return overlapping(rings, feet, 40.0, 1.0, 6)
 
 
 QUERIES = {"footprint_overlaps": footprint_overlaps}

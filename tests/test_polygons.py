@@ -1,6 +1,8 @@
 """Overlays and repairs against counted points and known shapes."""
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
 
 from plumbline.operators import polygons
 
@@ -36,3 +38,20 @@ def test_nulls_and_flat_rings(spark):
     got = [r["iou"] for r in df.coalesce(1).select(polygons.overlay("ring", "convex").alias("o")).select("o.iou").collect()]
     assert got == [0.0, 0.0, 0.0, 1.0]
     assert df.select(polygons.repaired("ring")).count() == 4
+
+
+def test_equal_footprints_are_overlaid_once(spark, monkeypatch, tmp_path):
+    log = tmp_path / "pairs"
+
+    @F.pandas_udf("struct<overlap double, containment double, iou double>")
+    def noted(ring: pd.Series, convex: pd.Series) -> pd.DataFrame:
+        with open(log, "a") as f:
+            f.write("x" * len(ring))
+        return pd.DataFrame({"overlap": [4.0] * len(ring), "containment": [1.0] * len(ring), "iou": [1 / 3] * len(ring)})
+
+    monkeypatch.setattr(polygons, "overlay", noted)
+    box = F.expr("array(array(0D, 0D), array(2D, 0D), array(2D, 2D), array(0D, 2D))")
+    found = polygons.overlapping(spark.range(60).select("id", box.alias("ring")), spark.range(70).select(F.col("id").alias("fid"), box.alias("convex")), 40.0, 1.0, 6)
+    rows = found.collect()
+    assert len(rows) == len({(r["id"], r["fid"]) for r in rows}) == 60 * 70 and {tuple(r)[2:] for r in rows} == {(4.0, 1.0, 0.333333)}
+    assert log.stat().st_size <= 2  # one pair, which a filter may compute twice
