@@ -9,17 +9,21 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from plumbline.functions import geo
 from plumbline.operators.adjacency import upper_median
-from plumbline.session import table
+from plumbline.session import kept, table
 
 #: Fixed values of the gates: control points up to which a fit may be demoted, degrees and log of scale it may be off, metres its stamps may lie apart.
 GATE_POINTS, GATE_TURN, GATE_SCALE, STAMP_M = 2, 15.0, 0.2, 100.0
 #: Fixed values of the energy: weights of name, containment, prior residual, key-map distance (and its clamp), rungs, notes, ambiguity, contradiction, entry, stamps (and their clamp), overlap.
 W_NAME, W_CONTAIN, W_PRIOR, W_KEYMAP, KEYMAP_CLAMP, W_RUNG, W_NOTE, W_AMBIGUOUS, W_CONTRADICTED, W_ENTRY, W_STAMP, STAMP_CLAMP, W_OVERLAP = 1.0, 0.3, 0.1, 0.05, 3.0, 0.15, 0.30, 0.5, 0.5, 1.25, 0.30, 2.0, 3.0
 OVERLAP_SOFT, OVERLAP_RANGE, NEAR_RUNG = 0.15, 0.35, 0.25
+#: Counts that a cell's table of scales by place may hold.
+CUBE = 2_000_000
 #: Fixed values of choices: margin of a distinct rival, metres and degrees that make it distinct, feet from which poses disagree, verification from which an incumbent is defended,
 #: margin and least verification and control points for refinement.
 GATE_MARGIN, DISTINCT_M, DISTINCT_DEG, DISAGREE_FT, DEFENSIBLE, REFINE_MARGIN, REFINE_LEAST, REFINE_POINTS = 0.25, 100.0, 10.0, 100.0, 0.1, 0.05, 0.0, 2
@@ -208,15 +212,70 @@ def note_ratios(pages: DataFrame) -> DataFrame:
     return noted.join(units, "volume").select("volume", "page", (F.col("unit") * F.col("note") / F.col("scale")).alias("ratio"))
 
 
+def _reach(x: np.ndarray, u: np.ndarray, d: float) -> tuple[np.ndarray, np.ndarray]:
+    """From where to where of u (sorted) each x reaches by d."""
+    each, at = np.unique(x, return_inverse=True)
+    met = np.abs(each[:, None] - u) <= d
+    low = met.argmax(axis=1)
+    return low[at], (low + met.sum(axis=1))[at]
+
+
+def _weighted_medians(x: np.ndarray, y: np.ndarray, own: np.ndarray, known: np.ndarray, u: np.ndarray, v: np.ndarray, scale: np.ndarray, weight: np.ndarray, dx: float, dy: float) -> tuple[np.ndarray, np.ndarray]:
+    """(n, median) of the scales (sorted, each weight times) within dx and dy of each place, but for one of its own scale, if known.
+
+    Where places lie on few lines and scales are few, they are counted by sums over corners of boxes, else one by one.
+    """
+    n, median = np.zeros(len(x), np.int64), np.full(len(x), np.nan)
+    if not len(u) or not len(x):
+        return n, median
+    (us, ui), (vs, vi), (values, si) = (np.unique(k, return_inverse=True) for k in (u, v, scale))
+    cubed = (len(us) + 1) * (len(vs) + 1) * len(values) <= CUBE
+    if cubed:
+        cube = np.zeros((len(us) + 1, len(vs) + 1, len(values)), np.int64)
+        np.add.at(cube, (ui + 1, vi + 1, si), weight)
+        cube = cube.cumsum(axis=0).cumsum(axis=1).cumsum(axis=2)
+        (x0, x1), (y0, y1) = _reach(x, us, dx), _reach(y, vs, dy)
+    else:
+        values = scale
+    step = max(1, 200_000 // len(values))
+    for i in range(0, len(x), step):
+        s = slice(i, i + step)
+        if cubed:
+            upto = cube[x1[s], y1[s]] - cube[x0[s], y1[s]] - cube[x1[s], y0[s]] + cube[x0[s], y0[s]]
+        else:
+            upto = np.cumsum(((np.abs(x[s, None] - u) <= dx) & (np.abs(y[s, None] - v) <= dy)) * weight, axis=1)
+        sure = known[s]
+        mine = np.where(sure, np.searchsorted(values, own[s]), len(values))  # the first of the own scale; places from there on lie one further
+        n[s] = upto[:, -1] - sure
+        middle = []
+        for k in ((n[s] - 1) // 2, n[s] // 2):  # counted from 0, of what is left
+            at = (upto <= k[:, None]).sum(axis=1)
+            at = np.where(at >= mine, (upto <= k[:, None] + sure[:, None]).sum(axis=1), at)
+            middle.append(values[np.minimum(at, len(values) - 1)])
+        median[s] = np.where(n[s] > 0, 0.5 * middle[0] + 0.5 * middle[1], np.nan)
+    return n, median
+
+
 def near_scales(pages: DataFrame, width: float, height: float) -> DataFrame:
-    """(page, n, median): fitted scales of pages (page, lon, lat, scale) within a page and a half of each (its size in degrees). They meet in cells of that size."""
+    """(page, n, median): fitted scales of pages (page, lon, lat, scale) within a page and a half of each (its size in degrees).
+
+    Pages meet in cells of that size; those of one place and scale as one, with their number.
+    """
     dx, dy = 1.5 * width, 1.5 * height
     step = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    cells = lambda df: df.withColumn("cx", F.floor(F.col("lon") / dx)).withColumn("cy", F.floor(F.col("lat") / dy))
-    other = cells(pages.dropna()).select(F.col("page").alias("other"), F.col("lon").alias("u"), F.col("lat").alias("v"), "scale", "cx", "cy").withColumn("sx", step).withColumn("sy", step)
-    other = other.select("other", "u", "v", "scale", (F.col("cx") + F.col("sx")).alias("cx"), (F.col("cy") + F.col("sy")).alias("cy"))
-    met = cells(pages.select("page", "lon", "lat")).join(other, ["cx", "cy"]).where("page <> other").where((F.abs(F.col("lon") - F.col("u")) <= dx) & (F.abs(F.col("lat") - F.col("v")) <= dy))
-    return met.groupBy("page").agg(F.count("*").alias("n"), F.percentile("scale", 0.5).alias("median"))
+    asked = pages.where("page IS NOT NULL AND lon IS NOT NULL AND lat IS NOT NULL").select("page", *[F.col(c).cast("double").alias(c) for c in ("lon", "lat", "scale")])
+    asked = asked.withColumn("cx", F.floor(F.col("lon") / dx)).withColumn("cy", F.floor(F.col("lat") / dy))
+    alike = kept(asked.groupBy("lon", "lat", "scale", "cx", "cy").agg(F.count("*").alias("weight"), F.collect_list("page").alias("pages")).withColumn("known", F.col("scale").isNotNull()), "near-scales")
+    other = alike.where("known").drop("pages", "known").withColumn("sx", step).withColumn("sy", step)
+    other = other.select("lon", "lat", "scale", "weight", (F.col("cx") + F.col("sx")).alias("cx"), (F.col("cy") + F.col("sy")).alias("cy"))
+
+    def made(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("scale", kind="stable")
+        n, median = _weighted_medians(*(a[c].to_numpy(float) for c in ("lon", "lat", "scale")), a["known"].to_numpy(bool), *(b[c].to_numpy(float) for c in ("lon", "lat", "scale")), b["weight"].to_numpy(np.int64), dx, dy)
+        return pd.DataFrame({"pages": a["pages"], "n": n, "median": median})[n > 0]
+
+    met = alike.groupBy("cx", "cy").cogroup(other.groupBy("cx", "cy")).applyInPandas(made, T.StructType([alike.schema["pages"], T.StructField("n", T.LongType()), T.StructField("median", T.DoubleType())]))
+    return met.select(F.explode("pages").alias("page"), "n", "median")
 
 
 def rung_multiplier(reference: Column, n: Column, median: Column) -> Column:
