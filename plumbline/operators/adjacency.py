@@ -202,16 +202,23 @@ def cross_sheet_repairs(labels: DataFrame, touching: DataFrame, mutual: DataFram
 
 
 def gap_repairs(labels: DataFrame, mutual: DataFrame, one_sided: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sheet, key, support, strong, weak): keys (sheet, key) that a sheet lacks and enough of its labels cite; strong and weak are the citing labels."""
-    missing = wanted.join(labels.select("sheet", F.col("label").alias("key")).distinct(), ["sheet", "key"], "left_anti")
-    there = labels.select("sheet", F.col("label").alias("other")).distinct()
-    strong = missing.join(mutual.select("key", "other").distinct(), "key").join(there, ["sheet", "other"]).withColumn("strong", F.lit(True))
+    """(sheet, key, support, strong, weak): keys that a sheet lacks and enough of its labels cite; strong and weak are the citing labels.
+
+    wanted: (sheet, key), or (key) where all sheets want the same. Labels are dealt by sheet once, and all else stays where they are, in
+    more parts than usual, as a sheet's keys are several times its labels.
+    """
+    n = int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    there = labels.where("sheet IS NOT NULL AND label IS NOT NULL").select("sheet", F.col("label").alias("other")).repartition(8 * n, "sheet").distinct()
     weak = one_sided.select("key", "other").distinct().join(mutual.select("key", "other"), ["key", "other"], "left_anti")
-    cited = strong.union(missing.join(weak, "key").join(there, ["sheet", "other"]).withColumn("strong", F.lit(False)).select(strong.columns))
+    citing = mutual.select("key", "other").distinct().withColumn("strong", F.lit(True)).union(weak.withColumn("strong", F.lit(False)))
+    keys = citing.join(wanted.select("key").distinct(), "key", "left_semi").groupBy("other").agg(F.collect_list(F.struct("key", "strong")).alias("keys"))
+    own = F.array(F.struct(F.col("other").alias("key"), F.lit(None).cast("boolean").alias("strong")))  # the label itself: a key that isn't missing
+    cited = there.join(keys, "other", "left").select("sheet", "other", F.explode(F.when(F.col("keys").isNull(), own).otherwise(F.concat(own, "keys"))).alias("k")).select("sheet", "other", "k.*")
     names = lambda which: F.sort_array(F.collect_list(F.when(which, F.col("other"))))
-    each = cited.groupBy("sheet", "key").agg(names(F.col("strong")).alias("strong"), names(~F.col("strong")).alias("weak"))
-    each = each.withColumn("support", F.size("strong") + F.size("weak") * ONE_SIDED)
-    return each.where((F.size("strong") >= GAP_MUTUAL) & (F.col("support") >= GAP_SUPPORT)).select("sheet", "key", "support", "strong", "weak")
+    of = {True: F.count_if("strong"), False: F.count_if(~F.col("strong"))}
+    each = cited.groupBy("sheet", "key").agg(of[True].alias("n"), (of[True] + of[False] * ONE_SIDED).alias("support"), F.count_if(F.col("strong").isNull()).alias("held"), names(F.col("strong")).alias("strong"), names(~F.col("strong")).alias("weak"))
+    found = each.where((F.col("held") == 0) & (F.col("n") >= GAP_MUTUAL) & (F.col("support") >= GAP_SUPPORT)).select("sheet", "key", "support", "strong", "weak")
+    return found.join(wanted.select("sheet", "key").distinct(), ["sheet", "key"], "left_semi") if "sheet" in wanted.columns else found
 
 
 def gap_places(gaps: DataFrame, labels: DataFrame, pitch: DataFrame) -> DataFrame:
@@ -349,8 +356,8 @@ def label_support(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def missing_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys up to 40 that a sheet lacks and its labels cite."""
-    labels = _sheets(spark, sf_dir)
-    wanted = labels.select("sheet").distinct().crossJoin(spark.range(40).select(F.col("id").cast("string").alias("key")))
+    labels = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sheet"), (F.col("l_partkey") % 40).cast("string").alias("label"))
+    wanted = spark.range(40).select(F.col("id").cast("string").alias("key"))
     found = gap_repairs(labels, *_citations(labels), wanted)
     return found.groupBy("sheet").agg(F.count("*").alias("n"), F.sum("support").alias("support"), F.min("key").alias("least"))
 
